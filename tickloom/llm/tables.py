@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,3 +30,29 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def pieces(spark: SparkSession, df: DataFrame) -> int:
     """Partitions for an explicit repartition: as many as the input has or shuffles use, whichever is more."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet under spark.checkpoint.dir and read again; the application's folder goes when Python ends."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    top = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if top is None:
+        top = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(top)
+    folder = f"{top}/tables-{context.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_drop, context, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_FOLDERS: set[str] = set()
+
+
+def _drop(context, folder: str) -> None:
+    if context._jsc is not None:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,8 +13,7 @@ by id and text key, where covered units are merged and cut.
 Optionally a count-min prefilter (two rows of cells, merged from the sketches of
 all partitions) runs first, and only windows that it estimates as repeated are
 shuffled. It overestimates, so no repeated window is lost. Its width follows the
-corpus up to `MAX_BITS`, which bounds the broadcast at 2 x 2**MAX_BITS bits;
-beyond that it lets more single windows through, and the result is the same.
+corpus up to a bound (see :mod:`tickloom.llm.sketch`); beyond that it lets more single windows through, and the result is the same.
 
 Defined cases: null or empty text has no units; a null id sorts first; rows of
 equal id and equal text are one document and get equal results; other columns
@@ -31,10 +30,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.llm import sketch as sketching
 from tickloom.llm import text as tx
 from tickloom.llm.tables import keyed
 
-MIN_BITS, MAX_BITS, SEGMENT = 20, 29, 16
 _NULL_ID = np.iinfo(np.int64).min
 
 #: unit name -> separators between units
@@ -76,83 +75,6 @@ def _windows(flat: np.ndarray, offsets: np.ndarray, unit: str, size: int, both:
     return hashes[0], hashes[-1], row, inside - first[row]
 
 
-def _cells(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of each window in the two rows of the sketch: disjoint parts of the mixed hash."""
-    return (h >> np.uint64(64 - bits)).astype(np.int64), (tx.mix(h, 3) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def pack(cells: np.ndarray) -> bytes:
-    """Sorted distinct cells as one byte a gap; 255 stands for a step of 255 without a cell."""
-    gaps = np.diff(cells, prepend=-1) - 1
-    steps = gaps // 255
-    out = np.full(int(steps.sum()) + len(gaps), 255, np.uint8)
-    out[np.cumsum(steps + 1) - 1] = gaps % 255
-    return out.tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    step = np.frombuffer(data, np.uint8).astype(np.int64)
-    hit = step != 255
-    return (np.cumsum(step) + np.cumsum(hit) - 1)[hit]
-
-
-def _sketch(unit: str, size: int, bits: int):
-    schema = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, offsets = tx.bytes_of(batch.column("text"))
-            found: list[list[np.ndarray]] = [[], []]
-            for a, b in tx.chunks(offsets):
-                h, _, _, _ = _windows(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], unit, size, both=False)
-                for k, cells in enumerate(_cells(h, bits)):
-                    found[k].append(cells.astype(np.uint32))
-            for k in (0, 1):
-                cells = np.sort(np.concatenate(found[k])) if found[k] else np.zeros(0, np.uint32)
-                found[k] = []
-                new = np.flatnonzero(np.diff(cells, prepend=cells[:1] + 1) != 0)
-                count = np.diff(np.append(new, len(cells)))
-                cells = cells[new].astype(np.int64)
-                cut = np.flatnonzero(np.diff(cells >> SEGMENT, prepend=-1))
-                out = []
-                for i, j in zip(cut, np.append(cut[1:], len(cells))):
-                    low, many = cells[i:j] & ((1 << SEGMENT) - 1), count[i:j] > 1
-                    out.append((int(cells[i] >> SEGMENT) * 2 + k, pack(low[~many]), pack(low[many])))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
-
-    return run
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the sketches of one partition of segments; gives a bitmap of the cells that reach two."""
-    count: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for segment, once, more in zip(*(c.to_pylist() for c in batch.columns)):
-            have = count.setdefault(segment, np.zeros(1 << SEGMENT, np.uint8))
-            for data, add in ((once, 1), (more, 2)):
-                cells = unpack(data)
-                have[cells] = np.minimum(have[cells] + add, 2)
-    for segment, have in count.items():
-        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(have > 1).tobytes()], pa.binary())], names=["segment", "bitmap"])
-
-
-def repeated_cells(source: DataFrame, unit: str, size: int):
-    """Broadcast bitmaps (two rows) of the cells whose merged count is two or more, and log2 of the width."""
-    spark = source.sparkSession
-    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MAX_BITS, max(MIN_BITS, int(np.ceil(np.log2(max(1, total) / (6 if unit == "word" else 30) * 2)))))
-    sketch = source.select("text").mapInArrow(_sketch(unit, size, bits), "segment int, once binary, more binary")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    merged = sketch.repartition(parts, "segment").mapInArrow(_merge, "segment int, bitmap binary")
-    maps = np.zeros((2, (1 << bits) // 8), np.uint8)
-    width = (1 << SEGMENT) // 8
-    for r in merged.toLocalIterator():
-        at = (r.segment // 2) * width
-        maps[r.segment % 2, at : at + width] = np.frombuffer(r.bitmap, np.uint8)
-    return spark.sparkContext.broadcast(maps), bits
-
-
 ROWS = "h1 long, h2 long, id long, key long, pos int, n int"
 _SCHEMA = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])
 
@@ -169,11 +91,7 @@ def _emit(unit: str, size: int, sketch=None):
             for a, b in tx.chunks(offsets):
                 h1, h2, row, pos = _windows(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], unit, size)
                 if sketch is not None:
-                    c0, c1 = _cells(h1, sketch[1])
-                    m = sketch[0].value
-                    hit = lambda m, c: m[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1
-                    keep = np.flatnonzero(hit(m[0], c0))
-                    keep = keep[hit(m[1], c1[keep]).astype(bool)]
+                    keep = sketching.hits(sketch, h1)
                     h1, h2, row, pos = h1[keep], h2[keep], row[keep], pos[keep]
                 parts.append((h1, h2, (row + a).astype(np.int32), pos.astype(np.int32)))
             if not parts:
@@ -210,7 +128,7 @@ def _batch(h1, h2, ids, keys, pos, n) -> pa.RecordBatch:
 def repeats(docs: DataFrame, unit: str, size: int, prefilter: bool) -> DataFrame:
     """Per document (id, key) with any repeat: `spans`, an array of (pos, n) runs of units to remove."""
     source = docs.select("id", "key", "text").where(F.octet_length("text") >= size)
-    sketch = repeated_cells(source, unit, size) if prefilter else None
+    sketch = sketching.repeated(source, lambda flat, offsets: _windows(flat, offsets, unit, size, both=False)[0], 6) if prefilter else None
     rows = source.mapInArrow(_emit(unit, size, sketch), ROWS)
     ranked = rows.withColumn("place", F.rank().over(Window.partitionBy("h1", "h2").orderBy("id", "pos")))
     late = ranked.where("n > 0 or place > 1").select("id", "key", "pos", F.when(F.col("n") > 0, F.col("n")).otherwise(size).alias("n"))
