@@ -61,9 +61,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     )
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
-    """`row` (the input row), `size`, `source_size`, `target`, `n_copies` of each document."""
-    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED, carry: list[str] | None = None) -> DataFrame:
+    """`row` (the input row, or its columns in `carry`, which has to hold the id), `size`, `source_size`, `target`, `n_copies` of each document."""
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     targets = checkpointed(source_targets(sized.select("source", "size"), weights, max_repeats))
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     t = targets.withColumnRenamed("source", "_source")
@@ -82,7 +82,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return copies(docs.select("doc_id", "text", "source")).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
+    return copies(docs, carry=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 
 
 def sizes_and_targets_sql(documents: str) -> str:
