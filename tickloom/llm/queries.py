@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import op01_decontam, op03_suffix, op04_mixing, op05_substring, op06_simhash, op09_lines
+from tickloom.llm import op01_decontam, op02_quality, op03_suffix, op04_mixing, op05_substring, op06_simhash, op09_lines
 from tickloom.llm.tables import table
 
 
@@ -16,6 +16,7 @@ def _on(name: str, digest: Callable[[DataFrame], DataFrame]) -> Callable[[SparkS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": lambda spark, sf_dir: op01_decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op2_quality_rules": _on("documents", op02_quality.digest),
     "op3_suffix_dedup": _on("documents", op03_suffix.digest),
     "op4_mixing": _on("documents", op04_mixing.digest),
     "op5_substring_dedup": _on("documents", op05_substring.digest),
