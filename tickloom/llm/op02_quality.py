@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from tickloom.llm import text as tx
 from tickloom.llm.tables import checkpointed
 
-ORDER, MIN_WORDS, MAX_REPEAT_PERCENT, WIDTH = 4, 50, 50, 7.0
+ORDER, MIN_WORDS, MAX_REPEAT_PERCENT, WIDTH = 4, 50, 50, 8.0
 MODEL_ROWS = 8_000_000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True

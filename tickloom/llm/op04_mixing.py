@@ -75,10 +75,10 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with a `copy` number from 0."""
-    drawn = copies(docs, **options).where("n_copies > 0")
-    return drawn.select("row.*", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
+def mixed_documents(docs: DataFrame, copy_col: str | None = None, **options) -> DataFrame:
+    """The documents of the mix, each as often as it is taken; numbered from 0 in `copy_col`, if that is named."""
+    drawn = copies(docs, **options).where("n_copies > 0").select("row", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
+    return drawn.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], *([F.col("copy").alias(copy_col)] if copy_col else []))
 
 
 def digest(docs: DataFrame) -> DataFrame:
