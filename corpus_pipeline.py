@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tickloom.llm import op01_decontam, op02_quality, op04_mixing, op06_simhash, op09_lines
 from tickloom.llm.tables import stored, table
@@ -14,8 +15,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated three-line windows are cut from the texts."""
-    return op09_lines.deduped_documents(docs)
+    """Later occurrences of repeated three-line windows are cut from the texts; n_chars follows."""
+    cut = op09_lines.deduped_documents(docs)
+    return cut.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
