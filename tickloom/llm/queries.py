@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import op01_decontam, op02_quality, op03_suffix, op04_mixing, op05_substring, op06_simhash, op08_layout, op09_lines, op10_classifier
+from tickloom.llm import op01_decontam, op02_quality, op03_suffix, op04_mixing, op05_substring, op06_simhash, op07_pii, op08_layout, op09_lines, op10_classifier
 from tickloom.llm.tables import table
 
 
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": _on("documents", op04_mixing.digest),
     "op5_substring_dedup": _on("documents", op05_substring.digest),
     "op6_simhash": _on("documents", op06_simhash.digest),
+    "op7_pii": _on("documents", op07_pii.digest),
     "op8_html_layout": _on("pages", op08_layout.digest),
     "op9_line_dedup": _on("documents", op09_lines.digest),
     "op10_quality_classifier": lambda spark, sf_dir: op10_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
