@@ -1,10 +1,6 @@
 """All queries of the engine's own operators, with their oracle SQL."""
 
-from __future__ import annotations
+from tickloom.plans import bar_queries, feature_queries, gex_queries, indicator_queries, scalar_queries, source_queries  # noqa: F401
+from tickloom.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
