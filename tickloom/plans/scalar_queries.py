@@ -1 +1,152 @@
-"""."""
+"""Queries over scalar functions, predicates and gates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tickloom.functions import expr as X
+from tickloom.operators.bars import stored_interval
+from tickloom.plans import adapters as A
+from tickloom.plans.feature_queries import r6
+from tickloom.plans.registry import query
+from tickloom.schemas import STORED_INTERVAL
+
+EVENTS = "(SELECT *, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS et FROM events)"
+MINUTE = "(hour(et) * 60 + minute(et))"
+GATES = {
+    "filter_market_open": (X.market_open, f"isodow(et) <= 5 AND {MINUTE} >= 570 AND {MINUTE} < 960"),
+    "filter_premarket": (X.premarket, f"isodow(et) <= 5 AND {MINUTE} >= 540 AND {MINUTE} < 570"),
+    "filter_postclose": (X.postclose, f"isodow(et) <= 5 AND {MINUTE} >= 960 AND {MINUTE} < 990"),
+    "filter_intraday_gate": (X.intraday_gate, f"isodow(et) <= 5 AND {MINUTE} >= 570 AND {MINUTE} <= 975"),
+    "filter_daily_gate": (X.daily_gate, "hour(et) = 16 AND minute(et) BETWEEN 25 AND 40"),
+}
+for _name, (_gate, _sql) in GATES.items():
+    query(_name, f"SELECT event_id, ts FROM {EVENTS} WHERE {_sql}")(lambda spark, d, gate=_gate: A.table(spark, d, "events").where(gate(F.col("ts"))).select("event_id", "ts"))
+
+
+@query("stream_gex_cron", f"SELECT event_id, CASE WHEN {GATES['filter_premarket'][1]} THEN 'premarket' WHEN {GATES['filter_market_open'][1]} THEN 'regular' WHEN {GATES['filter_postclose'][1]} THEN 'postclose' ELSE 'closed' END AS session FROM {EVENTS}")
+def _(spark, d):
+    ts = F.col("ts")
+    session = F.when(X.premarket(ts), "premarket").when(X.market_open(ts), "regular").when(X.postclose(ts), "postclose").otherwise("closed")
+    return A.table(spark, d, "events").select("event_id", session.alias("session"))
+
+
+SYMBOLS = ("ES=F", "NQ=F", "SPY", "QQQ", "BTC-USD", "^VIX")
+LIST = "(VALUES " + ", ".join(f"('{s}')" for s in SYMBOLS) + ") t(symbol)"
+
+
+def _symbols(spark):
+    return spark.createDataFrame([(s,) for s in SYMBOLS], "symbol string")
+
+
+@query("filter_session_symbols", f"SELECT e.event_id, t.symbol FROM {EVENTS} e, {LIST} WHERE e.event_id % 50 = 0 AND (ends_with(t.symbol, '=F') OR ({GATES['filter_intraday_gate'][1]}))")
+def _(spark, d):
+    e = A.table(spark, d, "events").where("event_id % 50 = 0").select("event_id", "ts")
+    each = e.withColumn("symbol", F.explode(F.array(*map(F.lit, SYMBOLS))))
+    return each.where(F.col("symbol").endswith("=F") | X.intraday_gate(F.col("ts"))).select("event_id", "symbol")
+
+
+@query("filter_ticker_groups", f"SELECT symbol, CASE WHEN symbol IN ('BTC-USD', 'ETH-USD') THEN 'crypto' ELSE 'other' END AS kind FROM {LIST}")
+def _(spark, d):
+    return _symbols(spark).select("symbol", F.when(F.col("symbol").isin("BTC-USD", "ETH-USD"), "crypto").otherwise("other").alias("kind"))
+
+
+@query("proj_display_name", f"SELECT symbol, CASE symbol WHEN 'ES=F' THEN '/ES' WHEN 'NQ=F' THEN '/NQ' WHEN '^VIX' THEN 'VIX' ELSE regexp_replace(symbol, '-USD$', '') END AS name FROM {LIST}")
+def _(spark, d):
+    names = F.create_map(*[F.lit(x) for kv in {"ES=F": "/ES", "NQ=F": "/NQ", "^VIX": "VIX"}.items() for x in kv])
+    return _symbols(spark).select("symbol", F.coalesce(F.try_element_at(names, F.col("symbol")), F.regexp_replace("symbol", "-USD$", "")).alias("name"))
+
+
+@query("proj_stored_interval", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in {**STORED_INTERVAL, "7m": "1m"}.items()) + ") t(interval, stored)")
+def _(spark, d):
+    return spark.createDataFrame([(i, stored_interval(i)) for i in (*STORED_INTERVAL, "7m")], "interval string, stored string")
+
+
+@query("proj_ticker_list", "SELECT unnest(list_filter(list_transform(string_split(' spy, qqq ,,es=f ', ','), lambda x: upper(trim(x))), lambda x: x <> '')) AS symbol")
+def _(spark, d):
+    parts = F.filter(F.transform(F.split(F.lit(" spy, qqq ,,es=f "), ","), lambda x: F.upper(F.trim(x))), lambda x: x != "")
+    return spark.range(1).select(F.explode(parts).alias("symbol"))
+
+
+@query("proj_numeric_coerce", "SELECT event_id, TRY_CAST(CASE WHEN event_id % 3 = 0 THEN 'x' || value ELSE value::VARCHAR END AS DOUBLE) AS value FROM events")
+def _(spark, d):
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("x"), F.col("value").cast("string"))).otherwise(F.col("value").cast("string"))
+    return A.table(spark, d, "events").select("event_id", raw.try_cast("double").alias("value"))
+
+
+@query("filter_valid_number", "SELECT event_id, value FROM events WHERE event_id % 4 <> 0 AND event_id % 5 <> 0")
+def _(spark, d):
+    v = F.when(F.col("event_id") % 4 == 0, "NaN").when(F.col("event_id") % 5 == 0, "Infinity").otherwise(F.col("value").cast("string"))
+    rows = A.table(spark, d, "events").select("event_id", X.finite(v).alias("value"))
+    return rows.where("value >= 0")
+
+
+@query("fn_math", f"""SELECT event_id, {r6('exp(-0.5 * (value / 100) * (value / 100)) / sqrt(2 * pi())')} AS pdf, floor(value * 100 + 0.5) / 100 AS round2, floor(value * 10000 + 0.5) / 10000 AS round4, least(greatest(value, 10), 400) AS clipped,
+{r6('ln(value)')} AS ln, {r6('ln(1 + value)')} AS log1p, {r6('sin(value)')} AS sin, {r6('sqrt(value)')} AS sqrt, sign(value - 200)::DOUBLE AS sign, {r6('pow(value / 100, 3)')} AS cube FROM events""")
+def _(spark, d):
+    v = F.col("value")
+    six = lambda c, n: X.rounded(c, 6).alias(n)
+    return A.table(spark, d, "events").select("event_id", six(X.norm_pdf(v / 100), "pdf"), X.rounded(v).alias("round2"), X.rounded(v, 4).alias("round4"), F.least(F.greatest(v, F.lit(10.0)), F.lit(400.0)).alias("clipped"), six(F.ln(v), "ln"), six(F.log1p(v), "log1p"), six(F.sin(v), "sin"), six(F.sqrt(v), "sqrt"), F.signum(v - 200).alias("sign"), six(F.pow(v / 100, F.lit(3)), "cube"))
+
+
+@query("fn_median_mean", f"SELECT event_type, {r6('quantile_cont(value, 0.5)')} AS median, {r6('coalesce(avg(value), 0)')} AS mean FROM events GROUP BY event_type")
+def _(spark, d):
+    return A.table(spark, d, "events").groupBy("event_type").agg(X.rounded(F.percentile("value", F.lit(0.5)), 6).alias("median"), X.rounded(F.coalesce(F.avg("value"), F.lit(0.0)), 6).alias("mean"))
+
+
+@query("fn_date", """SELECT event_id, hour(ts) AS hour, minute(ts) AS minute, isodow(ts) - 1 AS weekday, ts::DATE AS day, hour(et) AS et_hour, (ts - INTERVAL 3 MONTH) AS minus_3mo, (ts - INTERVAL 5 DAY) AS minus_5d, date_trunc('week', ts)::TIMESTAMP AS monday,
+time_bucket(INTERVAL 15 MINUTE, ts) AS quarter, floor(epoch(ts))::BIGINT AS seconds, strftime(ts, '%Y-%m-%d %H:%M:%S') AS text, make_timestamp(floor(epoch(ts))::BIGINT * 1000000) AS back FROM """ + EVENTS)
+def _(spark, d):
+    ts = F.col("ts")
+    seconds = F.unix_timestamp(ts.cast("timestamp"))
+    from tickloom.operators.bars import minus_period
+
+    return A.table(spark, d, "events").select(
+        "event_id", *[f(ts).cast("long").alias(n) for f, n in ((F.hour, "hour"), (F.minute, "minute"), (F.weekday, "weekday"))], F.to_date(ts).alias("day"), F.hour(X.exchange_time(ts)).cast("long").alias("et_hour"),
+        minus_period(ts, "3mo").alias("minus_3mo"), minus_period(ts, "5d").alias("minus_5d"), X.monday(ts).alias("monday"), X.floor_minutes(ts, 15).alias("quarter"), seconds.alias("seconds"), F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("text"), F.timestamp_seconds(seconds).cast("timestamp_ntz").alias("back"),
+    )
+
+
+@query("fn_date_parse", "SELECT * FROM (VALUES ('2024-01-05 10:20:30', TIMESTAMP '2024-01-05 10:20:30'), ('2024-01-05', TIMESTAMP '2024-01-05'), ('2024-01-05 10:20:30+00:00', TIMESTAMP '2024-01-05 10:20:30'), ('soon', NULL)) t(text, parsed)")
+def _(spark, d):
+    from tickloom.sources.readers import LOG_DATES
+
+    rows = spark.createDataFrame([(x,) for x in ("2024-01-05 10:20:30", "2024-01-05", "2024-01-05 10:20:30+00:00", "soon")], "text string")
+    return rows.select("text", F.coalesce(*[F.try_to_timestamp("text", F.lit(f)) for f in LOG_DATES]).cast("timestamp_ntz").alias("parsed"))
+
+
+@query("fn_string", """SELECT event_id, upper(event_type) AS up, string_split(upper(event_type) || ',' || event_id, ',')[1] AS head, ends_with(event_type, 'n') AS ends, regexp_extract(props, '(\\d+)', 1) AS digits, regexp_replace(event_type, 'i.*$', '') AS cut, regexp_matches(props, '^\\{.*\\}$') AS braces,
+(CASE WHEN value >= 200 THEN '+' ELSE '' END) || (floor(value)::BIGINT) || 'M' AS label FROM events""")
+def _(spark, d):
+    e = A.table(spark, d, "events")
+    return e.select(
+        "event_id", F.upper("event_type").alias("up"), F.get(F.split(F.concat_ws(",", F.upper("event_type"), F.col("event_id").cast("string")), ","), 0).alias("head"), F.col("event_type").endswith("n").alias("ends"), F.regexp_extract("props", r"(\d+)", 1).alias("digits"),
+        F.regexp_replace("event_type", "i.*$", "").alias("cut"), F.col("props").rlike(r"^\{.*\}$").alias("braces"), F.concat(F.when(F.col("value") >= 200, "+").otherwise(""), F.floor("value").cast("string"), F.lit("M")).alias("label"),
+    )
+
+
+@query("fn_json", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS missing FROM events")
+def _(spark, d):
+    return A.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"), F.get_json_object("props", "$.none").alias("missing"))
+
+
+@query("fn_array", "SELECT event_type, len(l) AS n, list_sum(l)::BIGINT AS total, list_max(l) AS top, l[1] AS first, l[1000000] AS beyond FROM (SELECT event_type, list(event_id ORDER BY event_id) AS l FROM events WHERE event_id % 100 = 0 GROUP BY event_type)")
+def _(spark, d):
+    a = A.table(spark, d, "events").where("event_id % 100 = 0").groupBy("event_type").agg(F.array_sort(F.collect_list("event_id")).alias("l"))
+    return a.select("event_type", F.size("l").cast("long").alias("n"), F.aggregate("l", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.array_max("l").alias("top"), F.get("l", F.lit(0)).alias("first"), F.get("l", F.lit(999999)).alias("beyond"))
+
+
+@query("fn_map", "SELECT event_type, count(*) AS hits, coalesce(CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'v' END, 'other') AS code FROM events GROUP BY event_type")
+def _(spark, d):
+    codes = F.create_map(F.lit("click"), F.lit("c"), F.lit("view"), F.lit("v"))
+    return A.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("hits")).withColumn("code", F.coalesce(F.try_element_at(codes, F.col("event_type")), F.lit("other")))
+
+
+@query("fn_null", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END, 0) AS filled, value / nullif(event_id % 4, 0) AS guarded FROM events")
+def _(spark, d):
+    return A.table(spark, d, "events").select("event_id", F.coalesce(F.when(F.col("event_id") % 3 != 0, F.col("value")), F.lit(0.0)).alias("filled"), X.ratio(F.col("value"), (F.col("event_id") % 4).cast("double")).alias("guarded"))
+
+
+@query("set_diff_required", "SELECT unnest(['close', 'volume']) AS missing")
+def _(spark, d):
+    return spark.range(1).select(F.explode(F.array_except(F.array(*map(F.lit, ("open", "high", "low", "close", "volume"))), F.array(*map(F.lit, ("open", "high", "low"))))).alias("missing"))

@@ -1 +1,127 @@
-"""."""
+"""Queries over sources: vendor documents, logs and files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tickloom.plans import adapters as A
+from tickloom.plans.feature_queries import r6
+from tickloom.plans.registry import query
+from tickloom.sources import readers as R
+
+TWO = "floor({0} * 100 + 0.5) / 100"
+
+
+def charts(spark, d):
+    """One chart document per symbol, built from hourly bars, some with a missing price or volume."""
+    b = A.bars_1h(spark, d)
+    row = F.struct(F.unix_timestamp(F.col("date").cast("timestamp")).alias("t"), F.when(F.col("volume") % 11 != 0, F.col("open")).alias("open"), "high", "low", F.col("close_price").alias("close"), F.when(F.col("volume") % 13 != 0, F.col("volume")).alias("volume"))
+    per = b.groupBy("symbol").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    list_of = lambda k: F.transform("r", lambda x: x[k])
+    last = F.element_at("r", -1)
+    meta = F.struct(F.col("symbol").alias("symbol"), last["close"].alias("regularMarketPrice"), F.lit(1234).cast("long").alias("regularMarketVolume"), F.when(F.col("symbol") < "login", F.lit(7.5)).alias("previousClose"), F.lit(9.5).alias("chartPreviousClose"))
+    quote = F.struct(*[list_of(k).alias(k) for k in ("open", "high", "low", "close", "volume")])
+    doc = F.struct(F.struct(F.array(F.struct(meta.alias("meta"), list_of("t").alias("timestamp"), F.struct(F.array(quote).alias("quote")).alias("indicators"))).alias("result")).alias("chart"))
+    return per.select("symbol", F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def _round(*names: str) -> str:
+    return ", ".join(f"{TWO.format(c)} AS {c}" for c in names)
+
+
+@query("src_chart_json", A.ctes("bars") + f" SELECT symbol, date, {_round('open', 'high', 'low', 'close_price')}, CASE WHEN volume % 13 <> 0 THEN volume ELSE 0 END AS volume FROM bars WHERE volume % 11 <> 0")
+def _(spark, d):
+    return R.chart_bars(charts(spark, d), True)
+
+
+@query("src_chart_json_daily", A.ctes("bars") + f""" SELECT symbol, day AS date, {_round('open', 'high', 'low', 'close_price')}, CASE WHEN volume % 13 <> 0 THEN volume ELSE 0 END AS volume
+FROM (SELECT *, date_trunc('day', date)::TIMESTAMP AS day, row_number() OVER (PARTITION BY symbol, date_trunc('day', date) ORDER BY date) AS r FROM bars WHERE volume % 11 <> 0) WHERE r = 1""")
+def _(spark, d):
+    return R.chart_bars(charts(spark, d), False)
+
+
+@query("src_live_1m", A.ctes("bars") + " SELECT symbol, date, open, high, low, close_price, CASE WHEN volume % 13 <> 0 THEN volume ELSE 0 END AS volume FROM bars WHERE volume % 11 <> 0")
+def _(spark, d):
+    return R.live_minutes(charts(spark, d))
+
+
+@query("src_live_quote", A.ctes("bars") + " SELECT symbol, arg_max(close_price, date) AS price, 1234::BIGINT AS volume, CASE WHEN symbol < 'login' THEN 7.5::DOUBLE ELSE 9.5::DOUBLE END AS previous_close FROM bars GROUP BY symbol")
+def _(spark, d):
+    return R.live_quotes(charts(spark, d))
+
+
+@query("src_last_tick", A.ctes("bars") + " SELECT symbol, arg_max(close_price, date) AS price, 1234::BIGINT AS volume FROM bars GROUP BY symbol")
+def _(spark, d):
+    return R.last_ticks(charts(spark, d))
+
+
+@query("src_last_price", A.ctes("bars") + " SELECT symbol, arg_max(close_price, date) AS price FROM bars GROUP BY symbol UNION ALL SELECT 'none', -1.0::DOUBLE")
+def _(spark, d):
+    docs = charts(spark, d).unionByName(spark.createDataFrame([("none", "{}")], "symbol string, json string"))
+    return docs.select("symbol", R.last_price(F.col("json")).alias("price"))
+
+
+@query("src_history_bars", A.ctes("bars") + f" SELECT symbol, date, {_round('open', 'high', 'low', 'close_price')}, CASE WHEN volume % 17 = 0 THEN 0 ELSE volume END AS volume FROM bars")
+def _(spark, d):
+    rows = A.bars_1h(spark, d).withColumn("volume", F.when(F.col("volume") % 17 == 0, "n/a").otherwise(F.col("volume").cast("string")))
+    return R.history_bars(rows, True)
+
+
+def chains(spark, d):
+    """One chain document per underlying and expiry from contracts of few parts, one strike of 0 in each."""
+    c = A.contracts(spark, d).where("days_out <= 3 and volume <= 2")
+    row = F.struct("strike", F.col("implied_volatility").alias("impliedVolatility"), F.col("open_interest").cast("double").alias("openInterest"), F.col("volume").cast("double").alias("volume"))
+    side = lambda s: F.collect_list(F.when(F.col("side") == s, row))
+    zero = F.array(F.struct(F.lit(0.0).alias("strike"), F.lit(0.5).alias("impliedVolatility"), F.lit(1.0).alias("openInterest"), F.lit(1.0).alias("volume")))
+    per = c.groupBy("underlying", "days_out").agg(side("call").alias("calls"), side("put").alias("puts"))
+    option = F.struct(F.col("days_out").cast("long").alias("expirationDate"), F.concat("calls", zero).alias("calls"), "puts")
+    return per.select("underlying", F.to_json(F.struct(F.array(F.col("days_out").cast("long")).alias("expirationDates"), F.array(option).alias("options"))).alias("json"))
+
+
+CHAIN = A.ctes("contracts") + " SELECT underlying, days_out::BIGINT AS expiration, side, strike, {iv} AS implied_volatility, open_interest, volume FROM contracts WHERE days_out <= 3 AND volume <= 2"
+
+
+@query("src_option_chain", CHAIN.format(iv=r6("implied_volatility")))
+def _(spark, d):
+    from tickloom.functions import expr as X
+
+    return R.option_chain(chains(spark, d)).withColumn("implied_volatility", X.rounded("implied_volatility", 6))
+
+
+@query("src_option_expirations", A.ctes("contracts") + " SELECT DISTINCT underlying, days_out::BIGINT AS expiration FROM contracts WHERE days_out <= 3 AND volume <= 2")
+def _(spark, d):
+    return R.option_expirations(chains(spark, d))
+
+
+def log_lines(spark, d):
+    """A repair log in text, from hourly bars: every third line has a bare date, every fifth is a heading."""
+    b = A.bars_1h(spark, d).where("volume % 4 = 0")
+    at = F.when(F.col("volume") % 3 == 0, F.date_format("date", "yyyy-MM-dd")).otherwise(F.date_format("date", "yyyy-MM-dd HH:mm:ss"))
+    text = F.concat(F.lit("  "), F.col("symbol"), F.lit(" 1h "), at, F.lit(": open "), F.floor("open").cast("string"), F.lit("->1.0, low "), F.floor("low").cast("string"), F.lit("->0.5"))
+    return b.select(F.when(F.col("volume") % 5 == 0, F.lit("== 1h ==")).otherwise(text).alias("value"), F.unix_timestamp(F.col("date").cast("timestamp")).alias("position"))
+
+
+LOG = A.ctes("bars") + """, e AS (SELECT symbol, '1h' AS interval_type, CASE WHEN volume % 3 = 0 THEN date_trunc('day', date)::TIMESTAMP ELSE date END AS date, f AS field, CASE WHEN f = 'open' THEN floor(open) ELSE floor(low) END AS old, epoch(date)::BIGINT * 8 + k AS position
+FROM bars, (VALUES ('open', 0), ('low', 1)) x(f, k) WHERE volume % 4 = 0 AND volume % 5 <> 0)"""
+
+
+@query("src_repair_log", LOG + " SELECT * FROM e")
+def _(spark, d):
+    return R.repair_log(log_lines(spark, d))
+
+
+@query("agg_edit_counts", LOG + " SELECT symbol, interval_type, count(*) AS n FROM e GROUP BY symbol, interval_type")
+def _(spark, d):
+    return R.repair_log(log_lines(spark, d)).groupBy("symbol", "interval_type").agg(F.count("*").alias("n")).orderBy("symbol", "interval_type")
+
+
+@query("src_parquet", "SELECT o_orderkey, o_custkey, o_totalprice::DOUBLE AS o_totalprice FROM orders WHERE o_orderkey % 3 = 0")
+def _(spark, d):
+    return A.table(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+
+
+@query("join_arrays_positional", "SELECT x AS pos, CASE WHEN x < 3 THEN x + 1 END AS a, CASE WHEN x < 2 THEN x * 10 END AS b, x * 100 AS c FROM (SELECT unnest(range(0, 4))::INT AS x)")
+def _(spark, d):
+    """Arrays of unequal length by position; the shorter ones give nulls."""
+    one = spark.range(1).select(F.array(*map(F.lit, (1, 2, 3))).alias("a"), F.array(*map(F.lit, (0, 10))).alias("b"), F.array(*map(F.lit, (0, 100, 200, 300))).alias("c"))
+    return one.select(F.posexplode(F.arrays_zip("a", "b", "c")).alias("pos", "r")).select("pos", "r.*")
