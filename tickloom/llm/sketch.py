@@ -9,6 +9,8 @@ that occurs twice always tests positive. Width follows the input up to
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,10 +48,8 @@ def _fill(hasher: Callable, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, offsets = tx.bytes_of(batch.column("text"))
             found: list[list[np.ndarray]] = [[], []]
-            for a, b in tx.chunks(offsets):
-                h = hasher(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for h in hasher(batch):
                 for k, c in enumerate(cells(h, bits)):
                     found[k].append(c.astype(np.uint32))
             for k in (0, 1):
@@ -81,24 +81,54 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(have > 1).tobytes()], pa.binary())], names=["segment", "bitmap"])
 
 
-def repeated(source: DataFrame, hasher: Callable, bytes_per_hash: int):
-    """(broadcast bitmaps, bits) for the hashes that `hasher(flat, offsets)` gives over `source.text`."""
-    spark = source.sparkSession
+def repeated_in_text(source: DataFrame, hasher: Callable, bytes_per_hash: int):
+    """The sketch of the hashes that `hasher(flat, offsets)` gives over `source.text`."""
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MAX_BITS, max(MIN_BITS, int(np.ceil(np.log2(max(1, total) / bytes_per_hash * 2)))))
-    filled = source.select("text").mapInArrow(_fill(hasher, bits), "segment int, once binary, more binary")
+
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        flat, offsets = tx.bytes_of(batch.column(0))
+        for a, b in tx.chunks(offsets):
+            yield hasher(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+    return _repeated(source.select("text"), hashes, total / bytes_per_hash)
+
+
+def repeated_in_column(hashes: DataFrame):
+    """The same for a DataFrame of one column of hashes (long)."""
+    return _repeated(hashes, lambda batch: [batch.column(0).to_numpy().view(np.uint64)], hashes.count())
+
+
+def _repeated(source: DataFrame, hasher: Callable, n_hashes: float):
+    spark = source.sparkSession
+    bits = min(MAX_BITS, max(MIN_BITS, int(np.ceil(np.log2(max(1, n_hashes) * 2)))))
+    filled = source.mapInArrow(_fill(hasher, bits), "segment int, once binary, more binary")
     merged = filled.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "segment").mapInArrow(_merge, "segment int, bitmap binary")
     maps = np.zeros((2, (1 << bits) // 8), np.uint8)
     width = (1 << SEGMENT) // 8
     for r in merged.toLocalIterator():
         at = (r.segment // 2) * width
         maps[r.segment % 2, at : at + width] = np.frombuffer(r.bitmap, np.uint8)
-    return spark.sparkContext.broadcast(maps), bits
+    return Sketch(spark.sparkContext.broadcast(zlib.compress(maps.tobytes(), 1)), bits)
+
+
+class Sketch:
+    """The merged bitmaps; sent to the executors compressed, opened once in each worker process."""
+
+    _open: dict[str, np.ndarray] = {}
+
+    def __init__(self, sent, bits: int):
+        self.sent, self.bits, self.number = sent, bits, uuid.uuid4().hex
+
+    def maps(self) -> np.ndarray:
+        if self.number not in Sketch._open:
+            Sketch._open.clear()  # one at a time
+            Sketch._open[self.number] = np.frombuffer(zlib.decompress(self.sent.value), np.uint8).reshape(2, -1)
+        return Sketch._open[self.number]
 
 
-def hits(sketch, h: np.ndarray) -> np.ndarray:
+def hits(sketch: Sketch, h: np.ndarray) -> np.ndarray:
     """Indices of the hashes estimated to occur twice or more."""
-    maps, (c0, c1) = sketch[0].value, cells(h, sketch[1])
+    maps, (c0, c1) = sketch.maps(), cells(h, sketch.bits)
     on = lambda m, c: (m[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
     keep = np.flatnonzero(on(maps[0], c0))
     return keep[on(maps[1], c1[keep])]

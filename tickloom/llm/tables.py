@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Stands for a null id: it sorts first.
+NULL_ID = -(2**63)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,14 +25,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One struct `row` with every input column, beside `id` and `text`, so that other columns can't clash."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-
-def pieces(spark: SparkSession, df: DataFrame) -> int:
-    """Partitions for an explicit repartition: as many as the input has or shuffles use, whichever is more."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """A struct `row` of every input column (or those in `carry`), beside `id`, `text` and `key`, a hash of the text; other columns can't clash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
+    return docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
 
 
 def stored(df: DataFrame) -> DataFrame:

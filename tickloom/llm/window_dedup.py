@@ -4,11 +4,15 @@ A window is `size` consecutive units of one document. Every unit is removed that
 a window covers whose unit sequence also starts earlier: in a document of
 smaller id, or earlier in the same document. Windows are judged on the input.
 
-Plan: one map pass hashes windows (128 bits). Within an Arrow batch only the
+Plan: one map pass hashes windows (96 bits). Within an Arrow batch only the
 first occurrence of a window goes on; the others are known repeats and travel as
 merged runs, so a window that fills a third of the corpus adds one row a batch.
-One shuffle by window hash ranks occurrences; repeats go back to their document
-by id and text key, where covered units are merged and cut.
+A window's bucket is the least hash of its 8-word substrings (of the whole
+window, for lines): equal windows have equal buckets, and neighbours mostly
+share theirs, so a run of neighbours travels as one row with its hashes in a
+binary. One shuffle by bucket, sorted, brings equal windows together; a task
+reads whole buckets, some at a time, and ranks occurrences. Repeats go back to
+their document by id and text key, where covered units are merged and cut.
 
 Optionally a count-min prefilter (two rows of cells, merged from the sketches of
 all partitions) runs first, and only windows that it estimates as repeated are
@@ -26,7 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,12 +38,6 @@ from tickloom.llm import sketch as sketching
 from tickloom.llm import text as tx
 from tickloom.llm.tables import keyed
 
-_NULL_ID = np.iinfo(np.int64).min
-
-#: unit name -> separators between units
-_LINE = np.zeros(256, bool)
-_LINE[10] = True
-
 
 def word_units(flat, offsets):
     return tx.words(flat, offsets)
@@ -58,81 +56,143 @@ def line_units(flat, offsets):
 UNITS: dict[str, Callable] = {"word": word_units, "line": line_units}
 
 
-def _windows(flat: np.ndarray, offsets: np.ndarray, unit: str, size: int, both: bool = True):
-    """Hashes, row and position (in units of the row) of each window."""
+GRAM = {"word": 8, "line": None}
+
+
+def _windows(flat: np.ndarray, offsets: np.ndarray, unit: str, size: int, whole: bool = True):
+    """Hash (64 bits) of each window; with `whole`, also 32 bits more, the bucket, and the row and position (in units of the row)."""
     starts, ends, owner = UNITS[unit](flat, offsets)
     n = len(starts) - size + 1
     if n <= 0:
-        e = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), e, e
+        return [np.zeros(0, t) for t in (np.uint64, np.uint32, np.uint64, np.int64, np.int64)]
     inside = np.flatnonzero(owner[:n] == owner[size - 1 :])
-    first = np.searchsorted(owner, np.arange(len(offsets) - 1))
-    hashes = []
-    for seed in (0, 1)[: 1 + both]:
-        ids = tx.span_hash(flat, starts, ends, seed)
-        hashes.append(tx.mix(tx.rolling(ids, size, 0xD6E8FEB86659FD93 + 2 * seed)[inside], seed + 7))
+    ids = tx.span_hash(flat, starts, ends, 0)
+    h1 = tx.mix(tx.rolling(ids, size, 0xD6E8FEB86659FD93)[inside], 7)
+    if not whole:
+        return [h1]
+    other = tx.span_hash(flat, starts, ends, 1)
+    h2 = (tx.mix(tx.rolling(other, size, 0xD6E8FEB86659FD95)[inside], 8) >> np.uint64(32)).astype(np.uint32)
+    bucket = h1
+    if GRAM[unit] is not None and GRAM[unit] < size:
+        least, window, width = tx.mix(tx.rolling(ids, GRAM[unit], 0xA24BAED4963EE407), 9), size - GRAM[unit] + 1, 1
+        while width * 2 <= window:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        bucket = np.minimum(least[:n], least[window - width : window - width + n])[inside]
     row = owner[inside]
-    return hashes[0], hashes[-1], row, inside - first[row]
+    return [h1, h2, bucket, row, inside - np.searchsorted(owner, np.arange(len(offsets) - 1))[row]]
+
+
+#: A run of neighbouring windows from `pos` on, hashes of 8 + 4 bytes each in `hashes`; or (hashes null) `n` units known to be repeated.
+ROWS = "bucket long, id long, key long, pos int, n int, hashes binary"
+_SCHEMA = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary())])
+_HASH = np.dtype([("h1", "<u8"), ("h2", "<u4")])
+_LOW = 2**32 - 1
 
 
-ROWS = "h1 long, h2 long, id long, key long, pos int, n int"
-_SCHEMA = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])
+def _later(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which occurrences are not at the first (id, position) of their hash."""
+    order = np.lexsort((pos, ids, h2, h1))
+    a, b, i, p = h1[order], h2[order], ids[order], pos[order]
+    start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(order) else order
+    lead = np.repeat(start, np.diff(np.append(start, len(order))))
+    out = np.zeros(len(order), bool)
+    out[order] = (i != i[lead]) | (p != p[lead])
+    return out
 
 
 def _emit(unit: str, size: int, sketch=None):
-    """First occurrences in the batch (n = 0), and merged runs of units that known repeats cover (n > 0)."""
+    """Runs of first occurrences in the batch, and merged runs of units that known repeats cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, offsets = tx.bytes_of(batch.column("text"))
-            ids = batch.column("id").fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             parts = []
             for a, b in tx.chunks(offsets):
-                h1, h2, row, pos = _windows(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], unit, size)
+                found = _windows(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], unit, size)
                 if sketch is not None:
-                    keep = sketching.hits(sketch, h1)
-                    h1, h2, row, pos = h1[keep], h2[keep], row[keep], pos[keep]
-                parts.append((h1, h2, (row + a).astype(np.int32), pos.astype(np.int32)))
+                    keep = sketching.hits(sketch, found[0])
+                    found = [x[keep] for x in found]
+                parts.append((*found[:3], (found[3] + a).astype(np.int32), found[4].astype(np.int32)))
             if not parts:
                 continue
-            h1, h2, row, pos = (np.concatenate(x) for x in zip(*parts))
+            h1, h2, bucket, row, pos = (np.concatenate(x) for x in zip(*parts))
             parts.clear()
-            order = np.lexsort((pos, ids[row], h1))
-            g1, g2, gi, gp = h1[order], h2[order], ids[row[order]], pos[order]
-            same = np.zeros(len(order), bool)
-            same[1:] = (g1[1:] == g1[:-1]) & (g2[1:] == g2[:-1])
-            start = np.flatnonzero(~same)
-            lead = np.repeat(start, np.diff(np.append(start, len(order))))
-            later = (gi != gi[lead]) | (gp != gp[lead])  # earlier means smaller (id, position)
-            firsts = order[~later]
-            yield _batch(h1[firsts], h2[firsts], ids[row[firsts]], keys[row[firsts]], pos[firsts], np.zeros(len(firsts), np.int32))
-            late = np.sort(order[later])  # back in reading order
-            if len(late):
-                r, p = row[late], pos[late]
-                cut = np.ones(len(late), bool)
-                cut[1:] = (r[1:] != r[:-1]) | (p[1:] > p[:-1] + size)
-                begin = np.flatnonzero(cut)
-                stop = np.append(begin[1:], len(late)) - 1
-                r0 = r[begin]
-                salt = tx.mix(keys[r0].view(np.uint64) + p[begin].astype(np.uint64))
-                yield _batch(salt, salt, ids[r0], keys[r0], p[begin], p[stop] + size - p[begin])
+            late = _later(h1, h2, ids[row], pos)
+            keep, gone = np.flatnonzero(~late), np.flatnonzero(late)  # both in reading order
+            if len(keep):
+                r, p, c = row[keep], pos[keep], bucket[keep]
+                first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1) | (c[1:] != c[:-1])]))
+                packed = np.empty(len(keep), _HASH)
+                packed["h1"], packed["h2"] = h1[keep], h2[keep]
+                count = np.diff(np.append(first, len(keep)))
+                hashes = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.append(first, len(keep)).astype(np.int32) * _HASH.itemsize), pa.py_buffer(packed.tobytes())])
+                yield _rows(c[first].view(np.int64), ids[r[first]], keys[r[first]], p[first], count, hashes)
+            if len(gone):
+                r, p = row[gone], pos[gone]
+                first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] > p[:-1] + size)]))
+                last = np.append(first[1:], len(gone)) - 1
+                salt = tx.mix((keys[r[first]] + p[first]).view(np.uint64)).view(np.int64)  # they need no company
+                yield _rows(salt, ids[r[first]], keys[r[first]], p[first], p[last] + size - p[first], pa.nulls(len(first), pa.binary()))
 
     return run
 
 
-def _batch(h1, h2, ids, keys, pos, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids), pa.array(keys), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))], schema=_SCHEMA)
+def _rows(bucket, ids, keys, pos, n, hashes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids), pa.array(keys), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32)), hashes], schema=_SCHEMA)
+
+
+def _settle(size: int, rows_at_once: int = 200_000):
+    """Repeated runs (id, key, n * 2**32 + pos) of rows that arrive sorted by bucket; whole buckets are ranked together."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("span", pa.int64())])
+
+    def settled(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        known = t.filter(pa.compute.is_null(t["hashes"]))
+        ids, keys, pos, n = (known[c].to_numpy().astype(np.int64) for c in ("id", "key", "pos", "n"))
+        out = [(ids, keys, n << 32 | pos)]
+        rest = t.filter(pa.compute.is_valid(t["hashes"]))
+        if len(rest):
+            ids, keys, pos, n = (rest[c].to_numpy().astype(np.int64) for c in ("id", "key", "pos", "n"))
+            h = np.frombuffer(b"".join(rest["hashes"].to_pylist()), _HASH)
+            who = np.repeat(np.arange(len(n)), n)
+            at = pos[who] + np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+            gone = np.flatnonzero(_later(h["h1"], h["h2"], ids[who], at))
+            if len(gone):
+                w, p = who[gone], at[gone]
+                first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (p[1:] > p[:-1] + size)]))
+                last = np.append(first[1:], len(gone)) - 1
+                out.append((ids[w[first]], keys[w[first]], (p[last] + size - p[first]) << 32 | p[first]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket = batch.column("bucket").to_numpy()
+            cut = int(np.searchsorted(bucket, bucket[-1], "left"))  # the last bucket may go on in the next batch
+            if held and held[-1].column("bucket")[-1].as_py() != bucket[0] and sum(x.num_rows for x in held) >= rows_at_once:
+                yield from settled(pa.Table.from_batches(held, _SCHEMA))
+                held = []
+            if cut and sum(x.num_rows for x in held) + cut >= rows_at_once:
+                yield from settled(pa.Table.from_batches([*held, batch.slice(0, cut)], _SCHEMA))
+                held, batch = [], batch.slice(cut)
+            held.append(batch)
+        if held:
+            yield from settled(pa.Table.from_batches(held, _SCHEMA))
+
+    return run
 
 
 def repeats(docs: DataFrame, unit: str, size: int, prefilter: bool) -> DataFrame:
-    """Per document (id, key) with any repeat: `spans`, an array of (pos, n) runs of units to remove."""
+    """Per document (id, key) with any repeat: `spans`, an array of runs of units to remove, each n * 2**32 + pos."""
     source = docs.select("id", "key", "text").where(F.octet_length("text") >= size)
-    sketch = sketching.repeated(source, lambda flat, offsets: _windows(flat, offsets, unit, size, both=False)[0], 6) if prefilter else None
+    sketch = sketching.repeated_in_text(source, lambda flat, offsets: _windows(flat, offsets, unit, size, whole=False)[0], 6) if prefilter else None
     rows = source.mapInArrow(_emit(unit, size, sketch), ROWS)
-    ranked = rows.withColumn("place", F.rank().over(Window.partitionBy("h1", "h2").orderBy("id", "pos")))
-    late = ranked.where("n > 0 or place > 1").select("id", "key", "pos", F.when(F.col("n") > 0, F.col("n")).otherwise(size).alias("n"))
-    return late.groupBy("id", "key").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
+    late = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle(size), "id long, key long, span long")
+    return late.groupBy("id", "key").agg(F.collect_list("span").alias("spans"))
 
 
 def _cut(unit: str, joiner: bytes):
@@ -150,9 +210,9 @@ def _cut(unit: str, joiner: bytes):
                     s, e = starts[first[k] : first[k + 1]], ends[first[k] : first[k + 1]]
                     out = np.zeros(len(s), bool)
                     if spans[a + k].is_valid:
-                        x = spans[a + k].values
-                        pos, n = (x.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-                        out = tx.covered(pos, np.minimum(pos + n, len(s)), len(s))
+                        x = spans[a + k].values.to_numpy(zero_copy_only=False)
+                        pos = x & _LOW
+                        out = tx.covered(pos, pos + (x >> 32), len(s))
                     left = np.flatnonzero(~out)
                     kept.append(joiner.join([data[i:j] for i, j in zip(s[left].tolist(), e[left].tolist())]))
                     total.append(len(s))
@@ -163,9 +223,9 @@ def _cut(unit: str, joiner: bytes):
     return run
 
 
-def remove_repeated_windows(docs: DataFrame, unit: str, size: int, prefilter: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`row` (the input row), `n_units`, `n_removed`, `kept` (the units left, joined by a space or \\n)."""
-    base = keyed(docs, id_col, text_col).withColumn("key", F.xxhash64("text")).withColumn("id", F.coalesce("id", F.lit(int(_NULL_ID))))
+def remove_repeated_windows(docs: DataFrame, unit: str, size: int, prefilter: bool, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """`row` (the input row, or its columns in `carry`), `n_units`, `n_removed`, `kept` (the units left, joined by a space or \\n)."""
+    base = keyed(docs, id_col, text_col, carry).withColumn("key", F.col("key").bitwiseAND(F.lit(_LOW)))
     late = repeats(base, unit, size, prefilter)
     joined = base.join(late, ["id", "key"], "left").select("row", "text", "spans")
     schema = T.StructType([joined.schema["row"], *(T.StructField(c, T.LongType()) for c in ("n_units", "n_removed")), T.StructField("kept", T.StringType())])
