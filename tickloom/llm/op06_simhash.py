@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from tickloom.llm import text as tx
 from tickloom.llm.components import components
-from tickloom.llm.tables import checkpointed
+from tickloom.llm.tables import NULL_ID, checkpointed, keyed
 
 SHINGLE, MAX_BITS = 3, 2
 #: Lengths in bits of the 12 segments (64 in all), and the bits that hold one count in a packed cell.
@@ -80,14 +80,14 @@ def fingerprints(batch_text: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long."""
+    """(id, key, fp): a hash of the text, and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(batch.column(1), shingle).view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(fingerprints(batch.column("text"), shingle).view(np.int64))], names=["id", "key", "fp"])
 
-    kind = docs.schema[id_col].dataType
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("fp", T.LongType())]))
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, T.StructType([source.schema["id"], T.StructField("key", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
 def cell(fp):
@@ -121,23 +121,27 @@ def links(fps: DataFrame, reach: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = MAX_BITS) -> DataFrame:
-    """(id, fp, component_id) for every document."""
+    """(id, key, fp, root, component_id) for every document; root is the component's least fingerprint."""
     marked = checkpointed(with_fingerprint(docs, id_col, text_col))
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(distinct.select("fp"), reach))
     member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("id", "fp", "component_id")
+    named = member.join(least, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("id", "key", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = MAX_BITS) -> DataFrame:
-    """The documents whose id is the smallest of their component; of repeated rows of that id one stays. Null ids stay only alone in theirs."""
+    """One document of each component, that of the smallest id (null ids only where all are null); all columns as they are.
+
+    Of rows that share that id within a component, the one of the least text hash stays, once.
+    """
     found = near_duplicates(docs, id_col, text_col, reach)
-    firsts = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept_id")).distinct()
-    kept = docs.join(firsts, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")), "left_semi")
-    one = Window.partitionBy(f"`{id_col}`").orderBy(F.col(f"`{text_col}`").asc_nulls_last(), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return kept.withColumn("_copy", F.row_number().over(one)).where("_copy = 1").drop("_copy")
+    own = found.where(F.col("id").eqNullSafe(F.col("component_id")))
+    firsts = own.groupBy(F.coalesce(F.col("id").cast("long"), F.lit(NULL_ID)).alias("id"), "root").agg(F.min("key").alias("key")).select("id", "key").distinct()
+    rows = keyed(docs, id_col, text_col).select("id", "key", "row").join(firsts, ["id", "key"], "left_semi")
+    one = Window.partitionBy("id", "key").orderBy(F.xxhash64("row"))
+    return rows.withColumn("place", F.row_number().over(one)).where("place = 1").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
