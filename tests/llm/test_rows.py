@@ -85,6 +85,17 @@ def test_bands_reject_noise_and_keep_prose(table, spark):
     assert Q.digest(df.where("false")).count() == 0 and Q.kept_documents(df).columns == df.columns
 
 
+def test_copies_of_one_text_leave_the_band_as_it_is(table, spark):
+    good = [r.text for r in table.where("lang = 'en' and n_chars > 1500").limit(40).collect()]
+    noise = " ".join("".join(chr(97 + (k * 31 + j * 17 + k * j) % 26) for j in range(14)) for k in range(200))
+    rows = [(k, t, "en") for k, t in enumerate(good)] + [(1000 + k, good[0], "en") for k in range(4 * len(good))] + [(900, noise, "en")]
+    rows += [(2000 + k, good[min(k, 1)], "xx") for k in range(4)] + [(3000, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    passed = {r.doc_id for r in Q.digest(df).where("not base_failed").collect()}
+    kept = {r.doc_id for r in Q.kept_documents(df).collect()}
+    assert len(passed & set(range(40))) > 30 and kept == passed - {900}
+
+
 def test_mixing_equals_sql(spark, docs, rows):
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")

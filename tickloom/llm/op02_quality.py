@@ -9,9 +9,12 @@ It holds distinct n-grams, not text; over `MODEL_ROWS` entries it stays a table
 and texts are scored by a join on n-grams instead.
 
 Verdict. Bits per word and bits per byte of each text are held against bands of
-its language: the median of all texts of `MIN_WORDS` words or more, less or plus
-`WIDTH` robust deviations (quartile distance / 1.349), more for shorter texts.
-Above or below is rejected.
+its language: the median of all distinct texts of `MIN_WORDS` words or more, less
+or plus `WIDTH` robust deviations (quartile distance / 1.349, `LEAST` at least),
+more for shorter texts. Above or below is rejected. Copies count once in the
+bands, but each in the model, where they make their own text predictable: a text
+that is there twice or more and holds a hundredth of its language's words
+(`COPIED`, so at most a hundred texts) isn't rejected for being below.
 
 Defined cases: null text is empty (no words, so the base rules fail); null lang
 is a language of its own; repeated rows count and score each; a language whose
@@ -32,6 +35,9 @@ from tickloom.llm import text as tx
 from tickloom.llm.tables import checkpointed
 
 ORDER, MIN_WORDS, MAX_REPEAT_PERCENT, WIDTH = 4, 50, 50, 8.0
+#: About half the least deviation of any language at sf0.1 (0.40 and 0.028 bits).
+LEAST = {"word_bits": 0.2, "byte_bits": 0.015}
+COPIED = 0.01
 MODEL_ROWS = 8_000_000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -227,7 +233,7 @@ def _score(model):
                     if model is not None:
                         gram, begin = byte_grams(part, off)
                         bits[at[a:b]] = np.add.reduceat(model.value.bits(lang, gram), begin[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("lang"), *map(pa.array, stats), pa.array(size), pa.array(bits)], names=["row", "lang", *STATS, "n_coded", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("lang"), batch.column("key"), *map(pa.array, stats), pa.array(size), pa.array(bits)], names=["row", "lang", "key", *STATS, "n_coded", "bits"])
 
     return run
 
@@ -254,40 +260,46 @@ def joined_bits(docs: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """`row` (the input row, or its columns in `carry`), `lang`, the STATS, `base_failed`, `word_bits`, `byte_bits`."""
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """`row` (the input row, or its columns in `carry`), `lang`, `key` (a hash of the text), the STATS, `base_failed`, `word_bits`, `byte_bits`."""
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     model = kneser_ney(checkpointed(counts(source)))
     small = model.count() <= model_rows
     context = docs.sparkSession.sparkContext
     arrays = context.broadcast(Model(model.toArrow())) if small else None
-    kinds = [source.schema["row"], source.schema["lang"], *(T.StructField(c, T.LongType()) for c in (*STATS, "n_coded")), T.StructField("bits", T.DoubleType())]
+    kinds = [source.schema["row"], source.schema["lang"], source.schema["key"], *(T.StructField(c, T.LongType()) for c in (*STATS, "n_coded")), T.StructField("bits", T.DoubleType())]
     if small:
         out = source.mapInArrow(_score(arrays), T.StructType(kinds))
     else:
-        keyed = source.withColumn("key", F.xxhash64("text"))
-        bits = joined_bits(keyed, model).withColumnRenamed("lang", "_lang")
-        held = keyed.join(bits.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & F.col("lang").eqNullSafe(F.col("_lang")), "left")
-        held = held.select(F.struct("row", "joined").alias("row"), "lang", "text")
+        bits = joined_bits(source, model).withColumnRenamed("lang", "_lang")
+        held = source.join(bits.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & F.col("lang").eqNullSafe(F.col("_lang")), "left")
+        held = held.select(F.struct("row", "joined").alias("row"), "lang", "text", "key")
         out = held.mapInArrow(_score(None), T.StructType([held.schema["row"], *kinds[1:]])).withColumn("bits", F.col("row.joined")).withColumn("row", F.col("row.row"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.select("row", "lang", *STATS, base.alias("base_failed"), F.try_divide("bits", "n_words").alias("word_bits"), (F.col("bits") / F.col("n_coded")).alias("byte_bits"))
+    return out.select("row", "lang", "key", *STATS, base.alias("base_failed"), F.try_divide("bits", "n_words").alias("word_bits"), (F.col("bits") / F.col("n_coded")).alias("byte_bits"))
 
 
 def bands(scores: DataFrame, width: float = WIDTH) -> DataFrame:
-    """Per language: the middle and the reach of word_bits and byte_bits, and the words of a typical text."""
-    found = scores.where(F.col("n_words") >= MIN_WORDS).groupBy("lang").agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 10000).alias(c) for c in ("word_bits", "byte_bits", "n_words")])
-    limits = [F.col("lang").alias("_lang"), F.col("n_words")[1].alias("typical_words")]
+    """Per language: the middle and the reach of word_bits and byte_bits over its distinct texts, the words of a typical text, and the keys of the texts `copied` most."""
+    columns = ("word_bits", "byte_bits", "n_words")
+    texts = checkpointed(scores.where(F.col("n_words") >= MIN_WORDS).groupBy("lang", "key").agg(*[F.min(c).alias(c) for c in columns], F.count("*").alias("n")))
+    found = texts.groupBy("lang").agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 10000).alias(c) for c in columns], F.sum(F.col("n") * F.col("n_words")).alias("all_words"))
+    limits = [F.col("lang").alias("_lang"), F.col("n_words")[1].alias("typical_words"), "all_words"]
     for c in ("word_bits", "byte_bits"):
         q = [F.col(c)[k] for k in range(3)]
-        limits += [q[1].alias(f"{c}_middle"), (width * F.greatest((q[2] - q[0]) / 1.349, F.lit(1e-6))).alias(f"{c}_reach")]
-    return found.select(*limits)
+        limits += [q[1].alias(f"{c}_middle"), (width * F.greatest((q[2] - q[0]) / 1.349, F.lit(LEAST[c]))).alias(f"{c}_reach")]
+    found = found.select(*limits)
+    often = texts.where("n > 1").join(F.broadcast(found), texts["lang"].eqNullSafe(found["_lang"])).where(F.col("n") * F.col("n_words") >= COPIED * F.col("all_words"))
+    often = often.groupBy(F.col("lang").alias("_of")).agg(F.collect_list("key").alias("copied"))
+    return found.join(often, found["_lang"].eqNullSafe(often["_of"]), "left").drop("_of", "all_words")
 
 
 def verdict() -> Column:
-    """Inside both bands; they widen for texts shorter than the typical one, as the deviation of a mean does."""
+    """Inside both bands; they widen for texts shorter than the typical one, as the deviation of a mean does. Copied texts have no lower bound."""
     inside, wider = F.lit(True), F.sqrt(F.greatest(F.lit(1.0), F.col("typical_words") / F.greatest("n_words", F.lit(1))))
+    copied = F.coalesce(F.array_contains("copied", F.col("key")), F.lit(False))
     for c in ("word_bits", "byte_bits"):
-        inside = inside & F.coalesce(F.abs(F.col(c) - F.col(f"{c}_middle")) <= F.col(f"{c}_reach") * wider, F.lit(True))
+        above, reach = F.col(c) - F.col(f"{c}_middle"), F.col(f"{c}_reach") * wider
+        inside = inside & F.coalesce((above <= reach) & (copied | (above >= -reach)), F.lit(True))
     return ~F.col("base_failed") & inside
 
 
