@@ -96,6 +96,14 @@ def test_copies_of_one_text_leave_the_band_as_it_is(table, spark):
     assert len(passed & set(range(40))) > 30 and kept == passed - {900}
 
 
+def test_labelled_junk_is_rejected(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    got = Q.digest(docs).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.count_if(~F.col("kept")).alias("gone")).collect()
+    share = {r.quality: r.gone / r.n for r in got}
+    assert share[0] >= 0.65 and share[1] <= 0.01, got
+
+
 def test_mixing_equals_sql(spark, docs, rows):
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
