@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from tickloom.llm import op01_decontam as D
@@ -128,6 +129,28 @@ def test_hits_are_exact_and_recall_is_high(spark):
     assert D.digest(df.where("false"), bench).count() == 0 and D.digest(df, bench.where("false")).count() == 0
 
 
+def planted(r, n, share, times):
+    """How many copies of items of n words are found at any alignment, with `share` of the edits allowed."""
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    items = [" ".join(word() for _ in range(n)) for _ in range(times)]
+    texts = [" ".join([word() for _ in range(r.randrange(20))] + changed(r, t.split(), int(n // 5 * share)) + [word() for _ in range(r.randrange(20))]) for t in items]
+    flat = np.frombuffer("".join(texts).encode(), np.uint8)
+    hits = {(row, k) for row, k, _, _ in D.find(D.Items(list(range(times)), items), flat, np.cumsum([0, *map(len, texts)]))}
+    return len({(k, k) for k in range(times)} & hits)
+
+
+def test_short_items_are_all_found():
+    r = random.Random(8)
+    for n in range(2, D.PIECED):
+        assert planted(r, n, 0, 40) == planted(r, n, 1, 40) == 40
+
+
+def test_recall_at_the_least_similarity():
+    r = random.Random(9)
+    found = {n: planted(r, n, 1, 300) / 300 for n in (25, 30, 45, 60, 200)}
+    assert min(found.values()) >= D.RECALL, found
+
+
 def test_slices_give_the_same(spark, monkeypatch, table):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     whole = sorted(map(tuple, D.digest(table, bench).collect()))

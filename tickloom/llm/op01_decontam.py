@@ -8,10 +8,16 @@ CGK embedding: a walk reads a word, writes it, and moves on if a random bit of
 into step, so edit distance becomes Hamming distance. Bit sampling then takes
 `SAMPLED` written words at random steps as a key; `repetitions` independent
 walks bring recall to the target. Windows start at every `STRIDE`-th word; each
-item is embedded from its first `STRIDE` words on, so one of them is in line with
-any copy. Window lengths follow the item's size in classes (`SIZES`); a walk is
+item is embedded from up to `BLOCKS` runs of `STRIDE` words, spread over all of
+it, so one of each run is in line with any copy. Window lengths follow the item's size in classes (`SIZES`); a walk is
 shared by all classes, since a shorter window reads a prefix of it.
 
+Target: `RECALL` of the stretches at the least similarity that is allowed.
+
+Items under `PIECED` words are found without chance: with k edits allowed, one of
+k + 1 pieces of the item stands unchanged in any match, so pieces are looked up
+at every word.
+
 Candidates pass a bound that loses none (a match within k edits has m - k of the
 item's words nearby), then the exact edit distance of the item to the best
 stretch of text around the window decides.
@@ -20,8 +26,8 @@ Items travel to the tasks as key tables, in slices of at most `SLICE_ITEMS`, so
 what is broadcast at once is bounded; more items mean more passes. Documents are
 neither shuffled nor grouped: hits are found where the text is read.
 
-Defined cases: null or empty texts and items with fewer than `MIN_ITEM_WORDS`
-words have no hits; repeated rows each have their own; null ids pass through.
+Defined cases: null or empty texts and items without words have no hits; items
+of one to four words must occur as they are; repeated rows each have their own; null ids pass through.
 """
 
 from __future__ import annotations
@@ -39,7 +45,9 @@ from tickloom.llm.tables import keyed
 
 SIMILARITY, STRIDE, SAMPLED, REPETITIONS = 0.8, 8, 3, 8
 SIZES = (8, 12, 18, 27, 40)
-MIN_ITEM_WORDS, SLICE_ITEMS = 8, 5000
+PIECED, BLOCKS, SLICE_ITEMS = 25, 8, 5000
+RECALL = 0.99
+_BASE = 0xD6E8FEB86659FD93
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -80,29 +88,60 @@ def size_class(n: int) -> int:
     return int(np.searchsorted(SIZES, n, "right")) - 1
 
 
+def offsets_of(n: int) -> np.ndarray:
+    """The words from which an item of n words is embedded."""
+    last = n - SIZES[0] - STRIDE + 1
+    begin = np.linspace(0, max(last, 0), min(BLOCKS, max(1, -(-(last + STRIDE) // STRIDE)))).astype(np.int64)
+    off = np.unique(begin[:, None] + np.arange(STRIDE))
+    return off[off <= n - SIZES[0]]
+
+
+def pieces_of(n: int, most: int) -> list[tuple[int, int]]:
+    """Start and length of the most + 1 pieces of an item of n words."""
+    cut = [n * k // (most + 1) for k in range(most + 2)]
+    return [(a, b - a) for a, b in zip(cut, cut[1:])]
+
+
+def paired(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices into `key` and the sorted `table` of all equal pairs."""
+    lo = np.searchsorted(table, key)
+    hit = np.flatnonzero(table[np.minimum(lo, len(table) - 1)] == key)
+    lo, hi = lo[hit], np.searchsorted(table, key[hit], "right")
+    n = hi - lo
+    return np.repeat(hit, n), np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
 class Items:
-    """Key tables of a slice of the benchmark: per repetition and class, sorted keys with item and offset."""
+    """Key tables of a slice of the benchmark: per repetition and class, sorted keys with item and offset; and per length of pieces."""
 
     def __init__(self, item_ids: list[int], texts: list[str | None], similarity: float = SIMILARITY, repetitions: int = REPETITIONS):
         self.words, self.item_ids, self.most, self.counts = [], [], [], []
         for i, text in zip(item_ids, texts):
             data = np.frombuffer((text or "").encode(), np.uint8)
             ids, _ = word_ids(data, np.array([0, len(data)]))
-            if len(ids) >= MIN_ITEM_WORDS:
+            if len(ids):
                 self.words.append(ids)
                 self.item_ids.append(i)
                 self.counts.append(np.unique(ids, return_counts=True))
                 self.most.append(int(np.floor(len(ids) * (1 - similarity) + 1e-9)))
         self.steps = plan(repetitions)
         self.tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
-        if not self.words:
+        self.pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for k, (ids, most) in enumerate(zip(self.words, self.most)):
+            if len(ids) < PIECED:
+                for off, n in pieces_of(len(ids), most):
+                    found.setdefault(n, []).append((int(tx.rolling(ids[off : off + n], n, _BASE)[0]), k, off))
+        for n, rows in found.items():
+            rows.sort()
+            self.pieces[n] = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows], np.int32)
+        if all(len(w) < PIECED for w in self.words):
             return
         size = np.array([len(w) for w in self.words])
         begin = np.cumsum(size) - size
         ids = np.append(np.concatenate(self.words), np.uint64(0))
-        who, off = (x.ravel() for x in np.meshgrid(np.arange(len(size)), np.arange(STRIDE), indexing="ij"))
-        ok = size[who] - off >= np.where(off == 0, MIN_ITEM_WORDS, SIZES[0])
-        who, off = who[ok], off[ok]
+        each = [offsets_of(n) if n >= PIECED else np.zeros(0, np.int64) for n in size.tolist()]
+        who, off = np.repeat(np.arange(len(size)), [len(x) for x in each]), np.concatenate(each)
         cls = np.searchsorted(SIZES, size[who] - off, "right") - 1
         # the sentinel behind the last word of all stands in for every item's end
         for r, steps in enumerate(self.steps):
@@ -141,19 +180,18 @@ def find(items: Items, flat: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
     at = np.flatnonzero((place % STRIDE == 0) & (first[owner + 1] - np.arange(len(owner)) >= SIZES[0]))
     stop = first[owner[at] + 1]
     found = set()
-    for r, steps in enumerate(items.steps):
-        for c, key in enumerate(keys(ids, at, stop, r, steps)):
-            table, who, off = items.tables[r][c]
+    for n, (table, who, off) in items.pieces.items():
+        start, pick = paired(table, tx.rolling(ids[:-1], n, _BASE))
+        inside = owner[start] == owner[start + n - 1]
+        start, pick = start[inside], pick[inside]
+        found.update(zip(owner[start].tolist(), who[pick].tolist(), (start - off[pick]).tolist()))
+    for r, tables in enumerate(items.tables if len(at) else ()):
+        for c, key in enumerate(keys(ids, at, stop, r, items.steps[r])):
+            table, who, off = tables[c]
             if not len(table):
                 continue
-            lo = np.searchsorted(table, key)
-            hit = np.flatnonzero(table[np.minimum(lo, len(table) - 1)] == key)
-            if not len(hit):
-                continue
-            lo, hi = lo[hit], np.searchsorted(table, key[hit], "right")
-            n = hi - lo
-            pick = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            start = at[np.repeat(hit, n)]
+            hit, pick = paired(table, key)
+            start = at[hit]
             found.update(zip(owner[start].tolist(), who[pick].tolist(), (start - off[pick]).tolist()))
     hits = []
     last: tuple[int, int, int] | None = None  # row, item and latest begin of the open run of candidates
