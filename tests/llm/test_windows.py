@@ -54,6 +54,12 @@ def test_lines(docs, rows):
     assert collected(op09_lines.digest(docs)) == digest(brute(rows, lines, 3), b"\n")
 
 
+def test_empty_lines_alone_are_a_window(spark):
+    rows = [(1, "\n\n"), (2, "\n\n"), (3, "a\n\n\nb"), (4, "\n"), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collected(op09_lines.digest(df)) == digest(brute(rows, lines, 3), b"\n")
+
+
 @pytest.mark.parametrize("hot", [200, 2])
 def test_bytes(docs, rows, hot, monkeypatch):
     monkeypatch.setattr(op03_suffix, "HOT", hot)

@@ -188,7 +188,7 @@ def _settle(size: int, rows_at_once: int = 200_000):
 
 def repeats(docs: DataFrame, unit: str, size: int, prefilter: bool) -> DataFrame:
     """Per document (id, key) with any repeat: `spans`, an array of runs of units to remove, each n * 2**32 + pos."""
-    source = docs.select("id", "key", "text").where(F.octet_length("text") >= size)
+    source = docs.select("id", "key", "text").where(F.octet_length("text") >= (2 * size - 1 if unit == "word" else size - 1))
     sketch = sketching.repeated_in_text(source, lambda flat, offsets: _windows(flat, offsets, unit, size, whole=False)[0], 6) if prefilter else None
     rows = source.mapInArrow(_emit(unit, size, sketch), ROWS)
     late = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle(size), "id long, key long, span long")
