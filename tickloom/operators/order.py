@@ -7,17 +7,15 @@ the partitions before, of which there are as many rows as partitions.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.session import shared_folder
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """In the shared folder of spark.checkpoint.dir; a fresh local one only where that is unset, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    """In the shared folder of spark.checkpoint.dir."""
+    shared_folder(df.sparkSession.sparkContext)
     return df.checkpoint(eager=True)
 
 

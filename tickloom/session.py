@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +17,15 @@ def session(name: str = "tickloom", **conf: str) -> SparkSession:
         builder = builder.master(os.environ["SPARK_MASTER"])
     base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.ui.showConsoleProgress": "false"}
     return builder.config(map=base | conf).getOrCreate()
+
+
+def shared_folder(context: SparkContext) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary one in local mode, and an error on a cluster."""
+    top = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if top is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="checkpoints-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(top)
+    return top
