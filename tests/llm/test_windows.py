@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import op03_suffix, op05_substring, op09_lines, sketch, window_dedup
 from tickloom.llm import text as tx
@@ -38,6 +39,14 @@ def digest(found, join):
     return sorted(((place(i), len(u), sum(g), hashlib.sha256(join.join(x for x, y in zip(u, g) if not y)).hexdigest()) for i, u, g in found), key=str)
 
 
+def byte_digest(rows):
+    want = []
+    for i, u, gone in brute(rows, lambda b: [b[k : k + 1] for k in range(len(b))], 100):
+        runs = len(tx.runs(np.array(gone, bool))[0]) if u else 0
+        want.append((place(i), len(u), sum(gone), runs, hashlib.sha256(b"".join(x for x, g in zip(u, gone) if not g)).hexdigest()))
+    return sorted(want, key=str)
+
+
 def collected(df):
     return sorted(((place(r[0]), *r[1:]) for r in df.collect()), key=str)
 
@@ -63,11 +72,23 @@ def test_empty_lines_alone_are_a_window(spark):
 @pytest.mark.parametrize("hot", [200, 2])
 def test_bytes(docs, rows, hot, monkeypatch):
     monkeypatch.setattr(op03_suffix, "HOT", hot)
-    want = []
-    for i, u, gone in brute(rows, lambda b: [b[k : k + 1] for k in range(len(b))], 100):
-        runs = len(tx.runs(np.array(gone, bool))[0]) if u else 0
-        want.append((place(i), len(u), sum(gone), runs, hashlib.sha256(b"".join(x for x, g in zip(u, gone) if not g)).hexdigest()))
-    assert collected(op03_suffix.digest(docs)) == sorted(want, key=str)
+    assert collected(op03_suffix.digest(docs)) == byte_digest(rows)
+
+
+def test_texts_whose_hashes_agree_in_half_the_bits(spark):
+    """Of two texts with null ids and equal low halves of their hashes, only the one with repeats is cut."""
+    text = lambda kind: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda k: F.substring(F.md5(F.concat_ws("-", F.lit(kind), "id", k).cast("binary")), 1, 6)), "\n")
+    many = spark.range(150_000).select("id", text("a").alias("a"), text("b").alias("b"))
+    low = lambda c: F.xxhash64(c).bitwiseAND(F.lit(2**32 - 1))
+    a, b = many.select(low("a").alias("h"), "a"), many.select(low("b").alias("h"), "b")
+    pairs = a.join(b, "h").select("a", "b").collect()
+    assert pairs
+    for with_repeats, without in pairs[:2]:
+        rows = [(None, with_repeats), (None, without), (-5, with_repeats), (-6, with_repeats)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert collected(op05_substring.digest(df)) == digest(brute(rows, WORD.findall, 20), b" ")
+        assert collected(op09_lines.digest(df)) == digest(brute(rows, lines, 3), b"\n")
+        assert collected(op03_suffix.digest(df)) == byte_digest(rows)
 
 
 def test_table_without_rows(docs):

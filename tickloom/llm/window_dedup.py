@@ -12,7 +12,7 @@ window, for lines): equal windows have equal buckets, and neighbours mostly
 share theirs, so a run of neighbours travels as one row with its hashes in a
 binary. One shuffle by bucket, sorted, brings equal windows together; a task
 reads whole buckets, some at a time, and ranks occurrences. Repeats go back to
-their document by id and text key, where covered units are merged and cut.
+their document by id, text key (64 bits) and length, where covered units are merged and cut.
 
 Optionally a count-min prefilter (two rows of cells, merged from the sketches of
 all partitions) runs first, and only windows that it estimates as repeated are
@@ -84,8 +84,8 @@ def _windows(flat: np.ndarray, offsets: np.ndarray, unit: str, size: int, whole:
 
 
 #: A run of neighbouring windows from `pos` on, hashes of 8 + 4 bytes each in `hashes`; or (hashes null) `n` units known to be repeated.
-ROWS = "bucket long, id long, key long, pos int, n int, hashes binary"
-_SCHEMA = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary())])
+ROWS = "bucket long, id long, key long, bytes int, pos int, n int, hashes binary"
+_SCHEMA = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("bytes", pa.int32()), ("pos", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary())])
 _HASH = np.dtype([("h1", "<u8"), ("h2", "<u4")])
 _LOW = 2**32 - 1
 
@@ -109,6 +109,7 @@ def _emit(unit: str, size: int, sketch=None):
             flat, offsets = tx.bytes_of(batch.column("text"))
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             keys = batch.column("key").to_numpy(zero_copy_only=False)
+            lengths = batch.column("bytes").to_numpy(zero_copy_only=False)
             parts = []
             for a, b in tx.chunks(offsets):
                 found = _windows(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], unit, size)
@@ -129,32 +130,33 @@ def _emit(unit: str, size: int, sketch=None):
                 packed["h1"], packed["h2"] = h1[keep], h2[keep]
                 count = np.diff(np.append(first, len(keep)))
                 hashes = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.append(first, len(keep)).astype(np.int32) * _HASH.itemsize), pa.py_buffer(packed.tobytes())])
-                yield _rows(c[first].view(np.int64), ids[r[first]], keys[r[first]], p[first], count, hashes)
+                yield _rows(c[first].view(np.int64), ids[r[first]], keys[r[first]], lengths[r[first]], p[first], count, hashes)
             if len(gone):
                 r, p = row[gone], pos[gone]
                 first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] > p[:-1] + size)]))
                 last = np.append(first[1:], len(gone)) - 1
-                salt = tx.mix((keys[r[first]] + p[first]).view(np.uint64)).view(np.int64)  # they need no company
-                yield _rows(salt, ids[r[first]], keys[r[first]], p[first], p[last] + size - p[first], pa.nulls(len(first), pa.binary()))
+                salt = tx.mix(tx.mix(ids[r[first]].view(np.uint64)) ^ (keys[r[first]] + p[first]).view(np.uint64)).view(np.int64)  # they need no company: spread, copies too
+                yield _rows(salt, ids[r[first]], keys[r[first]], lengths[r[first]], p[first], p[last] + size - p[first], pa.nulls(len(first), pa.binary()))
 
     return run
 
 
-def _rows(bucket, ids, keys, pos, n, hashes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids), pa.array(keys), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32)), hashes], schema=_SCHEMA)
+def _rows(bucket, ids, keys, lengths, pos, n, hashes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids), pa.array(keys), pa.array(lengths.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32)), hashes], schema=_SCHEMA)
 
 
 def _settle(size: int, rows_at_once: int = 200_000):
-    """Repeated runs (id, key, n * 2**32 + pos) of rows that arrive sorted by bucket; whole buckets are ranked together."""
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("span", pa.int64())])
+    """Repeated runs (id, key, bytes, n * 2**32 + pos) of rows that arrive sorted by bucket; whole buckets are ranked together."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("bytes", pa.int64()), ("span", pa.int64())])
 
     def settled(t: pa.Table) -> Iterator[pa.RecordBatch]:
         known = t.filter(pa.compute.is_null(t["hashes"]))
-        ids, keys, pos, n = (known[c].to_numpy().astype(np.int64) for c in ("id", "key", "pos", "n"))
-        out = [(ids, keys, n << 32 | pos)]
+        columns = ("id", "key", "bytes", "pos", "n")
+        ids, keys, lengths, pos, n = (known[c].to_numpy().astype(np.int64) for c in columns)
+        out = [(ids, keys, lengths, n << 32 | pos)]
         rest = t.filter(pa.compute.is_valid(t["hashes"]))
         if len(rest):
-            ids, keys, pos, n = (rest[c].to_numpy().astype(np.int64) for c in ("id", "key", "pos", "n"))
+            ids, keys, lengths, pos, n = (rest[c].to_numpy().astype(np.int64) for c in columns)
             h = np.frombuffer(b"".join(rest["hashes"].to_pylist()), _HASH)
             who = np.repeat(np.arange(len(n)), n)
             at = pos[who] + np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
@@ -163,7 +165,7 @@ def _settle(size: int, rows_at_once: int = 200_000):
                 w, p = who[gone], at[gone]
                 first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (p[1:] > p[:-1] + size)]))
                 last = np.append(first[1:], len(gone)) - 1
-                out.append((ids[w[first]], keys[w[first]], (p[last] + size - p[first]) << 32 | p[first]))
+                out.append((ids[w[first]], keys[w[first]], lengths[w[first]], (p[last] + size - p[first]) << 32 | p[first]))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,12 +189,12 @@ def _settle(size: int, rows_at_once: int = 200_000):
 
 
 def repeats(docs: DataFrame, unit: str, size: int, prefilter: bool) -> DataFrame:
-    """Per document (id, key) with any repeat: `spans`, an array of runs of units to remove, each n * 2**32 + pos."""
-    source = docs.select("id", "key", "text").where(F.octet_length("text") >= (2 * size - 1 if unit == "word" else size - 1))
+    """Per document (id, key, bytes) with any repeat: `spans`, an array of runs of units to remove, each n * 2**32 + pos."""
+    source = docs.select("id", "key", "bytes", "text").where(F.col("bytes") >= (2 * size - 1 if unit == "word" else size - 1))
     sketch = sketching.repeated_in_text(source, lambda flat, offsets: _windows(flat, offsets, unit, size, whole=False)[0], 6) if prefilter else None
     rows = source.mapInArrow(_emit(unit, size, sketch), ROWS)
-    late = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle(size), "id long, key long, span long")
-    return late.groupBy("id", "key").agg(F.collect_list("span").alias("spans"))
+    late = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle(size), "id long, key long, bytes long, span long")
+    return late.groupBy("id", "key", F.col("bytes").cast("int").alias("bytes")).agg(F.collect_list("span").alias("spans"))
 
 
 def _cut(unit: str, joiner: bytes):
@@ -225,8 +227,8 @@ def _cut(unit: str, joiner: bytes):
 
 def remove_repeated_windows(docs: DataFrame, unit: str, size: int, prefilter: bool, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """`row` (the input row, or its columns in `carry`), `n_units`, `n_removed`, `kept` (the units left, joined by a space or \\n)."""
-    base = keyed(docs, id_col, text_col, carry).withColumn("key", F.col("key").bitwiseAND(F.lit(_LOW)))
+    base = keyed(docs, id_col, text_col, carry)
     late = repeats(base, unit, size, prefilter)
-    joined = base.join(late, ["id", "key"], "left").select("row", "text", "spans")
+    joined = base.join(late, ["id", "key", "bytes"], "left").select("row", "text", "spans")
     schema = T.StructType([joined.schema["row"], *(T.StructField(c, T.LongType()) for c in ("n_units", "n_removed")), T.StructField("kept", T.StringType())])
     return joined.mapInArrow(_cut(unit, b" " if unit == "word" else b"\n"), schema)
