@@ -3,6 +3,7 @@
 import collections
 import html.parser
 import math
+import random
 import re
 import zlib
 
@@ -186,12 +187,85 @@ def test_pages_keep_their_visible_words(spark):
         ("plain", "plain"),
         ("<head><title>t</title></head><body>b</body>", "b"),
         ("<div>" * 3000 + "deep", "deep"),
+        ('<p title="a hidden gem">seen</p>', "seen"),
+        ('<div class="nav hidden lg:block">menu</div><a aria-label="show hidden files" data-style="display:none">x</a>', "menu\nx"),
+        ("<a title=it's>visible</a><p>more</p>", "visible\n\nmore"),
+        ("a<!-->b<!--->c<!-- > -->d<!x>e</ y>f</>g", "abcdefg"),
+        ("<textarea>\nin &amp; out</textarea>", "in & out"),
+        ("<div style='visibility:hidden'>no<b style=visibility:visible>yes</b>no</div>", "yes"),
+        ("<p hidden style='display:block'>shown", "shown"),
+        ("<p style='display:none !important;display:block'>no</p><p style='x:display:none;color:red'>yes", "yes"),
+        ("<select><option>a<option selected>b<option>c</select><select><option disabled>-<option>first</select>", "b first"),
+        ("<select multiple><option>a<option>b</select><input value=v><input type=hidden value=w><input type=submit value=Go>", "a b v Go"),
+        ("<svg><title>no</title><text>label</text><path d='x'/></svg><math><mi>x</mi><mo>+</mo></math>", "label x+"),
+        ("<dialog>no</dialog><dialog open>yes</dialog><noscript>no</noscript>", "yes"),
+        ("<table><tr><td colspan=2>top<td>z<tr><td>a<td>b<td>c</table>", "top   | z\na | b | c"),
+        ("<table><tr><td rowspan=2>r<td>1<tr><td>2</table>", "r | 1\n  | 2"),
+        ("<table></table>x<table><caption>only</caption></table>", "x\n\nonly"),
+        ("<table><form><tr><td>a<td>b</form></table>", "a | b"),
+        ("<table><tr><td>out<table><tr><td>in<td>side</table><td>next</table>", "out in | side | next"),
+        ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"),
+        ("<h1>a<h2>b</h1>c", "a\n\nb\n\nc"),
+        ("one</br>two<pre>\n x\ty</pre>", "one\ntwo\n\n x      y"),
+        ("<p>a<table><tr><td>x</p>y</table>", "a\n\nxy"),
     ],
 )
 def test_layout(source, want):
     assert L.render(source) == want
 
 
+def test_deep_and_long_tables_stay_whole_and_bounded():
+    assert L.render("<table><tr><td>" * 3000 + "core") == "core"
+    assert L.render("<ul><li>x" * 3000).split() == ["-", "x"] * 3000 and len(L.render("<ul><li>x" * 3000)) < 60 * 3000
+    cell = "w" * 200_000
+    page = "<table>" + f"<tr><td>{cell}<td>end" + "<tr><td>a<td>b" * 500 + "</table>"
+    text = L.render(page)
+    assert cell in text and text.count("a | b") == 500 and len(text) < 2 * len(page)
+    for row in ("<tr><td colspan=1000>x<td>y", "<tr><td><td>x" + "<td>" * 50 + "z"):
+        page = "<table>" + row * 3000 + "<tr>" + "<td>" + "v" * 60 + "<td>" * 200 + "</table>"
+        assert len(L.render(page)) < 20 * len(page)
+
+
+def page_and_words(r, depth=0, seen=True):
+    """A random well-formed page and the words that are visible in it, known from how it was made."""
+    source, words = [], []
+    for _ in range(r.randrange(1, 5)):
+        kind = r.randrange(9 if depth < 5 else 2)
+        if kind < 2:
+            w = "".join(r.choice("abcdef") for _ in range(r.randrange(1, 6)))
+            source.append(f" {w} ")
+            words += [w] * seen
+            continue
+        gone = kind in (2, 3)
+        inner, more = page_and_words(r, depth + 1, seen and not gone)
+        tag = r.choice(["div", "span", "section", "b", "em"])
+        quote = r.choice(["'", '"'])
+        off = r.choice([" hidden", " HIDDEN=''", f" style={quote}color: red; display:none{quote}", " style=display:none"])
+        decoy = r.choice(["", " title='x hidden y'", " data-hidden=1", " class=hidden", f" data-style={quote}display:none{quote}", " style='display:block'"])
+        source.append(f"<{tag}{off if gone else decoy}>{inner}</{tag}>")
+        words += more
+    return "".join(source), words
+
+
+def test_visible_words_of_random_pages():
+    r = random.Random(12)
+    for _ in range(400):
+        source, words = page_and_words(r)
+        assert L.render(source).split() == words, source
+
+
+def test_random_tables_read_back():
+    r = random.Random(13)
+    for _ in range(200):
+        wide = r.randrange(1, 7)
+        cells = [["".join(r.choice("xyz") for _ in range(r.randrange(1, 25))) for _ in range(wide)] for _ in range(r.randrange(1, 8))]
+        close = r.random() < 0.5
+        source = "<table>" + "".join("<tr>" + "".join(f"<td>{c}" + "</td>" * close for c in row) + "</tr>" * close for row in cells) + "</table>"
+        out = L.render(source).split("\n")
+        assert [[c.strip() for c in line.split(" | ")] for line in out] == cells
+        assert len({tuple(m.start() for m in re.finditer(r" \| ", line)) for line in out}) == 1
+
+
 def test_layout_of_odd_tables(spark):
     df = spark.createDataFrame([(1, None, "t"), (1, None, "t"), (None, "<p>x", "u")], "page_id long, html string, text string")
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in L.digest(df).collect()) == [("1", "", 0), ("1", "", 0), ("None", "x", 1)]
