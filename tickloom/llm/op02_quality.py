@@ -3,10 +3,14 @@
 Model. Byte 4-grams of all texts are counted in Spark, per language; continuation
 counts of the shorter orders, modified Kneser-Ney discounts and interpolated
 probabilities follow as DataFrame aggregations over the distinct n-grams (an
-n-gram's context has at most 256 continuations, so no group is large). Tasks get
-the model as sorted arrays of n-gram hashes beside arrays of log-probabilities.
-It holds distinct n-grams, not text; over `MODEL_ROWS` entries it stays a table
-and texts are scored by a join on n-grams instead.
+n-gram's context has at most 256 continuations, so no group is large). Tasks hash
+the longest n-grams with their language; what is scored is what was counted, so
+they are all that scoring looks up, and shorter orders live on in their
+probabilities. Tasks get them as a sorted array of hashes beside an array of
+bits in fixed point, in slices of the hash space of about `SLICE_ROWS` entries,
+so that what the driver and a task hold is bounded at any size: each slice is
+one pass over the texts, and sums of whole numbers are the same however the
+model is sliced. At 12 bytes an entry, one slice is 72 MB.
 
 Verdict. Bits per word and bits per byte of each text are held against bands of
 its language: the median of all distinct texts of `MIN_WORDS` words or more, less
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm import text as tx
-from tickloom.llm.tables import checkpointed
+from tickloom.llm.tables import checkpointed, stored
 
 ORDER, MIN_WORDS, MAX_REPEAT_PERCENT = 4, 50, 50
 #: Of the labelled texts at sf0.1 that pass the base rule, 5 above rejects 215 of 291 junk ones and 15 of 3,243 clean ones (8: 148 and 6; 4: 245 and 22). Below, either 5 or 8 rejects none.
@@ -40,7 +44,7 @@ ABOVE, BELOW = 5.0, 8.0
 #: About half the least deviation of any language at sf0.1 (0.40 and 0.028 bits).
 LEAST = {"word_bits": 0.2, "byte_bits": 0.015}
 COPIED = 0.01
-MODEL_ROWS = 8_000_000
+SLICE_ROWS, POINT = 6_000_000, 1 << 24
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -170,114 +174,100 @@ def kneser_ney(top: DataFrame) -> DataFrame:
     return out
 
 
-def gram_hash(gram: np.ndarray, order: int) -> np.ndarray:
-    return tx.mix(gram.astype(np.uint64) | np.uint64(order << 40), 21)
-
-
-class Model:
-    """Sorted hash arrays per language: n-grams with log2 p, contexts with log2 gamma."""
-
-    def __init__(self, rows: pa.Table):
-        self.grams: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
-        self.contexts: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
-        langs = rows["lang"].to_pylist()
-        where: dict[str | None, list[int]] = {}
-        for i, x in enumerate(langs):
-            where.setdefault(x, []).append(i)
-        order, gram, p, ctx, gamma = (rows[c].to_numpy() for c in ("ord", "gram", "p", "ctx", "gamma"))
-        for lang, at in where.items():
-            i = np.array(at)
-            h = np.concatenate([gram_hash(gram[i][order[i] == k], k) for k in range(1, ORDER + 1)])
-            v = np.concatenate([np.log2(p[i][order[i] == k]) for k in range(1, ORDER + 1)])
-            s = np.argsort(h)
-            self.grams[lang] = h[s], v[s].astype(np.float32)
-            h = np.concatenate([gram_hash(ctx[i][order[i] == k], k) for k in range(1, ORDER + 1)])
-            v = np.concatenate([np.log2(np.maximum(gamma[i][order[i] == k], 1e-300)) for k in range(1, ORDER + 1)])
-            h, first = np.unique(h, return_index=True)
-            self.contexts[lang] = h, v[first].astype(np.float32)
-
-    def bits(self, lang: str | None, gram: np.ndarray) -> np.ndarray:
-        """-log2 p of each n-gram; unseen ones back off through the shorter orders."""
-        out = np.zeros(len(gram), np.float64)
-        if lang not in self.grams:
-            return out + 8
-        open_, rest = np.arange(len(gram)), gram.astype(np.uint64)
-        for order in range(ORDER, 0, -1):
-            found, value = _look(self.grams[lang], gram_hash(rest, order))
-            out[open_[found]] -= value[found]
-            open_, rest = open_[~found], rest[~found]
-            if not len(open_):
-                return out
-            known, weight = _look(self.contexts[lang], gram_hash(rest >> np.uint64(8), order))
-            out[open_[known]] -= weight[known]
-            rest = rest & np.uint64((1 << 8 * (order - 1)) - 1)
-        out[open_] += 8
-        return out
-
-
-def _look(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def lang_seed(lang: str | None) -> np.uint64:
+    """A number of each language, null included, that goes into the hashes of its n-grams."""
+    data = np.frombuffer(b"-" if lang is None else b"+" + lang.encode(), np.uint8)
+    return tx.span_hash(data, np.array([0]), np.array([len(data)]), 6)[0]
+
+
+def gram_hash(gram: np.ndarray, seed: np.uint64) -> np.ndarray:
+    return tx.mix(gram.astype(np.uint64) ^ seed, 21)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of each model row, and its bits in fixed point."""
+    for batch in batches:
+        h = np.zeros(len(batch), np.uint64)
+        gram = batch.column("gram").to_numpy()
+        for lang, at in _groups(batch):
+            h[at] = gram_hash(gram[at], lang_seed(lang))
+        bits = np.rint(np.minimum(-np.log2(batch.column("p").to_numpy()), 127.0) * POINT).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(bits)], names=["h", "bits"])
+
+
+def slices(model: DataFrame, slice_rows: int = SLICE_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The model's longest order in slices of the hash space: sorted hashes, and bits in fixed point. One slice at a time is on the driver."""
+    hashed = stored(model.where(F.col("ord") == ORDER).select("lang", "gram", "p").mapInArrow(_hashed, "h long, bits int"))
+    count = max(1, -(-hashed.count() // slice_rows))
+    number = F.pmod(F.shiftrightunsigned("h", 40), F.lit(count))
+    for k in range(count):
+        part = hashed.where(number == k).toArrow()
+        h = part["h"].to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        yield h[order], part["bits"].to_numpy()[order]
+
+
+def looked_up(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
+    """Bits of the hashes that the slice holds, 0 for others."""
+    if not len(table[0]):
+        return np.zeros(len(h), np.int64)
     at = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
-    return table[0][at] == h, table[1][at]
+    return np.where(table[0][at] == h, table[1][at], 0).astype(np.int64)
 
 
-def _score(model):
+def _score(model, with_stats: bool):
+    """Bits of each text under a slice of the model, and (for one slice) its statistics."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = len(batch)
-            stats, bits, size = [np.zeros(n, np.int64) for _ in STATS], np.zeros(n), np.zeros(n, np.int64)
+            stats, bits, size = [np.zeros(n, np.int64) for _ in STATS], np.zeros(n, np.int64), np.zeros(n, np.int64)
             for lang, at in _groups(batch):
+                seed = lang_seed(lang)
                 flat, offsets = tx.bytes_of(batch.column("text").take(pa.array(at)))
                 for a, b in tx.chunks(offsets):
                     part, off = flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                    for k, values in enumerate(statistics(part, off)):
-                        stats[k][at[a:b]] = values
+                    if with_stats:
+                        for k, values in enumerate(statistics(part, off)):
+                            stats[k][at[a:b]] = values
                     size[at[a:b]] = np.diff(off) + 1
-                    if model is not None:
-                        gram, begin = byte_grams(part, off)
-                        bits[at[a:b]] = np.add.reduceat(model.value.bits(lang, gram), begin[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("lang"), batch.column("key"), *map(pa.array, stats), pa.array(size), pa.array(bits)], names=["row", "lang", "key", *STATS, "n_coded", "bits"])
+                    gram, begin = byte_grams(part, off)
+                    bits[at[a:b]] = np.add.reduceat(looked_up(model.value, gram_hash(gram, seed)), begin[:-1])
+            if with_stats:
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("lang"), batch.column("key"), *map(pa.array, stats), pa.array(size), pa.array(bits)], names=["row", "lang", "key", *STATS, "n_coded", "bits"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("key"), pa.array(size), pa.array(bits)], names=["lang", "key", "n_coded", "bits"])
 
     return run
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams of each text, for scoring by join."""
-    for batch in batches:
-        lang, key, text = (batch.column(c) for c in ("lang", "key", "text"))
-        for i in range(len(batch)):
-            gram, _ = byte_grams(*tx.bytes_of(text.slice(i, 1)))
-            g, n = np.unique(gram, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang[i].as_py()] * len(g), pa.string()), pa.array([key[i].as_py()] * len(g), pa.int64()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "key", "gram", "n"])
-
-
-def joined_bits(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(lang, key, joined): bits of each distinct text of docs(lang, key, text), for models too large to broadcast.
+def scored(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """`row` (the input row, or its columns in `carry`), `lang`, `key` (a hash of the text), the STATS, `base_failed`, `word_bits`, `byte_bits`.
 
-    Every n-gram of these texts is in a model counted on them, so only the longest order is looked up.
+    The first slice's pass gives the statistics and its part of the bits; parts
+    of further slices are summed by text and joined to it.
     """
-    grams = docs.dropDuplicates(["lang", "key"]).select("lang", "key", "text").mapInArrow(_listed, "lang string, key long, gram long, n long")
-    top = model.where(F.col("ord") == ORDER).select(F.col("lang").alias("_lang"), F.col("gram").alias("_gram"), "p")
-    hit = grams.join(top, (grams["gram"] == top["_gram"]) & grams["lang"].eqNullSafe(top["_lang"]))
-    return hit.groupBy("lang", "key").agg(F.sum(-F.col("n") * F.log2("p")).alias("joined"))
-
-
-def scored(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """`row` (the input row, or its columns in `carry`), `lang`, `key` (a hash of the text), the STATS, `base_failed`, `word_bits`, `byte_bits`."""
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     model = kneser_ney(checkpointed(counts(source)))
-    small = model.count() <= model_rows
     context = docs.sparkSession.sparkContext
-    arrays = context.broadcast(Model(model.toArrow())) if small else None
-    kinds = [source.schema["row"], source.schema["lang"], source.schema["key"], *(T.StructField(c, T.LongType()) for c in (*STATS, "n_coded")), T.StructField("bits", T.DoubleType())]
-    if small:
-        out = source.mapInArrow(_score(arrays), T.StructType(kinds))
-    else:
-        bits = joined_bits(source, model).withColumnRenamed("lang", "_lang")
-        held = source.join(bits.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & F.col("lang").eqNullSafe(F.col("_lang")), "left")
-        held = held.select(F.struct("row", "joined").alias("row"), "lang", "text", "key")
-        out = held.mapInArrow(_score(None), T.StructType([held.schema["row"], *kinds[1:]])).withColumn("bits", F.col("row.joined")).withColumn("row", F.col("row.row"))
+    coded = [source.schema["lang"], source.schema["key"]]
+    sums = [T.StructField(c, T.LongType()) for c in ("n_coded", "bits")]
+    out, more = None, None
+    for number, table in enumerate(slices(model, slice_rows)):
+        run = _score(context.broadcast(table), with_stats=out is None)
+        if out is None:
+            out = source.mapInArrow(run, T.StructType([source.schema["row"], *coded, *(T.StructField(c, T.LongType()) for c in STATS), *sums]))
+        else:
+            part = source.select("lang", "text", "key").mapInArrow(run, T.StructType([*coded, *sums])).withColumn("slice", F.lit(number))
+            more = part if more is None else more.union(part)
+    if more is not None:
+        copies = more.groupBy("lang", "key", "n_coded", "slice").agg(F.min("bits").alias("bits"))  # equal texts have equal parts
+        rest = copies.groupBy(F.col("lang").alias("_lang"), F.col("key").alias("_key"), F.col("n_coded").alias("_coded")).agg(F.sum("bits").alias("_bits"))
+        same = (out["key"] == rest["_key"]) & (out["n_coded"] == rest["_coded"]) & out["lang"].eqNullSafe(rest["_lang"])
+        out = out.join(rest, same, "left").withColumn("bits", F.col("bits") + F.col("_bits"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.select("row", "lang", "key", *STATS, base.alias("base_failed"), F.try_divide("bits", "n_words").alias("word_bits"), (F.col("bits") / F.col("n_coded")).alias("byte_bits"))
+    bits = F.col("bits") / POINT
+    return out.select("row", "lang", "key", *STATS, base.alias("base_failed"), F.try_divide(bits, F.col("n_words")).alias("word_bits"), (bits / F.col("n_coded")).alias("byte_bits"))
 
 
 def bands(scores: DataFrame, above: float = ABOVE, below: float = BELOW) -> DataFrame:
@@ -311,13 +301,13 @@ def judged(scores: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, columns as they are. Scores are read twice: once for the bands, once to judge."""
-    scores = scored(docs, **options)
-    limits = checkpointed(bands(scores))
+    """The documents that the rules keep, columns as they are. Texts are scored once: rows and scores are stored, for the bands and the verdict to read."""
+    scores = stored(scored(docs, **options))
+    limits = stored(bands(scores))
     return judged(scores, limits).where("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    scores = checkpointed(scored(docs, carry=["doc_id"]))
-    limits = checkpointed(bands(scores))
+    scores = stored(scored(docs, carry=["doc_id"]))
+    limits = stored(bands(scores))
     return judged(scores, limits).select(F.col("row.doc_id").alias("doc_id"), *STATS, "base_failed", "kept", "word_bits", "byte_bits")
