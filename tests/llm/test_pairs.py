@@ -70,6 +70,17 @@ def test_links_of_random_fingerprints(spark):
     assert got == want and want
 
 
+def test_cells_of_any_fineness_meet():
+    r = random.Random(3)
+    assert len(S.segments(1000)) < len(S.segments(10**6)) < len(S.segments(10**10)) and all(sum(S.segments(n)) == 64 for n in (0, 1, 10**5, 10**12))
+    for n in (1, 10**5, 10**7, 10**12):
+        for _ in range(200):
+            a = r.getrandbits(64)
+            b = a ^ sum(1 << k for k in r.sample(range(64), r.randrange(3)))
+            x, y = S.cells(np.array([a, b], np.uint64), S.segments(n))
+            assert set(x.tolist()) & set(y.tolist())
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 200 + k) for k in range(20)] + [(7, 7), (-5, -6)]
     got = {(r.node, r.root) for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

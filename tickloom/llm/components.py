@@ -1,7 +1,8 @@
 """Connected components of an edge list by alternating large-star and small-star steps.
 
-Each step is joins and minimum aggregations (map-side partial), so no node's
-neighbours meet in one task; every round is checkpointed, which also cuts
+Each step is minimum aggregations, with map-side partial minima, and a join of
+the links with one row a node, where adaptive execution splits a node with very
+many neighbours over several tasks. Every round is checkpointed, which also cuts
 lineage. Rounds grow with the logarithm of the longest chain.
 """
 

@@ -1,12 +1,17 @@
 """SimHash near-dedup by a segment-popcount embedding and a grid range-join.
 
-A 64-bit fingerprint maps to the bit counts of 12 segments. Counts differ in
+A 64-bit fingerprint maps to the bit counts of its segments. Counts differ in
 Manhattan distance by at most the Hamming distance, so fingerprints within 2
-bits lie in grid cells within 2 steps. Each distinct fingerprint looks into the
-half of those cells that precede its own (the other side finds the rest); the
-join condition then compares the fingerprints themselves. Exact copies collapse
-to one fingerprint before, and a fingerprint has at most 2080 others within 2
-bits, so no group makes more than a fixed number of links a fingerprint.
+bits lie in grid cells within 2 steps, and both are within one step of some
+cell. Each distinct fingerprint therefore stands in its own cell and in those one
+step away (two a segment), and one exchange by cell serves both sides of the
+join, whose condition compares the fingerprints themselves. Segments are as many
+as make rows and expected candidates least (`segments`): more, and finer, as
+fingerprints grow in number, since candidates grow with their square. Cells are
+hashed to 64 bits; a clash adds a candidate, which the comparison drops. Exact
+copies collapse to one fingerprint before, and a fingerprint has at most 2080
+others within 2 bits, so no group makes more than a fixed number of links a
+fingerprint.
 
 Components come from iterated star steps on fingerprints, as numbers; the
 smallest doc_id of a component is a minimum with map-side partial aggregation.
@@ -20,7 +25,7 @@ null only if every member's id is null); repeated rows are separate rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from math import comb, prod
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +39,6 @@ from tickloom.llm.components import components
 from tickloom.llm.tables import NULL_ID, checkpointed, keyed
 
 SHINGLE, MAX_BITS = 3, 2
-#: Lengths in bits of the 12 segments (64 in all), and the bits that hold one count in a packed cell.
-SEGMENTS, COUNT_BITS = (6, 6, 6, 6, 5, 5, 5, 5, 5, 5, 5, 5), 4
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -90,34 +93,50 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return source.mapInArrow(run, T.StructType([source.schema["id"], T.StructField("key", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
-def cell(fp):
-    """The counts of all segments, packed in one long (4 bits each)."""
-    out, at = None, 0
-    for k, n in enumerate(SEGMENTS):
-        part = F.shiftleft(F.bit_count(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << n) - 1))).cast("long"), COUNT_BITS * k)
-        out, at = (part if out is None else out + part), at + n
-    return out
+def segments(n: int) -> list[int]:
+    """Lengths in bits of the segments, 64 in all: the number of them that makes rows and expected candidates least for n spread fingerprints."""
+
+    def lengths(k: int) -> list[int]:
+        return [64 * (i + 1) // k - 64 * i // k for i in range(k)]
+
+    def cost(k: int) -> float:
+        same = prod(comb(2 * m, m) / 4**m for m in lengths(k))  # how likely two fingerprints have equal counts
+        return n * (1 + 2 * k) + n**2 * same * (1 + 2 * k) ** 2
 
+    return lengths(min(range(8, 65, 4), key=cost))
 
-def steps(reach: int = MAX_BITS) -> list[int]:
-    """Packed differences of the cells within `reach` steps: zero and one of each pair of opposites."""
-    unit = [1 << COUNT_BITS * k for k in range(len(SEGMENTS))]
-    found = {0}
-    if reach >= 1:
-        found |= set(unit)
-    if reach >= 2:
-        found |= {2 * u for u in unit} | {x for a, b in combinations(unit, 2) for x in (a + b, b - a)}
-    if reach >= 3:
-        raise ValueError("the grid join looks 2 steps far at most")
-    return sorted(found)
+
+def cells(fp: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """The hashed cell of each fingerprint and those one step away, a row each."""
+    factor = tx.mix(np.arange(len(lengths), dtype=np.uint64), 31) | np.uint64(1)
+    own, at = np.zeros(len(fp), np.uint64), 0
+    with np.errstate(over="ignore"):
+        for k, m in enumerate(lengths):
+            own += np.bitwise_count(fp >> np.uint64(at) & np.uint64((1 << m) - 1)).astype(np.uint64) * factor[k]
+            at += m
+        step = np.concatenate([np.zeros(1, np.uint64), factor, np.uint64(0) - factor])
+        return own[:, None] + step
 
 
 def links(fps: DataFrame, reach: int = MAX_BITS) -> DataFrame:
-    """(u, v): pairs of distinct fingerprints within `reach` bits, from a DataFrame of distinct `fp`."""
-    base = fps.select(F.col("fp").alias("v"), cell(F.col("fp")).alias("cell"))
-    probe = fps.select(F.col("fp").alias("u"), F.explode(F.transform(F.array(*[F.lit(s) for s in steps(reach)]), lambda s: s + cell(F.col("fp")))).alias("cell"))
-    near = (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= reach) & (F.col("u") != F.col("v"))
-    return probe.join(base, (probe["cell"] == base["cell"]) & near).select("u", "v")
+    """(u, v), u < v: pairs of distinct fingerprints within `reach` bits, from a DataFrame of distinct `fp`; some come twice or more."""
+    if reach > MAX_BITS:
+        raise ValueError(f"the grid looks {MAX_BITS} bits far at most")
+    lengths = segments(fps.count())
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column("fp").to_numpy()
+            for at in range(0, len(fp), 4096):
+                part = fp[at : at + 4096]
+                grid = cells(part.view(np.uint64), lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(grid.ravel().view(np.int64)), pa.array(np.repeat(part, grid.shape[1]))], names=["cell", "fp"])
+
+    spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    grid = spread.mapInArrow(placed, "cell long, fp long")
+    a, b = grid.select("cell", F.col("fp").alias("u")), grid.select(F.col("cell").alias("_cell"), F.col("fp").alias("v"))
+    near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= reach)
+    return a.join(b, (F.col("cell") == F.col("_cell")) & near).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = MAX_BITS) -> DataFrame:
