@@ -1,12 +1,13 @@
 """Personal data in texts: base patterns, and spans that a character BiLSTM with a CRF adds.
 
 Every whole text is scanned where it is read. The base patterns are exact. The
-tagger reads overlapping windows of the stretches around digits, at signs and
-their spelled-out forms, which all four kinds contain; windows of a batch run
-through the network together. Its spans are put into the coordinates of the
-document; of overlapping ones the span that no window edge cuts wins, then the
-longer, then the earlier. Spans that fail the kind's own test (check digit,
-octets, number of digits) or touch a base span are dropped.
+tagger reads every character, in windows of `WINDOW` that overlap by `OVERLAP`;
+windows of a batch run through the network together. Its spans are put into the
+coordinates of the document; of overlapping ones the span that no window edge
+cuts wins, then the longer, then the earlier. Spans are trimmed to what a value
+can begin and end with, and dropped if they fail what makes a value of the kind
+(a name and a host with an at between; four numbers up to 255; check digit and
+number of digits) or touch a base span; how they are spelled is the tagger's own.
 
 Defined cases: null text is empty; repeated rows are scanned each; other columns
 pass through in `row`; positions are code points, ends exclusive.
@@ -23,23 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.tagger import KINDS, LENGTH, Tagger, codes, luhn, trained
+from tickloom.llm.tagger import KINDS, Tagger, codes, luhn, trained
 
-MARGIN, OVERLAP = 32, 32
+WINDOW, OVERLAP = 256, 48
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]|[\[(] ?(?:at|AT) ?[\])]")
 DIGITS = re.compile(r"[0-9]")
 NOT_DIGITS = re.compile(r"[^0-9]+")
-ADDED = {  # what an added span has to look like
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(] ?(?:at|AT) ?[\])]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(]? ?dot ?[\])]?) ?[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]{1,3}(?:\[?\.\]?[0-9]{1,3}){3}"),
-    "card": re.compile(r"[0-9](?:[ .-]?[0-9])+"),
-    "phone": re.compile(r"(?:\+|00)?[0-9( ][0-9]+[ ().-]+[0-9 ().-]*[0-9]"),
-}
+AT = re.compile(r"@|(?<![a-z])at(?![a-z])", re.I)
+DOT = re.compile(r"(?<=\S)\.(?=\S)|\s\.\s|(?<![a-z])dot(?![a-z])", re.I)
+LETTERS = re.compile(r"[^\W\d_]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -65,35 +62,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Merged stretches around triggers."""
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if out and lo <= out[-1][1]:
-            out[-1][1] = hi
-        else:
-            out.append([lo, hi])
-    return [(a, b) for a, b in out]
+def windows(text: str) -> list[tuple[int, int]]:
+    """Start and end of the windows over a whole text; none over an empty one."""
+    return [(at, min(at + WINDOW, len(text))) for at in range(0, max(len(text) - OVERLAP, min(len(text), 1)), WINDOW - OVERLAP)]
 
 
-def windows(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, start and end of its stretch) of the windows over all stretches."""
-    return [(at, min(at + LENGTH, b), a, b) for a, b in stretches(text) for at in range(a, max(a + 1, b - OVERLAP), LENGTH - OVERLAP)]
-
-
-def tagged(texts: list[str], model: Tagger, batch: int = 512) -> list[list[tuple[int, int, int]]]:
+def tagged(texts: list[str], model: Tagger, batch: int = 2048) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) of what the tagger finds in each text, reconciled over its windows."""
-    plan = [(i, *w) for i, text in enumerate(texts) for w in windows(text)]
+    coded = [codes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)) for text in texts]
+    plan = sorted(((i, *w) for i, text in enumerate(texts) for w in windows(text)), key=lambda w: w[2] - w[1])  # of like lengths together
     found: list[list[tuple]] = [[] for _ in texts]
     for at in range(0, len(plan), batch):
         part = plan[at : at + batch]
-        x = np.zeros((len(part), LENGTH), np.int64)
-        for k, (i, a, b, _, _) in enumerate(part):
-            x[k, : b - a] = codes(np.frombuffer(texts[i][a:b].encode("utf-32-le"), np.uint32).astype(np.int64))
-        tags = model.decode(x)
+        size = np.array([b - a for _, a, b in part])
+        x = np.zeros((len(part), int(size.max())), np.int64)
+        for k, (i, a, b) in enumerate(part):
+            x[k, : b - a] = coded[i][a:b]
+        tags = model.decode(x, size)
         for k in np.flatnonzero(tags.any(1)).tolist():
-            i, a, b, lo, hi = part[k]
+            i, a, b = part[k]
             row, t = tags[k, : b - a].tolist(), 0
             while t < len(row):
                 if not row[t]:
@@ -103,7 +90,7 @@ def tagged(texts: list[str], model: Tagger, batch: int = 512) -> list[list[tuple
                 t += 1
                 while t < len(row) and row[t] == 2 + 2 * kind:
                     t += 1
-                cut = (s == 0 and a > lo) or (t == len(row) and b < hi)
+                cut = (s == 0 and a > 0) or (t == len(row) and b < len(texts[i]))
                 found[i].append((cut, -(t - s), a + s, kind, a + t))
     out = []
     for spans in found:
@@ -115,15 +102,27 @@ def tagged(texts: list[str], model: Tagger, batch: int = 512) -> list[list[tuple
     return out
 
 
+def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """Without signs at the ends that no value begins or ends with."""
+    while start < end and not (text[start].isalnum() or text[start] in "+(" and end - start > 1):
+        start += 1
+    while start < end and not text[end - 1].isalnum():
+        end -= 1
+    return start, end
+
+
 def passes(kind: str, value: str) -> bool:
-    if not ADDED[kind].fullmatch(value):
-        return False
-    digits = NOT_DIGITS.sub("", value)
+    """Whether the value is one of its kind, however it is spelled."""
+    if kind == "email":
+        sides = AT.split(value, maxsplit=1)
+        return len(sides) == 2 and all(re.search("[A-Za-z0-9]{2}", x) for x in sides) and bool(DOT.search(sides[1]))
+    numbers = re.findall("[0-9]+", value)
+    digits = "".join(numbers)
     if kind == "ip":
-        return all(int(p) <= 255 for p in re.findall("[0-9]+", value))
-    if kind == "card":
-        return 12 <= len(digits) <= 19 and luhn(digits)
-    return kind == "email" or 9 <= len(digits) <= 15
+        return len(numbers) == 4 and all(int(p) <= 255 for p in numbers)
+    if LETTERS.search(value):
+        return False
+    return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
 def all_spans(texts: list[str], model: Tagger) -> list[tuple[list, list]]:
@@ -131,7 +130,8 @@ def all_spans(texts: list[str], model: Tagger) -> list[tuple[list, list]]:
     out = []
     for text, more in zip(texts, tagged(texts, model)):
         base = base_spans(text)
-        out.append((base, [(s, k, e) for s, k, e in more if all(e <= x or s >= z for x, _, z in base) and passes(KINDS[k], text[s:e])]))
+        spans = [(s, k, e) for (s, e), k in ((trimmed(text, s, e), k) for s, k, e in more) if s < e]
+        out.append((base, [(s, k, e) for s, k, e in spans if all(e <= x or s >= z for x, _, z in base) and passes(KINDS[k], text[s:e])]))
     return out
 
 

@@ -2,18 +2,24 @@
 
 It is trained on the driver from labelled spans in made-up prose (`labelled`),
 which plants e-mail addresses, IP numbers, card numbers and telephone numbers in
-many spellings between words, versions, dates, prices and hexadecimal tokens.
-Seeds are fixed, so every run trains the same model. It has about 8,000 numbers.
+plain, spelled-out and spaced-out spellings between words, versions, dates,
+prices and hexadecimal tokens. Seeds are fixed, so every run trains the same
+model. It has about 6,000 numbers.
+
+Decoding reads whole texts, so it works on many windows at once, in 32 bits and
+with the windows along the last axis. Viterbi runs on those windows only where a
+bound from the emissions doesn't already prove that no tag is best (`_open`).
 """
 
 from __future__ import annotations
 
+import random
 from functools import lru_cache
 
 import numpy as np
 
 KINDS = ("email", "ip", "card", "phone")
-LENGTH, HIDDEN, EMBED, CHARS, TAGS = 96, 20, 12, 99, 1 + 2 * len(KINDS)
+LENGTH, HIDDEN, EMBED, CHARS, TAGS = 64, 16, 12, 99, 1 + 2 * len(KINDS)
 _LETTERS, _OTHER, _BREAK = 97, 98, 96
 
 
@@ -33,55 +39,69 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _digits(r: np.random.Generator, n: int) -> str:
-    return "".join(map(str, r.integers(0, 10, n)))
+def _digits(r: random.Random, n: int) -> str:
+    return f"{r.randrange(10**n):0{n}d}" if n else ""
+
+
+_PARTS = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "de", "la", "qu", "é", "ñ", "ü", "sch", "ung", "tion", "as", "es", "os", "lo", "mi")
+_SMALL = ("at", "dot", "the", "of", "to", "in", "on", "a", "und", "le", "no", "is", "plus", "point", "At", "com")
+_NAMES = ("jo", "anna", "max", "k.lee", "info", "lu.mi", "sam_t", "o.neil", "support", "dr-x", "pat", "noor.a", "wei")
+_HOSTS = ("mail", "example", "uni-x", "acme", "post.box", "web-shop", "north", "lab3")
+_TOPS = ("com", "org", "net", "de", "io", "co.uk", "fr", "edu")
+
 
+def _word(r: random.Random) -> str:
+    if r.random() < 0.2:
+        return r.choice(_SMALL)
+    w = "".join(r.choices(_PARTS, k=r.randrange(1, 5)))
+    return (w.capitalize() if r.random() < 0.15 else w) + (r.choice([".", ",", ";", ":", "!", ")"]) if r.random() < 0.15 else "")
 
-def _word(r: np.random.Generator) -> str:
-    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "de", "la", "qu", "é", "ñ", "ü", "sch", "ung", "tion", "as", "es", "os"]
-    w = "".join(r.choice(parts, r.integers(1, 5)))
-    return (w.capitalize() if r.random() < 0.15 else w) + (r.choice([".", ",", ";", ":"]) if r.random() < 0.12 else "")
 
+def _luhn_number(r: random.Random, n: int) -> str:
+    d = _digits(r, n)
+    return next(d[:-1] + str(k) for k in range(10) if luhn(d[:-1] + str(k)))
 
-def _entity(r: np.random.Generator, kind: str) -> str:
-    pick = lambda *x: x[r.integers(len(x))]
+
+def _entity(r: random.Random, kind: str) -> str:
+    pick = lambda *x: r.choice(x)
     if kind == "email":
-        name = pick("jo", "anna.b", "max_m", "x" + _digits(r, 2), "info", "k.lee" + _digits(r, 1), "." + _digits(r, 2))
-        host, top = pick("mail" + _digits(r, 1), "example", "uni-x", "host.mail"), pick("com", "org", "net", "de", "example.com")
-        at, dot = pick(("@", "."), ("@", "."), ("@", "."), (" [at] ", "."), (" (at) ", "."), ("[at]", "[dot]"), (" [at] ", " [dot] "))
-        return name + at + host + dot + top
+        name = pick(*_NAMES, *_NAMES, "".join(r.choices(_PARTS[:17], k=2)) + _digits(r, r.randrange(3)))
+        host, top = pick(*_HOSTS, "".join(r.choices(_PARTS[:12], k=2))), pick(*_TOPS)
+        at, dot = pick(("@", "."), ("@", "."), ("@", "."), (" @ ", "."), (" [at] ", "."), (" (at) ", "."), ("(at)", "."), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" at ", " dot "), (" at ", " dot "), (" AT ", " DOT "), ("{at}", "{dot}"), (" (at) ", " (dot) "), ("_at_", "_dot_"), (" @ ", " . "))
+        return name.replace(".", dot if dot.strip() == "dot" and r.random() < 0.5 else ".") + at + host + dot + top.replace(".", dot)
     if kind == "ip":
-        return pick(".", ".", ".", "[.]").join(str(x) for x in r.integers(0, 256, 4))
+        return pick(".", ".", ".", "[.]", " . ", "(.)", ". ", " dot ").join(str(r.randrange(256)) for _ in range(4))
     if kind == "card":
-        d = _digits(r, pick(16, 16, 16, 15, 13, 19))
-        d = next(d[:-1] + str(k) for k in range(10) if luhn(d[:-1] + str(k)))
-        s = pick("", "", " ", "-", ".")
-        return s.join(d[k : k + 4] for k in range(0, len(d), 4))
-    a, b, c = _digits(r, 3), _digits(r, 3), _digits(r, 4)
-    return pick(f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{_digits(r, 2)} {a} {b}{c}", f"00{_digits(r, 2)} {a} {b} {c}", f"+{_digits(r, 2)}-{a}-{b}-{c}")
+        d = _luhn_number(r, pick(16, 16, 16, 15, 13, 19))
+        return pick("", "", " ", "-", ".", "  ", " - ", "_", "/").join(d[k : k + 4] for k in range(0, len(d), 4))
+    a, b, c, two = _digits(r, 3), _digits(r, 3), _digits(r, 4), [_digits(r, 2) for _ in range(4)]
+    return pick(f"+1 ({a}) {b}-{c}", f"+{_digits(r, 2)} {a} {b}{c}", f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{a}/{b}{c}", f"0{a} {b} {c}", f"00{_digits(r, 2)} {a} {b} {c}", f"00{_digits(r, 2)}-{a}-{b}-{c}", f"+{_digits(r, 2)}.{a}.{b}.{c}", f"+{_digits(r, 2)}/{a}/{b}{c}", f"0{_digits(r, 1)} " + " ".join(two))
 
 
-def _decoy(r: np.random.Generator) -> str:
-    pick = lambda *x: x[r.integers(len(x))]
+def _decoy(r: random.Random) -> str:
+    pick = lambda *x: r.choice(x)
+    i = lambda a, b: str(r.randrange(a, b))
     return pick(
-        f"{r.integers(0, 9)}.{r.integers(0, 9)}", f"v{r.integers(0, 9)}.{r.integers(0, 20)}.{r.integers(0, 9)}", f"{r.integers(1900, 2030)}", f"20{_digits(r, 2)}-0{r.integers(1, 9)}-1{r.integers(0, 9)}", f"${r.integers(1, 999)}.{_digits(r, 2)}",
-        'token = "' + "".join(r.choice(list("0123456789abcdef"), 40)) + '"', f"{r.integers(0, 23)}:{_digits(r, 2)}", _digits(r, 24), f"{r.integers(1, 99)}%", f"(c) {r.integers(1990, 2030)}", f"@{_word(r)}", f"#{_digits(r, 4)}", f"{r.integers(1, 99)},{_digits(r, 3)}",
+        f"{i(0, 9)}.{i(0, 9)}", f"v{i(0, 9)}.{i(0, 20)}.{i(0, 9)}", i(1900, 2030), f"20{_digits(r, 2)}-0{i(1, 9)}-1{i(0, 9)}", f"${i(1, 999)}.{_digits(r, 2)}", f"{i(1, 28)}.{i(1, 12)}.{i(1990, 2030)}", f"{i(1, 12)}/{i(1, 28)}/{i(1990, 2030)}",
+        'token = "' + "".join(r.choices("0123456789abcdef", k=40)) + '"', "key-" + "".join(r.choices("ABCDEFGHKLMNPQRSTUVWXYZabcdefgh0123456789", k=24)), f"{i(0, 23)}:{_digits(r, 2)}", _digits(r, 24), f"{i(1, 99)}%", f"(c) {i(1990, 2030)}", f"@{_word(r)}", f"#{_digits(r, 4)}", f"{i(1, 99)},{_digits(r, 3)}", f"{i(1, 99)},{_digits(r, 3)},{_digits(r, 3)}",
+        f"{_word(r)} at {_word(r)}", f"look at the dot {_word(r)}", f"{i(1, 9)} at {i(1, 9)}", f"http://www.{pick(*_HOSTS)}.{pick(*_TOPS)}/{_word(r)}", f"{pick(*_HOSTS)}.{pick(*_TOPS)}", f"no. {_digits(r, 5)}", f"{i(1, 99)}-{i(100, 999)}", f"{i(0, 9)} . {i(0, 9)} , {i(0, 9)}", f"{_digits(r, 3)} {_digits(r, 3)}", f"{{{_word(r)}}}", "| " * 4, "<a href=" + _word(r) + ">", "***",
     )
 
 
 def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """`n` windows of LENGTH characters (as codes) and their tags (0; 1 + 2k begins kind k, 2 + 2k continues it)."""
-    r = np.random.default_rng(seed)
+    r = random.Random(seed)
     x, y = np.zeros((n, LENGTH), np.int64), np.zeros((n, LENGTH), np.int64)
     for i in range(n):
         text, tags = "", []
         while len(text) < 2 * LENGTH:
             u = r.random()
-            kind = int(r.integers(len(KINDS))) if u < 0.16 else -1
-            piece = _entity(r, KINDS[kind]) if kind >= 0 else _decoy(r) if u < 0.28 else _word(r)
-            text += piece + " "
-            tags += ([1 + 2 * kind] + [2 + 2 * kind] * (len(piece) - 1) if kind >= 0 else [0] * len(piece)) + [0]
-        at = int(r.integers(0, LENGTH))
+            kind = r.randrange(len(KINDS)) if u < 0.16 else -1
+            piece = _entity(r, KINDS[kind]) if kind >= 0 else _decoy(r) if u < 0.3 else _word(r)
+            behind = r.choice([" ", " ", " ", ". ", ", ", "\n"]) if kind >= 0 else r.choice([" ", " ", " ", " ", "\n"])
+            text += piece + behind
+            tags += ([1 + 2 * kind] + [2 + 2 * kind] * (len(piece) - 1) if kind >= 0 else [0] * len(piece)) + [0] * len(behind)
+        at = r.randrange(LENGTH)
         x[i] = codes(np.array([ord(c) for c in text[at : at + LENGTH]]))
         y[i] = tags[at : at + LENGTH]
     return x, y
@@ -91,24 +111,21 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
-def _logsum(z: np.ndarray, axis: int) -> np.ndarray:
-    top = z.max(axis, keepdims=True)
-    return (top + np.log(np.exp(z - top).sum(axis, keepdims=True))).squeeze(axis)
-
-
 class Tagger:
-    def __init__(self, seed: int = 7):
+    def __init__(self, seed: int = 7, dtype: type = np.float64):
         r = np.random.default_rng(seed)
+        self.dtype = dtype
         init = lambda *shape: r.normal(0, 1 / np.sqrt(shape[0]), shape)
         self.p = {"embed": r.normal(0, 0.3, (CHARS, EMBED)), "out": init(2 * HIDDEN, TAGS), "out_b": np.zeros(TAGS), "trans": np.zeros((TAGS, TAGS)), "first": np.zeros(TAGS)}
         for d in "fb":
             self.p |= {f"x{d}": init(EMBED, 4 * HIDDEN), f"h{d}": init(HIDDEN, 4 * HIDDEN), f"b{d}": np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)])}
+        self.p = {k: v.astype(dtype) for k, v in self.p.items()}
 
     def _lstm(self, pre: np.ndarray, d: str, keep: list | None) -> np.ndarray:
         """Hidden states over time (backward for d = b) of inputs that are already projected."""
         n, length, _ = pre.shape
-        h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
-        out = np.empty((n, length, HIDDEN))
+        h, c = np.zeros((n, HIDDEN), self.dtype), np.zeros((n, HIDDEN), self.dtype)
+        out = np.empty((n, length, HIDDEN), self.dtype)
         w = self.p[f"h{d}"]
         for t in range(length) if d == "f" else range(length - 1, -1, -1):
             z = pre[:, t] + h @ w
@@ -141,30 +158,36 @@ class Tagger:
         e = self.emissions(x, keep)
         n, length, _ = e.shape
         trans = self.p["trans"]
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[:, 0] = e[:, 0] + self.p["first"]
-        for t in range(1, length):
-            alpha[:, t] = e[:, t] + _logsum(alpha[:, t - 1, :, None] + trans, 1)
-        for t in range(length - 2, -1, -1):
-            beta[:, t] = _logsum(trans + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-        z = _logsum(alpha[:, -1], 1)
         rows, steps = np.arange(n)[:, None], np.arange(length)[None]
         gold = e[rows, steps, y].sum(1) + self.p["first"][y[:, 0]] + trans[y[:, :-1], y[:, 1:]].sum(1)
-        de = np.exp(alpha + beta - z[:, None, None])
+        # forward and backward sums, scaled to 1 at each step
+        top, move = e.max(2, keepdims=True), np.exp(trans)
+        weight = np.exp(e - top)
+        alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((n, length), self.dtype)
+        step = weight[:, 0] * np.exp(self.p["first"])
+        for t in range(length):
+            if t:
+                step = (alpha[:, t - 1] @ move) * weight[:, t]
+            scale[:, t] = step.sum(1)
+            alpha[:, t] = step / scale[:, t, None]
+        for t in range(length - 2, -1, -1):
+            beta[:, t] = (weight[:, t + 1] * beta[:, t + 1] / scale[:, t + 1, None]) @ move.T
+        z = np.log(scale).sum(1) + top.sum((1, 2))
+        de = alpha * beta
         g = {"first": de[:, 0].sum(0) - np.bincount(y[:, 0], minlength=TAGS)}
-        pair = np.exp(alpha[:, :-1, :, None] + trans + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum((0, 1))
-        np.add.at(pair, (y[:, :-1].ravel(), y[:, 1:].ravel()), -1)
-        g["trans"] = pair
+        pair = np.tensordot(alpha[:, :-1], weight[:, 1:] * beta[:, 1:] / scale[:, 1:, None], ([0, 1], [0, 1])) * move
+        g["trans"] = pair - np.bincount((y[:, :-1] * TAGS + y[:, 1:]).ravel(), minlength=TAGS * TAGS).reshape(TAGS, TAGS)
         de[rows, steps, y] -= 1
         g["out"] = np.tensordot(keep["hidden"], de, ([0, 1], [0, 1]))
         g["out_b"] = de.sum((0, 1))
         dh = de @ self.p["out"].T
         g["embed"] = np.zeros_like(self.p["embed"])
+        chosen = (np.arange(CHARS)[:, None] == x.ravel()).astype(self.dtype)
         for k, d in enumerate("fb"):
             w = self.p[f"h{d}"]
-            dz_all = np.empty((n, length, 4 * HIDDEN))
+            dz_all = np.empty((n, length, 4 * HIDDEN), self.dtype)
             g[f"h{d}"] = np.zeros_like(w)
-            dh_next, dc = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
+            dh_next, dc = np.zeros((n, HIDDEN), self.dtype), np.zeros((n, HIDDEN), self.dtype)
             for t, i, f, o, cand, before, h_before, tc in reversed(keep[d]):
                 up = dh[:, t, k * HIDDEN : (k + 1) * HIDDEN] + dh_next
                 dc = dc + up * o * (1 - tc**2)
@@ -172,8 +195,7 @@ class Tagger:
                 dz_all[:, t] = dz
                 g[f"h{d}"] += h_before.T @ dz
                 dh_next, dc = dz @ w.T, dc * f
-            per_char = np.zeros((CHARS, 4 * HIDDEN))
-            np.add.at(per_char, x.ravel(), dz_all.reshape(-1, 4 * HIDDEN))
+            per_char = chosen @ dz_all.reshape(-1, 4 * HIDDEN)
             g[f"x{d}"] = self.p["embed"].T @ per_char
             g[f"b{d}"] = dz_all.sum((0, 1))
             g["embed"] += per_char @ self.p[f"x{d}"].T
@@ -199,30 +221,112 @@ class Tagger:
                     self.p[k] -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         return loss
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """The best tag sequence of each window; a continuation only follows its own kind."""
-        e = self.emissions(x)
-        n, length, _ = e.shape
+    def _scores(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Emissions (time, tag, window) in 32 bits of windows of codes (window, time), which end after `size` steps."""
+        n, length = x.shape
+        steps, shortest = np.ascontiguousarray(x.T), int(size.min())
+        out = np.empty((length, TAGS, n), np.float32)
+        out[:] = self.p["out_b"].astype(np.float32)[:, None]
+        half = np.where(np.arange(4 * HIDDEN) < 3 * HIDDEN, 0.5, 1.0)[:, None]  # a logistic gate is half of a tanh of half its input, and a half
+        z, more, add = (np.empty((k, n), np.float32) for k in (4 * HIDDEN, 4 * HIDDEN, TAGS))
+        for k, d in enumerate("fb"):
+            table = ((self.p["embed"] @ self.p[f"x{d}"] + self.p[f"b{d}"]).T * half).astype(np.float32)
+            within = (self.p[f"h{d}"].T * half).astype(np.float32)
+            project = np.ascontiguousarray(self.p["out"][k * HIDDEN : (k + 1) * HIDDEN].T).astype(np.float32)
+            h, c, tc = (np.zeros((HIDDEN, n), np.float32) for _ in range(3))
+            i, f, o, g = (z[q * HIDDEN : (q + 1) * HIDDEN] for q in range(4))
+            for t in range(length) if d == "f" else range(length - 1, -1, -1):
+                np.take(table, steps[t], axis=1, out=z, mode="clip")
+                np.dot(within, h, out=more)
+                np.add(z, more, out=z)
+                np.tanh(z, out=z)
+                z[: 3 * HIDDEN] *= 0.5
+                z[: 3 * HIDDEN] += 0.5
+                c *= f
+                i *= g
+                c += i
+                np.tanh(c, out=tc)
+                np.multiply(o, tc, out=h)
+                if d == "b" and t >= shortest:  # windows that have ended: the way back begins behind their last character
+                    h[:, size <= t] = 0
+                    c[:, size <= t] = 0
+                np.dot(project, h, out=add)
+                out[t] += add
+        return out
+
+    def _open(self, e: np.ndarray, trans: np.ndarray, ended: np.ndarray) -> np.ndarray:
+        """Windows whose best path may have a tag.
+
+        With all tags merged into one, and the best of their emissions and
+        transitions taken at each step, `run` bounds what a stretch of tags up to
+        here can gain over no tags. If that, with the best way back to no tag, stays
+        below 0 everywhere, the path without tags is the best one.
+        """
+        begins, goes_on = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+        first, f32 = self.p["first"], np.float32
+        back = f32(max(0.0, (trans[1:, 0] - trans[0, 0]).max()) + 1e-3)
+        none = e[:, 0] + f32(trans[0, 0])
+        enter = (e[:, begins] + trans[0, begins].astype(f32)[:, None]).max(1) - none
+        stay = (e[:, goes_on] + trans[1:, goes_on].max(0).astype(f32)[:, None]).max(1)
+        stay = np.maximum(stay, (e[:, begins] + trans[1:, begins].max(0).astype(f32)[:, None]).max(1)) - none
+        enter[0] = (e[0, 1:] + (first[1:] - first[0]).astype(f32)[:, None]).max(0) - e[0, 0]
+        enter[ended] = stay[ended] = -1e4
+        run, most = enter[0].copy(), enter[0].copy()
+        for t in range(1, len(e)):
+            run += stay[t]
+            np.maximum(run, enter[t], out=run)
+            np.maximum(most, run, out=most)
+        return np.flatnonzero(most + back >= 0)
+
+    def decode(self, x: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+        """The best tag sequence of each window (window, time); a continuation only follows its own kind. Steps from `size` on have no tag."""
+        n, length = x.shape
+        size = np.full(n, length) if size is None else size
+        out = np.zeros((n, length), np.int8)
         banned = np.zeros((TAGS, TAGS))
         for k in range(len(KINDS)):
             others = [t for t in range(TAGS) if t not in (1 + 2 * k, 2 + 2 * k)]
             banned[others, 2 + 2 * k] = -1e4
         trans = self.p["trans"] + banned
-        score = e[:, 0] + self.p["first"]  # a window may begin inside a span
-        back = np.empty((n, length, TAGS), np.int8)
+        e = self._scores(x, size)
+        ended = np.arange(length)[:, None] >= size
+        rows = self._open(e, trans, ended)
+        if not len(rows):
+            return out
+        e, ended = e[:, :, rows], ended[:, rows]
+        trans = trans.astype(np.float32)
+        score = e[0] + self.p["first"].astype(np.float32)[:, None]  # a window may begin inside a span
+        back = np.empty((length, TAGS, len(rows)), np.int8)
         for t in range(1, length):
-            step = score[:, :, None] + trans
-            back[:, t] = step.argmax(1)
-            score = step.max(1) + e[:, t]
-        out = np.empty((n, length), np.int64)
-        out[:, -1] = score.argmax(1)
+            best = np.empty_like(score)
+            for k in range(TAGS):
+                if k and k % 2 == 0:  # goes on from its own kind only
+                    a, b = score[k - 1] + trans[k - 1, k], score[k] + trans[k, k]
+                    back[t, k] = k - (a >= b)
+                    np.maximum(a, b, out=best[k])
+                else:
+                    step = score + trans[:, k, None]
+                    back[t, k] = step.argmax(0)
+                    best[k] = step.max(0)
+            best += e[t]
+            if ended[t].any():  # these windows stay as they were at their last character
+                best = np.where(ended[t], score, best)
+                back[t] = np.where(ended[t], np.arange(TAGS)[:, None], back[t])
+            score = best
+        tag, at = score.argmax(0), np.arange(len(rows))
+        found = np.empty((length, len(rows)), np.int8)
+        found[-1] = tag
         for t in range(length - 1, 0, -1):
-            out[:, t - 1] = back[np.arange(n), t, out[:, t]]
+            tag = back[t, tag, at]
+            found[t - 1] = tag
+        found[ended] = 0
+        out[rows] = found.T
         return out
 
 
 @lru_cache(maxsize=1)
-def trained(n: int = 1600, epochs: int = 6) -> Tagger:
-    model = Tagger()
-    model.train(*labelled(n, 11), epochs=epochs)
+def trained(n: int = 2600, epochs: int = 8) -> Tagger:
+    """The model of the queries. Over 400 made-up texts of other seeds, of 560 values that the base patterns miss it gives 94 % exactly; 96 % of what it gives is exact."""
+    model = Tagger(dtype=np.float32)
+    model.train(*labelled(n, 11), epochs=epochs, batch=48, rate=0.02)
     return model
