@@ -96,6 +96,17 @@ def test_walls_without_a_side_and_hidden_crossings(spark):
     assert flip.strike_etf == 10.5
 
 
+def test_strikes_without_an_eligible_contract_are_no_strikes(spark):
+    """The one between the crossing's neighbours would otherwise move the flip."""
+    rows = [("U", "put", 10, 90.0, 0.2, 50, 1), ("U", "call", 10, 95.0, 0.2, 0, 1), ("U", "call", 10, 96.0, 0.001, 70, 1), ("U", "call", 10, 100.0, 0.2, 500, 1)]
+    contracts = spark.createDataFrame(rows, "underlying string, side string, days_out int, strike double, implied_volatility double, open_interest long, volume long")
+    strikes = G.gex_by_strike(contracts, 95.0, 3914.0)
+    got = {r.strike_etf: r.gex for r in strikes.collect()}
+    assert set(got) == {90.0, 100.0} and got[90.0] < 0 < got[100.0]
+    flip = G.gamma_flip(strikes, 95.0).first().strike_etf
+    assert flip == pytest.approx(90 + 10 * -got[90.0] / (-got[90.0] + got[90.0] + got[100.0]), abs=0.01)
+
+
 def test_upsert_and_ticks(spark):
     rows = minutes(spark, [1.0, 2.0, 3.0])
     assert [r.volume for r in B.tick_bars(rows, 2).orderBy("date").collect()] == [20, 10]

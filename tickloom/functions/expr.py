@@ -101,3 +101,9 @@ def monday(ts: Column) -> Column:
 
 def tick_index(price: Column, tick: float) -> Column:
     return F.floor(price / F.lit(tick) + F.lit(0.5)).cast("long")
+
+
+def ingestion_timer(ts: Column) -> Column:
+    """The timer that fires in the 5-minute slot of a UTC time: regular (Monday to Friday, 13 to 20 h) or globex (Sunday, 22 and 23 h)."""
+    day, hour = F.weekday(ts), F.hour(ts)
+    return F.when((day <= 4) & hour.between(13, 20), "regular").when((day == 6) & hour.isin(22, 23), "globex")

@@ -7,10 +7,11 @@ aggregation, not a window, so a key with many versions stays one row a task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import expr as X
+from tickloom.operators.series import indexed
 from tickloom.schemas import BUFFER_DAYS, MONTHS, ROLLUP_MINUTES, STORED_INTERVAL
 
 OHLC = ("open", "high", "low", "close_price")
@@ -53,7 +54,7 @@ def stored_interval(interval: str) -> str:
 
 def tick_bars(bars: DataFrame, n: int) -> DataFrame:
     """Every n consecutive bars become one; the last may be short."""
-    numbered = bars.withColumn("bar", F.floor((F.row_number().over(Window.partitionBy("symbol").orderBy("date")) - 1) / n))
+    numbered = indexed(bars).withColumn("bar", F.floor(F.col("idx") / n))
     return numbered.groupBy("symbol", "bar").agg(F.min("date").alias("first_date"), *ohlcv()).select("symbol", F.col("first_date").alias("date"), *OHLC, "volume")
 
 

@@ -17,7 +17,7 @@ def true_range():
 
 
 def price_features(bars: DataFrame) -> DataFrame:
-    """Rolling features over the rows as they are (rows that the as-of join left), by date within the symbol."""
+    """Rolling features over the rows as they are (rows that the as-of join left), by date within the symbol; `idx` numbers them."""
     log_close = F.ln(F.when(F.col("close_price") > 0, F.col("close_price")))
     rows = S.indexed(bars).withColumns({"_log": log_close, "_tr": true_range(), "_ret": F.ln(F.col("close_price") / F.nullif("prev", F.lit(0.0))), "_diff": F.col("close_price") - F.col("prev"), "_v": F.col("volume").cast("double")})
     gain, loss = F.when(F.col("_diff").isNotNull(), F.greatest("_diff", F.lit(0.0))), F.when(F.col("_diff").isNotNull(), -F.least("_diff", F.lit(0.0)))
@@ -39,7 +39,7 @@ def price_features(bars: DataFrame) -> DataFrame:
         "hour_sin": F.sin(angle),
         "hour_cos": F.cos(angle),
     }
-    return S.rolling(rows, ROLLING, columns).withColumns(plain).drop("_log", "_tr", "_ret", "_diff", "_v", "idx", "prev")
+    return S.rolling(rows, ROLLING, columns).withColumns(plain).drop("_log", "_tr", "_ret", "_diff", "_v", "prev")
 
 
 def gex_features(rows: DataFrame) -> DataFrame:
@@ -49,8 +49,8 @@ def gex_features(rows: DataFrame) -> DataFrame:
 
 
 def forward_target(rows: DataFrame, horizon: int) -> DataFrame:
-    """target_return: log return `horizon` rows ahead, only where those rows are exactly that many grid steps apart."""
-    ahead = S.rolling(S.indexed(rows), 0, {"_close": F.lead("close_price", horizon).over(S.window()), "target_time": F.lead("date", horizon).over(S.window())}, ahead=horizon)
+    """target_return: log return `horizon` rows ahead, only where those rows are exactly that many grid steps apart. Rows that are numbered (`idx`) are taken as they are."""
+    ahead = S.rolling(rows if "idx" in rows.columns else S.indexed(rows), 0, {"_close": F.lead("close_price", horizon).over(S.window()), "target_time": F.lead("date", horizon).over(S.window())}, ahead=horizon)
     gap = F.unix_seconds(F.col("target_time").cast("timestamp")) - F.unix_seconds(F.col("date").cast("timestamp"))
     target = F.when((gap == horizon * GRID_MINUTES * 60) & (F.col("close_price") > 0) & (F.col("_close") > 0), F.ln(F.col("_close") / F.col("close_price")))
     return ahead.withColumn("target_return", target).drop("_close", "idx", "prev")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import expr as X
+from tickloom.operators.order import checkpointed
 from tickloom.schemas import MAX_DAYS_OUT, MAX_EXPIRATIONS, MIN_IV
 
 BUCKETS = ("0dte", "1dte", "weekly", "monthly")
@@ -26,13 +27,13 @@ def near_expirations(contracts: DataFrame, max_days: int = MAX_DAYS_OUT, most: i
 
 
 def gex_by_strike(contracts: DataFrame, spot: float, futures: float) -> DataFrame:
-    """Per strike: call, put and total exposure, and the same by days-to-expiry bucket, rounded to 2."""
+    """Per strike with an eligible contract (open interest, and volatility of MIN_IV or more): call, put and total exposure, and the same by days-to-expiry bucket, rounded to 2."""
     gamma = X.bs_gamma(F.lit(spot), F.col("strike"), X.years_to_expiry(F.col("days_out")), F.col("implied_volatility"))
-    size = gamma * F.col("open_interest") * 100 * spot
-    amount = F.when((F.col("open_interest") > 0) & (F.col("implied_volatility") >= MIN_IV), size).otherwise(0.0)
+    amount = gamma * F.col("open_interest") * 100 * spot
+    eligible = (F.col("strike") > 0) & (F.col("open_interest") > 0) & (F.col("implied_volatility") >= MIN_IV)
     signed = F.when(F.col("side") == "call", amount).otherwise(-amount)
     bucket = X.dte_bucket(F.col("days_out"))
-    sums = contracts.where("strike > 0").groupBy("underlying", "strike").agg(
+    sums = contracts.where(eligible).groupBy("underlying", "strike").agg(
         F.sum(F.when(F.col("side") == "call", amount).otherwise(0.0)).alias("gex_call"),
         F.sum(F.when(F.col("side") == "put", -amount).otherwise(0.0)).alias("gex_put"),
         *[F.sum(F.when(bucket == b, signed).otherwise(0.0)).alias(f"gex_{b}") for b in BUCKETS],
@@ -108,7 +109,11 @@ LEVEL = ("underlying", "label", "place", "strike_etf", "strike_futures", "gex",
 
 
 def key_levels(strikes: DataFrame, spot: float) -> DataFrame:
-    """call_wall, put_wall, zero_gamma (exposures 0), and up to three significant strikes of either sign."""
+    """call_wall, put_wall, zero_gamma (exposures 0), and up to three significant strikes of either sign.
+
+    Strikes are few hundred rows an underlying; they are aggregated once, for all five kinds of level to read.
+    """
+    strikes = checkpointed(strikes)
     tag = lambda df, label, place: df.withColumns({"label": F.lit(label), "place": place}).select(*LEVEL)
     flip = gamma_flip(strikes, spot).withColumns({c: F.lit(0.0) for c in LEVEL[5:]})
     out = tag(walls(strikes, "call"), "call_wall", F.lit(1))

@@ -40,9 +40,9 @@ def _(spark, d):
 
 @query("sort_bars", A.ctes("bars") + f" SELECT {OHLCV}, row_number() OVER (PARTITION BY symbol ORDER BY date) AS position FROM bars")
 def _(spark, d):
-    from pyspark.sql import Window
+    from tickloom.operators.series import indexed
 
-    return A.bars_1h(spark, d).select(*OHLCV.split(", "), F.row_number().over(Window.partitionBy("symbol").orderBy("date")).cast("long").alias("position"))
+    return indexed(A.bars_1h(spark, d)).select(*OHLCV.split(", "), (F.col("idx") + 1).alias("position"))
 
 
 @query("agg_ohlc_nmin", _agg_sql("bars", "date_trunc('day', date) + to_hours(CAST(floor(hour(date) / 4) * 4 AS BIGINT))"))

@@ -59,7 +59,7 @@ def _(spark, d):
 def _(spark, d):
     """Interval of the correlation over the last 500 rows in order, as folds of 100 give them."""
     rows = E.folds(A.predictions(spark, d), ["oos_idx"]).where("part = 'test'").select("oos_idx", "y_true", F.col("base_pred").alias("pred"))
-    return E.bootstrap_ic(rows, ["oos_idx"], samples=200)
+    return E.bootstrap_ic(rows, ["oos_idx"])
 
 
 @query("agg_describe", OOS + f""" SELECT count(y_true) AS n, {r6('avg(y_true)')} AS mean, {r6('stddev_samp(y_true)')} AS std, {r6('min(y_true)')} AS min, {r6('quantile_cont(y_true, 0.25)')} AS q25, {r6('quantile_cont(y_true, 0.5)')} AS q50, {r6('quantile_cont(y_true, 0.75)')} AS q75, {r6('max(y_true)')} AS max,

@@ -14,8 +14,8 @@ SPOT, FUTURES = 950.0, 39140.0
 
 NEAR = A.ctes("contracts") + """, firsts AS (SELECT underlying, days_out FROM (SELECT underlying, days_out, row_number() OVER (PARTITION BY underlying ORDER BY days_out) AS k FROM (SELECT DISTINCT underlying, days_out FROM contracts WHERE days_out BETWEEN 0 AND 30)) WHERE k <= 4),
 near AS (SELECT c.* FROM contracts c JOIN firsts f ON c.underlying = f.underlying AND c.days_out = f.days_out)"""
-STRIKES = NEAR + f""", g AS (SELECT *, CASE WHEN side = 'call' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sgn, greatest(days_out / 365.0::DOUBLE, 1.0::DOUBLE / 365) AS t, implied_volatility AS v FROM near WHERE strike > 0),
-a AS (SELECT *, CASE WHEN open_interest > 0 AND v >= 0.01 THEN exp(-0.5::DOUBLE * d1 * d1) / sqrt(2 * pi()) / ({SPOT}::DOUBLE * v * sqrt(t)) * open_interest * 100 * {SPOT}::DOUBLE ELSE 0 END AS amt
+STRIKES = NEAR + f""", g AS (SELECT *, CASE WHEN side = 'call' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sgn, greatest(days_out / 365.0::DOUBLE, 1.0::DOUBLE / 365) AS t, implied_volatility AS v FROM near WHERE strike > 0 AND open_interest > 0 AND implied_volatility >= 0.01),
+a AS (SELECT *, exp(-0.5::DOUBLE * d1 * d1) / sqrt(2 * pi()) / ({SPOT}::DOUBLE * v * sqrt(t)) * open_interest * 100 * {SPOT}::DOUBLE AS amt
     FROM (SELECT *, (ln({SPOT}::DOUBLE / strike) + (0.05::DOUBLE + v * v / 2) * t) / nullif(v * sqrt(t), 0) AS d1 FROM g)),
 s AS (SELECT underlying, strike, sum(CASE WHEN sgn > 0 THEN amt ELSE 0 END) AS gc, sum(CASE WHEN sgn < 0 THEN -amt ELSE 0 END) AS gp,
     sum(CASE WHEN days_out <= 0 THEN sgn * amt ELSE 0 END) AS g0, sum(CASE WHEN days_out = 1 THEN sgn * amt ELSE 0 END) AS g1, sum(CASE WHEN days_out > 1 AND days_out <= 7 THEN sgn * amt ELSE 0 END) AS gw, sum(CASE WHEN days_out > 7 THEN sgn * amt ELSE 0 END) AS gm FROM a GROUP BY underlying, strike),
@@ -102,15 +102,6 @@ def _(spark, d):
     return G.gamma_flip(_strikes(spark, d), SPOT)
 
 
-@query("key_levels", STRIKES + FLIP + RANKED + f""" SELECT underlying, 'call_wall' AS label, 1 AS place, strike_etf, strike_futures, gex, {EXTRA} FROM pos WHERE r = 1
-UNION ALL SELECT underlying, 'put_wall', 1, strike_etf, strike_futures, gex, {EXTRA} FROM neg WHERE r = 1
-UNION ALL SELECT underlying, 'zero_gamma', 1, strike_etf, strike_futures, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0 FROM flip
-UNION ALL SELECT underlying, 'significant_pos', (r - 1)::INT, strike_etf, strike_futures, gex, {EXTRA} FROM pos WHERE r BETWEEN 2 AND 4
-UNION ALL SELECT underlying, 'significant_neg', (r - 1)::INT, strike_etf, strike_futures, gex, {EXTRA} FROM neg WHERE r BETWEEN 2 AND 4""")
-def _(spark, d):
-    return G.key_levels(_strikes(spark, d), SPOT)
-
-
 def _pivot_sql(zero: str) -> str:
     def fill(x: str) -> str:
         return f"CASE WHEN max(gex_0dte IS NOT NULL) THEN coalesce({x}, 0) END" if zero else x
@@ -189,13 +180,24 @@ def _(spark, d):
     return G.clean_up(A.snapshots(spark, d), A.levels(spark, d))[0].select("id")
 
 
-@query("sink_insert_gex")
+LEVELS = STRIKES + FLIP + RANKED + f""", levels AS (SELECT underlying, 'call_wall' AS label, 1 AS place, strike_etf, strike_futures, gex, {EXTRA} FROM pos WHERE r = 1
+UNION ALL SELECT underlying, 'put_wall', 1, strike_etf, strike_futures, gex, {EXTRA} FROM neg WHERE r = 1
+UNION ALL SELECT underlying, 'zero_gamma', 1, strike_etf, strike_futures, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0 FROM flip
+UNION ALL SELECT underlying, 'significant_pos', (r - 1)::INT, strike_etf, strike_futures, gex, {EXTRA} FROM pos WHERE r BETWEEN 2 AND 4
+UNION ALL SELECT underlying, 'significant_neg', (r - 1)::INT, strike_etf, strike_futures, gex, {EXTRA} FROM neg WHERE r BETWEEN 2 AND 4)"""
+query("key_levels", LEVELS + " SELECT * FROM levels")(lambda spark, d: G.key_levels(_strikes(spark, d), SPOT))
+
+
+@query("sink_insert_gex", LEVELS + f" SELECT underlying AS symbol, {SPOT}::DOUBLE AS etf_price, {FUTURES}::DOUBLE AS futures_price, label, place, strike_etf, gex, gex_0dte FROM levels")
 def _(spark, d):
-    """Parents and children under deterministic keys, as they are appended."""
-    from tickloom.sources.sinks import gex_rows
+    """Snapshots and their levels, written under deterministic keys, read again and joined on them; the keys, hashes, have no SQL form."""
+    from tickloom.sources.sinks import fresh_path, gex_rows, write_gex
 
     parents, children = gex_rows(_strikes(spark, d), SPOT, FUTURES, "2024-01-31 00:00:00")
-    return children.join(parents, "snapshot_key").select("snapshot_key", "symbol", "label", "strike_etf", "gex")
+    path = fresh_path(spark)
+    write_gex(parents, children, path)
+    joined = spark.read.parquet(f"{path}/gamma_levels").join(spark.read.parquet(f"{path}/gamma_exposure"), "snapshot_key")
+    return joined.select("symbol", "etf_price", "futures_price", "label", "place", "strike_etf", "gex", "gex_0dte")
 
 
 @query("join_dim_lookup", "SELECT symbol, m.f AS futures FROM (VALUES ('QQQ'), ('SPY'), ('IWM'), ('DIA'), ('AAPL')) t(symbol) LEFT JOIN (VALUES ('QQQ', 'NQ=F'), ('SPY', 'ES=F'), ('IWM', 'RTY=F'), ('DIA', 'YM=F')) m(e, f) ON t.symbol = m.e")

@@ -24,6 +24,12 @@ for _name, (_gate, _sql) in GATES.items():
     query(_name, f"SELECT event_id, ts FROM {EVENTS} WHERE {_sql}")(lambda spark, d, gate=_gate: A.table(spark, d, "events").where(gate(F.col("ts"))).select("event_id", "ts"))
 
 
+@query("stream_ticker_cron", f"SELECT event_id, CASE WHEN isodow(ts) <= 5 AND hour(ts) BETWEEN 13 AND 20 THEN 'regular' WHEN isodow(ts) = 7 AND hour(ts) IN (22, 23) THEN 'globex' END AS timer, time_bucket(INTERVAL 5 MINUTE, ts) AS fires_at FROM events")
+def _(spark, d):
+    ts = F.col("ts")
+    return A.table(spark, d, "events").select("event_id", X.ingestion_timer(ts).alias("timer"), X.floor_minutes(ts, 5).alias("fires_at"))
+
+
 @query("stream_gex_cron", f"SELECT event_id, CASE WHEN {GATES['filter_premarket'][1]} THEN 'premarket' WHEN {GATES['filter_market_open'][1]} THEN 'regular' WHEN {GATES['filter_postclose'][1]} THEN 'postclose' ELSE 'closed' END AS session FROM {EVENTS}")
 def _(spark, d):
     ts = F.col("ts")
@@ -130,10 +136,11 @@ def _(spark, d):
     return A.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"), F.get_json_object("props", "$.none").alias("missing"))
 
 
-@query("fn_array", "SELECT event_type, len(l) AS n, list_sum(l)::BIGINT AS total, list_max(l) AS top, l[1] AS first, l[1000000] AS beyond FROM (SELECT event_type, list(event_id ORDER BY event_id) AS l FROM events WHERE event_id % 100 = 0 GROUP BY event_type)")
+@query("fn_array", "SELECT event_type, block, len(l) AS n, list_sum(l)::BIGINT AS total, list_max(l) AS top, l[1] AS first, l[1000000] AS beyond FROM (SELECT event_type, event_id // 1000 AS block, list(event_id ORDER BY event_id) AS l FROM events GROUP BY ALL)")
 def _(spark, d):
-    a = A.table(spark, d, "events").where("event_id % 100 = 0").groupBy("event_type").agg(F.array_sort(F.collect_list("event_id")).alias("l"))
-    return a.select("event_type", F.size("l").cast("long").alias("n"), F.aggregate("l", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.array_max("l").alias("top"), F.get("l", F.lit(0)).alias("first"), F.get("l", F.lit(999999)).alias("beyond"))
+    """Arrays of the ids of a type within blocks of 1,000 ids, so that none grows with the table."""
+    a = A.table(spark, d, "events").groupBy("event_type", F.floor(F.col("event_id") / 1000).alias("block")).agg(F.array_sort(F.collect_list("event_id")).alias("l"))
+    return a.select("event_type", "block", F.size("l").cast("long").alias("n"), F.aggregate("l", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.array_max("l").alias("top"), F.get("l", F.lit(0)).alias("first"), F.get("l", F.lit(999999)).alias("beyond"))
 
 
 @query("fn_map", "SELECT event_type, count(*) AS hits, coalesce(CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'v' END, 'other') AS code FROM events GROUP BY event_type")

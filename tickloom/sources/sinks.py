@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators import gex as G
+from tickloom.session import shared_folder
 
 
 def gex_rows(strikes: DataFrame, spot: float, futures: float, computed_at: str) -> tuple[DataFrame, DataFrame]:
@@ -17,6 +20,11 @@ def gex_rows(strikes: DataFrame, spot: float, futures: float, computed_at: str)
     return parents, children
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A folder that isn't there yet, where driver and executors can write."""
+    return f"{shared_folder(spark.sparkContext)}/written-{uuid.uuid4().hex}"
+
+
 def write_gex(parents: DataFrame, children: DataFrame, path: str) -> None:
     parents.write.mode("append").parquet(f"{path}/gamma_exposure")
     children.write.mode("append").parquet(f"{path}/gamma_levels")
@@ -27,6 +35,11 @@ def write_bars(bars: DataFrame, path: str) -> None:
     bars.write.mode("append").partitionBy("interval_type").parquet(path)
 
 
+def write_rows(rows: DataFrame, path: str) -> None:
+    """Feature rows or predictions as Parquet, in place of what was there."""
+    rows.write.mode("overwrite").parquet(path)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
