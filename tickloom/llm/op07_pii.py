@@ -67,7 +67,7 @@ def windows(text: str) -> list[tuple[int, int]]:
     return [(at, min(at + WINDOW, len(text))) for at in range(0, max(len(text) - OVERLAP, min(len(text), 1)), WINDOW - OVERLAP)]
 
 
-def tagged(texts: list[str], model: Tagger, batch: int = 2048) -> list[list[tuple[int, int, int]]]:
+def tagged(texts: list[str], model: Tagger, batch: int = 512) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) of what the tagger finds in each text, reconciled over its windows."""
     coded = [codes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)) for text in texts]
     plan = sorted(((i, *w) for i, text in enumerate(texts) for w in windows(text)), key=lambda w: w[2] - w[1])  # of like lengths together
@@ -79,19 +79,15 @@ def tagged(texts: list[str], model: Tagger, batch: int = 2048) -> list[list[tupl
         for k, (i, a, b) in enumerate(part):
             x[k, : b - a] = coded[i][a:b]
         tags = model.decode(x, size)
-        for k in np.flatnonzero(tags.any(1)).tolist():
+        kind = np.pad((tags + 1) // 2, ((0, 0), (1, 1)))  # 0: none
+        goes_on = np.pad((tags > 0) & (tags % 2 == 0), ((0, 0), (1, 1)))
+        new = (kind[:, 1:] > 0) & ~(goes_on[:, 1:] & (kind[:, 1:] == kind[:, :-1]))
+        over = (kind[:, :-1] > 0) & ~(goes_on[:, 1:] & (kind[:, 1:] == kind[:, :-1]))
+        (rows, starts), ends = np.nonzero(new), np.nonzero(over)[1]
+        for k, s, e, what in zip(rows.tolist(), starts.tolist(), ends.tolist(), kind[rows, starts + 1].tolist()):
             i, a, b = part[k]
-            row, t = tags[k, : b - a].tolist(), 0
-            while t < len(row):
-                if not row[t]:
-                    t += 1
-                    continue
-                kind, s = (row[t] - 1) // 2, t
-                t += 1
-                while t < len(row) and row[t] == 2 + 2 * kind:
-                    t += 1
-                cut = (s == 0 and a > 0) or (t == len(row) and b < len(texts[i]))
-                found[i].append((cut, -(t - s), a + s, kind, a + t))
+            cut = (s == 0 and a > 0) or (e == b - a and b < len(texts[i]))
+            found[i].append((cut, s - e, a + s, what - 1, a + e))
     out = []
     for spans in found:
         taken: list[tuple[int, int, int]] = []

@@ -7,8 +7,8 @@ prices and hexadecimal tokens. Seeds are fixed, so every run trains the same
 model. It has about 6,000 numbers.
 
 Decoding reads whole texts, so it works on many windows at once, in 32 bits and
-with the windows along the last axis. Viterbi runs on those windows only where a
-bound from the emissions doesn't already prove that no tag is best (`_open`).
+with the windows along the last axis. Viterbi runs on those steps only where a
+bound from the emissions doesn't already prove that no tag is best (`_live`).
 """
 
 from __future__ import annotations
@@ -227,18 +227,21 @@ class Tagger:
         steps, shortest = np.ascontiguousarray(x.T), int(size.min())
         out = np.empty((length, TAGS, n), np.float32)
         out[:] = self.p["out_b"].astype(np.float32)[:, None]
+        embed = np.ascontiguousarray(self.p["embed"].T).astype(np.float32)
         half = np.where(np.arange(4 * HIDDEN) < 3 * HIDDEN, 0.5, 1.0)[:, None]  # a logistic gate is half of a tanh of half its input, and a half
-        z, more, add = (np.empty((k, n), np.float32) for k in (4 * HIDDEN, 4 * HIDDEN, TAGS))
+        z, add = (np.empty((k, n), np.float32) for k in (4 * HIDDEN, TAGS))
+        i, f, o, g = (z[q * HIDDEN : (q + 1) * HIDDEN] for q in range(4))
+        given = np.empty((HIDDEN + EMBED + 1, n), np.float32)  # state, character and 1, for one product a step
+        given[-1] = 1
+        h, seen = given[:HIDDEN], given[HIDDEN:-1]
         for k, d in enumerate("fb"):
-            table = ((self.p["embed"] @ self.p[f"x{d}"] + self.p[f"b{d}"]).T * half).astype(np.float32)
-            within = (self.p[f"h{d}"].T * half).astype(np.float32)
+            weights = (np.concatenate([self.p[f"h{d}"], self.p[f"x{d}"], self.p[f"b{d}"][None]]).T * half).astype(np.float32)
             project = np.ascontiguousarray(self.p["out"][k * HIDDEN : (k + 1) * HIDDEN].T).astype(np.float32)
-            h, c, tc = (np.zeros((HIDDEN, n), np.float32) for _ in range(3))
-            i, f, o, g = (z[q * HIDDEN : (q + 1) * HIDDEN] for q in range(4))
+            h[:] = 0
+            c, tc = (np.zeros((HIDDEN, n), np.float32) for _ in range(2))
             for t in range(length) if d == "f" else range(length - 1, -1, -1):
-                np.take(table, steps[t], axis=1, out=z, mode="clip")
-                np.dot(within, h, out=more)
-                np.add(z, more, out=z)
+                np.take(embed, steps[t], axis=1, out=seen, mode="clip")
+                np.dot(weights, given, out=z)
                 np.tanh(z, out=z)
                 z[: 3 * HIDDEN] *= 0.5
                 z[: 3 * HIDDEN] += 0.5
@@ -254,29 +257,30 @@ class Tagger:
                 out[t] += add
         return out
 
-    def _open(self, e: np.ndarray, trans: np.ndarray, ended: np.ndarray) -> np.ndarray:
-        """Windows whose best path may have a tag.
+    def _live(self, e: np.ndarray, trans: np.ndarray, ended: np.ndarray) -> np.ndarray:
+        """Steps (time, window) that the best path may tag.
 
-        With all tags merged into one, and the best of their emissions and
-        transitions taken at each step, `run` bounds what a stretch of tags up to
-        here can gain over no tags. If that, with the best way back to no tag, stays
-        below 0 everywhere, the path without tags is the best one.
+        All tags are merged into one, with the best of their emissions and
+        transitions at each step: `run` bounds what a stretch of tags up to here
+        gains over no tags, `rest` what can come after. Where their sum is below 0, no
+        stretch of tags through this step is as good as none.
         """
-        begins, goes_on = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
         first, f32 = self.p["first"], np.float32
         back = f32(max(0.0, (trans[1:, 0] - trans[0, 0]).max()) + 1e-3)
         none = e[:, 0] + f32(trans[0, 0])
-        enter = (e[:, begins] + trans[0, begins].astype(f32)[:, None]).max(1) - none
-        stay = (e[:, goes_on] + trans[1:, goes_on].max(0).astype(f32)[:, None]).max(1)
-        stay = np.maximum(stay, (e[:, begins] + trans[1:, begins].max(0).astype(f32)[:, None]).max(1)) - none
+        begin = (e[:, 1::2] + (trans[1:, 1::2].max(0)).astype(f32)[:, None]).max(1)
+        stay = np.maximum((e[:, 2::2] + trans[1:, 2::2].max(0).astype(f32)[:, None]).max(1), begin) - none
+        enter = (e[:, 1::2] + trans[0, 1::2].astype(f32)[:, None]).max(1) - none
         enter[0] = (e[0, 1:] + (first[1:] - first[0]).astype(f32)[:, None]).max(0) - e[0, 0]
         enter[ended] = stay[ended] = -1e4
-        run, most = enter[0].copy(), enter[0].copy()
+        run = enter
         for t in range(1, len(e)):
-            run += stay[t]
-            np.maximum(run, enter[t], out=run)
-            np.maximum(most, run, out=most)
-        return np.flatnonzero(most + back >= 0)
+            np.maximum(run[t], run[t - 1] + stay[t], out=run[t])
+        rest = np.full(e.shape[2], back)
+        for t in range(len(e) - 1, -1, -1):
+            run[t] += rest
+            np.maximum(rest + stay[t], back, out=rest)
+        return run >= 0
 
     def decode(self, x: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
         """The best tag sequence of each window (window, time); a continuation only follows its own kind. Steps from `size` on have no tag."""
@@ -289,39 +293,41 @@ class Tagger:
             banned[others, 2 + 2 * k] = -1e4
         trans = self.p["trans"] + banned
         e = self._scores(x, size)
-        ended = np.arange(length)[:, None] >= size
-        rows = self._open(e, trans, ended)
-        if not len(rows):
-            return out
-        e, ended = e[:, :, rows], ended[:, rows]
-        trans = trans.astype(np.float32)
-        score = e[0] + self.p["first"].astype(np.float32)[:, None]  # a window may begin inside a span
-        back = np.empty((length, TAGS, len(rows)), np.int8)
-        for t in range(1, length):
-            best = np.empty_like(score)
+        live = self._live(e, trans, np.arange(length)[:, None] >= size)
+        edge = np.diff(np.pad(live.T, ((0, 0), (1, 1))).astype(np.int8), axis=1)  # each run of live steps stands between steps without tags
+        (row, begin), end = np.nonzero(edge == 1), np.nonzero(edge == -1)[1]
+        order = np.argsort(end - begin, kind="stable")
+        if len(order):
+            self._viterbi(out, e, trans, row[order], begin[order], end[order], size)
+        return out
+
+    def _viterbi(self, out: np.ndarray, e: np.ndarray, trans: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray, size: np.ndarray) -> None:
+        """Puts the best tags of steps begin .. end - 1 of windows, which come by rising length, into `out`."""
+        length = end - begin
+        open_ = np.searchsorted(length, np.arange(int(length[-1])), "right")  # from here on runs are longer than t
+        into = np.where(begin[None] == 0, self.p["first"][:, None], trans[0][:, None])  # a window may begin inside a span
+        score = (e[begin, :, row].T + into).astype(np.float32)
+        moves, back = trans.astype(np.float32), [np.zeros((TAGS, 0), np.int8)]
+        for t in range(1, len(open_)):
+            a = open_[t]
+            last, best = score[:, a:], np.empty((TAGS, len(row) - a), np.float32)
+            back.append(np.empty(best.shape, np.int8))
             for k in range(TAGS):
                 if k and k % 2 == 0:  # goes on from its own kind only
-                    a, b = score[k - 1] + trans[k - 1, k], score[k] + trans[k, k]
-                    back[t, k] = k - (a >= b)
-                    np.maximum(a, b, out=best[k])
+                    x, y = last[k - 1] + moves[k - 1, k], last[k] + moves[k, k]
+                    back[t][k] = k - (x >= y)
+                    np.maximum(x, y, out=best[k])
                 else:
-                    step = score + trans[:, k, None]
-                    back[t, k] = step.argmax(0)
+                    step = last + moves[:, k, None]
+                    back[t][k] = step.argmax(0)
                     best[k] = step.max(0)
-            best += e[t]
-            if ended[t].any():  # these windows stay as they were at their last character
-                best = np.where(ended[t], score, best)
-                back[t] = np.where(ended[t], np.arange(TAGS)[:, None], back[t])
-            score = best
-        tag, at = score.argmax(0), np.arange(len(rows))
-        found = np.empty((length, len(rows)), np.int8)
-        found[-1] = tag
-        for t in range(length - 1, 0, -1):
-            tag = back[t, tag, at]
-            found[t - 1] = tag
-        found[ended] = 0
-        out[rows] = found.T
-        return out
+            score[:, a:] = best + e[begin[a:] + t, :, row[a:]].T
+        tag = np.where(end < size[row], score + moves[:, 0, None], score).argmax(0)
+        for t in range(len(open_) - 1, -1, -1):
+            a = open_[t]
+            out[row[a:], begin[a:] + t] = tag[a:]
+            if t:
+                tag[a:] = back[t][tag[a:], np.arange(len(row) - a)]
 
 
 @lru_cache(maxsize=1)
