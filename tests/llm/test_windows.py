@@ -69,12 +69,41 @@ def test_empty_lines_alone_are_a_window(spark):
     assert collected(op09_lines.digest(df)) == digest(brute(rows, lines, 3), b"\n")
 
 
-@pytest.mark.parametrize("hot", [200, 2])
+@pytest.mark.parametrize("hot", [2000, 2])
 def test_bytes(docs, rows, hot, monkeypatch):
     monkeypatch.setattr(op03_suffix, "HOT", hot)
     assert collected(op03_suffix.digest(docs)) == byte_digest(rows)
 
 
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_repeat_groups_list_all_occurrences(docs, rows, hot, monkeypatch):
+    """Each group is one string at all its places, and the groups hold every repeated string."""
+    monkeypatch.setattr(op03_suffix, "HOT", hot)
+    least = -(2**63)
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(least if i is None else i, []).append((t or "").encode())
+    places = {}
+    for i, many in texts.items():
+        for t in many:
+            for k in range(len(t) - 99):
+                places.setdefault(t[k : k + 100], set()).add((i, k))
+    groups = {}
+    for g, n, i, k in op03_suffix.repeat_groups(docs).collect():
+        groups.setdefault((g, n), set()).add((i, k))
+    found = {}
+    for (_, n), at in groups.items():
+        shared = set.intersection(*({t[k : k + n] for t in texts[i] if len(t) >= k + n} for i, k in at))
+        assert shared
+        for s in range(n - 99):
+            for i, k in at:
+                for t in texts[i]:
+                    found.setdefault(t[k + s : k + s + 100], set()).add((i, k + s))
+    for string, at in places.items():
+        if len(at) > 1:
+            assert found.get(string) == at
+
+
 def test_texts_whose_hashes_agree_in_half_the_bits(spark):
     """Of two texts with null ids and equal low halves of their hashes, only the one with repeats is cut."""
     text = lambda kind: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda k: F.substring(F.md5(F.concat_ws("-", F.lit(kind), "id", k).cast("binary")), 1, 6)), "\n")
