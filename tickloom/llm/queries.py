@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import op01_decontam, op02_quality, op03_suffix, op04_mixing, op05_substring, op06_simhash, op07_pii, op08_layout, op09_lines, op10_classifier
+from tickloom.llm import op01_decontam, op02_quality, op03_suffix, op04_mixing, op05_substring, op06_simhash, op07_pii, op08_layout, op09_lines, op10_classifier, op11_whitening, op12_audit, op13_exact
 from tickloom.llm.tables import table
 
 
@@ -25,6 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_layout": _on("pages", op08_layout.digest),
     "op9_line_dedup": _on("documents", op09_lines.digest),
     "op10_quality_classifier": lambda spark, sf_dir: op10_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op11_whitening": _on("embeddings", op11_whitening.digest),
+    "op12_filter_audit": lambda spark, sf_dir: op12_audit.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op13_exact_dedup": _on("documents", op13_exact.digest),
 }
 
 
@@ -42,4 +45,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_mixing": op04_mixing.ORACLE_SQL,
     "op5_substring_dedup": _window_sql(r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')", op05_substring.WINDOW_WORDS, "' '", "n_words"),
     "op9_line_dedup": _window_sql("CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END", op09_lines.WINDOW_LINES, "chr(10)", "n_lines"),
+    "op12_filter_audit": op12_audit.ORACLE_SQL,
+    "op13_exact_dedup": op13_exact.ORACLE_SQL,
 }
