@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tickloom.schemas import MIN_YEARS, RISK_FREE
 
 EXCHANGE_ZONE = "America/New_York"
+#: How logs write times.
+LOG_DATES = ("yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ssXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
 
 
 def rounded(x: Column | str, places: int = 2) -> Column:
@@ -107,3 +109,13 @@ def ingestion_timer(ts: Column) -> Column:
     """The timer that fires in the 5-minute slot of a UTC time: regular (Monday to Friday, 13 to 20 h) or globex (Sunday, 22 and 23 h)."""
     day, hour = F.weekday(ts), F.hour(ts)
     return F.when((day <= 4) & hour.between(13, 20), "regular").when((day == 6) & hour.isin(22, 23), "globex")
+
+
+def ticker_list(setting: Column) -> Column:
+    """The symbols of a comma-separated setting, trimmed and upper-cased, empty ones dropped."""
+    return F.filter(F.transform(F.split(setting, ","), lambda x: F.upper(F.trim(x))), lambda x: x != "")
+
+
+def parsed_time(text: Column) -> Column:
+    """A time in one of the formats of the logs, at Greenwich where it names no zone; null for others."""
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in LOG_DATES]).cast("timestamp_ntz")

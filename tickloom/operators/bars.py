@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import expr as X
 from tickloom.operators.series import indexed
-from tickloom.schemas import BUFFER_DAYS, MONTHS, ROLLUP_MINUTES, STORED_INTERVAL
+from tickloom.schemas import BUFFER_DAYS, MONTHS, ROLLUP_MINUTES, STORED_INTERVAL, VALID_PERIODS
 
 OHLC = ("open", "high", "low", "close_price")
 KEY = ("symbol", "date", "interval_type")
@@ -25,10 +25,16 @@ def ohlcv(order: str = "date") -> list[Column]:
     ]
 
 
+def tick_order(ticks: DataFrame) -> Column:
+    """By time, then by id where ticks have one."""
+    return F.struct("ts", "event_id") if "event_id" in ticks.columns else F.col("ts")
+
+
 def bars_of_ticks(ticks: DataFrame, minutes: int) -> DataFrame:
-    """Ticks (symbol, ts, price, volume) to n-minute bars."""
+    """Ticks (symbol, ts, price, volume, and event_id to order ticks of one time) to n-minute bars."""
+    at = tick_order(ticks)
     return ticks.groupBy("symbol", X.floor_minutes(F.col("ts"), minutes).alias("date")).agg(
-        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close_price"), F.sum("volume").alias("volume")
+        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close_price"), F.sum("volume").alias("volume")
     )
 
 
@@ -47,11 +53,19 @@ def rollup(bars: DataFrame, interval: str) -> DataFrame:
     return rollup_minutes(bars, ROLLUP_MINUTES[interval]) if interval in ROLLUP_MINUTES else bars
 
 
-def stored_interval(interval: str) -> str:
+def stored_interval(interval: str | Column) -> str | Column:
     """The coarsest stored interval that can answer the requested one; 1m for unknown ones."""
+    if isinstance(interval, Column):
+        return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STORED_INTERVAL.items() for x in kv]), interval), F.lit("1m"))
     return STORED_INTERVAL.get(interval, "1m")
 
 
+def valid_period(interval: Column, period: Column) -> Column:
+    """Whether a chart of the interval may show the period."""
+    allowed = F.create_map(*[x for i, ps in VALID_PERIODS.items() for x in (F.lit(i), F.array(*map(F.lit, ps)))])
+    return F.coalesce(F.array_contains(F.try_element_at(allowed, interval), period), F.lit(False))
+
+
 def tick_bars(bars: DataFrame, n: int) -> DataFrame:
     """Every n consecutive bars become one; the last may be short."""
     numbered = indexed(bars).withColumn("bar", F.floor(F.col("idx") / n))

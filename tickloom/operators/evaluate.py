@@ -6,13 +6,13 @@ from collections.abc import Callable
 from itertools import combinations
 from math import ceil, sqrt
 
-import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.order import average_ranks, numbered
+from tickloom.operators.order import average_ranks, checkpointed, numbered
+from tickloom.operators.quantiles import quantiles
 from tickloom.schemas import BOOTSTRAP_BLOCK, BOOTSTRAP_SAMPLES, PERIODS_PER_YEAR
 
 FOLDS, TEST_ROWS = 5, 100
@@ -47,18 +47,19 @@ def delta(base: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def bootstrap_ic(rows: DataFrame, order: list[str], y: str = "y_true", p: str = "pred", samples: int = BOOTSTRAP_SAMPLES, block: int = BOOTSTRAP_BLOCK, seed: int = 42) -> DataFrame:
-    """Moving-block bootstrap of the correlation: lower (2.5 %), mean, upper (97.5 %). For out-of-sample tables (folds x test rows)."""
-    spark = rows.sparkSession
-    indexed = numbered(rows.select(*order, y, p), order)
+    """Moving-block bootstrap of the correlation: lower (2.5 %), mean, upper (97.5 %). For out-of-sample tables (folds x test rows).
+
+    The start of a sample's block is counter-based: the first 52 bits of md5("seed:sample:block") modulo the number of starts, so any engine draws the same.
+    """
+    indexed = checkpointed(numbered(rows.select(*order, y, p), order).select("row", y, p))
     n = indexed.count()
     if n < block:
         raise ValueError(f"{n} rows are fewer than a block of {block}")
-    blocks = ceil(n / block)
-    starts = np.random.default_rng(seed).integers(0, n - block + 1, size=(samples, blocks))
-    drawn = spark.createDataFrame([(s, b, int(x)) for s, row in enumerate(starts) for b, x in enumerate(row)], "sample int, block int, start int")
-    picks = drawn.select("sample", (F.col("block") * block).alias("at"), "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("k")).where(F.col("at") + F.col("k") < n)
+    draws = rows.sparkSession.range(samples).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(ceil(n / block) - 1))).alias("block"))
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "sample", "block").cast("binary")), 1, 13), 16, 10).cast("long")
+    picks = draws.select("sample", (F.col("block") * block).alias("at"), (bits % (n - block + 1)).alias("start"), F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("k")).where(F.col("at") + F.col("k") < n)
     per = picks.select("sample", (F.col("start") + F.col("k")).alias("row")).join(indexed, "row").groupBy("sample").agg(F.corr(y, p).alias("ic"))
-    return per.agg(F.percentile("ic", F.lit(0.025)).alias("ic_lower"), F.avg("ic").alias("ic_mean"), F.percentile("ic", F.lit(0.975)).alias("ic_upper"))
+    return per.agg(F.percentile("ic", F.lit(0.025)).alias("ic_lower"), F.avg("ic").alias("ic_mean"), F.percentile("ic", F.lit(0.975)).alias("ic_upper"))  # a row a sample
 
 
 def describe(rows: DataFrame, column: str) -> DataFrame:
@@ -66,8 +67,10 @@ def describe(rows: DataFrame, column: str) -> DataFrame:
     n, x = F.count(column).cast("double"), F.col(column)
     skew = F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)
     kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6)
-    quartiles = [F.percentile(x, F.lit(q)).alias(name) for q, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
-    return rows.agg(F.count(column).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), *quartiles, F.max(x).alias("max"), skew.alias("skew"), kurt.alias("kurtosis"), F.avg((x > 0).cast("double")).alias("share_positive"))
+    shares = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    plain = rows.agg(F.count(column).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), skew.alias("skew"), kurt.alias("kurtosis"), F.avg((x > 0).cast("double")).alias("share_positive"))
+    one = plain.crossJoin(F.broadcast(quantiles(rows, column, shares)))  # a row each
+    return one.select("n", "mean", "std", "min", *shares, "max", "skew", "kurtosis", "share_positive")
 
 
 def _long(one_row: DataFrame, names: list[str], key: str, value: str) -> DataFrame:
@@ -148,7 +151,7 @@ def walk_forward(rows: DataFrame, features: list[str], factory: Model, order: li
 def permutation_importance(model, rows: DataFrame, features: list[str], target: str, seed: int = 42) -> DataFrame:
     """(feature, importance): rise of the mean squared error when one feature's values are dealt out anew.
 
-    It stands where exact attributions have no Spark form, and is a different quantity. Values are dealt by joining row numbers of two orders.
+    Another quantity than attributions (see :mod:`tickloom.operators.trees`). Values are dealt by joining row numbers of two orders.
     """
     spark = rows.sparkSession
     base = numbered(rows.withColumn("_key", F.xxhash64(*features, target)), ["_key"]).drop("_key")

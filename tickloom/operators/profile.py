@@ -1,15 +1,17 @@
 """Volume profile: a bar's volume spread over price ticks, smoothing, point of control, value area.
 
 Prices become integer tick indices first, so ties and neighbours are exact. A bar
-gives up to three segments of ticks; ticks are expanded inside the map stage and
-added up with partial sums, so the shuffle has one row per tick and task.
+gives up to three segments of ticks. A profile is kept as a step function over
+ticks, found from the ends of the segments by a prefix sum: its rows follow the
+bars, and one bad price adds a run, not the ticks in between. Rows for every
+tick or bucket are made only where they are the result.
 """
 
 from __future__ import annotations
 
 from math import ceil, exp
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import expr as X
@@ -52,10 +54,51 @@ def segments(bars: DataFrame, tick: float = TICK, body_weight: float = BODY_WEIG
     return b.select("symbol", F.explode(parts).alias("s")).select("symbol", "s.lo", "s.hi", "s.amount")
 
 
+def bucketed(parts: DataFrame, per_row: int) -> DataFrame:
+    """(symbol, lo, hi, amount): segments of ticks as up to three stretches of buckets of `per_row` ticks, `amount` in each bucket."""
+    lo, hi = F.col("lo"), F.col("hi")
+    each = F.col("amount") / (hi - lo + 1)
+    first, last = F.floor(lo / per_row), F.floor(hi / per_row)
+    piece = lambda a, b, amount: F.struct(a.alias("lo"), b.alias("hi"), amount.cast("double").alias("amount"))
+    inner = F.when(last - first > 1, piece(first + 1, last - 1, each * per_row))
+    several = F.array_compact(F.array(piece(first, first, each * (per_row * (first + 1) - lo)), inner, piece(last, last, each * (hi - per_row * last + 1))))
+    pieces = F.when(first == last, F.array(piece(first, last, F.col("amount")))).otherwise(several)
+    return parts.select("symbol", F.explode(pieces).alias("s")).select("symbol", "s.*")
+
+
+def runs(parts: DataFrame, per_row: int = 1) -> DataFrame:
+    """The profile as a step function: (symbol, lo, hi, volume), `volume` in each bucket from lo to hi; gaps are runs of 0.
+
+    Each stretch adds its amount where it begins and takes it back behind its end; a
+    prefix sum gives the steps. Sums are decimals, so what is taken back leaves
+    exactly 0. Rows follow the ends of segments, not the range of prices.
+    """
+    amount = F.col("amount").cast("decimal(38,18)")
+    ends = bucketed(parts, per_row).select("symbol", F.inline(F.array(F.struct(F.col("lo").alias("at"), amount.alias("step")), F.struct((F.col("hi") + 1).alias("at"), (-amount).alias("step")))))
+    steps = ends.groupBy("symbol", "at").agg(F.sum("step").alias("step")).where("step <> 0")
+    order = Window.partitionBy("symbol").orderBy("at")
+    levels = steps.select("symbol", F.col("at").alias("lo"), (F.lead("at").over(order) - 1).alias("hi"), F.sum("step").over(order).cast("double").alias("volume"))
+    return levels.where("hi is not null")
+
+
+def runs_of(grid: DataFrame) -> DataFrame:
+    """Rows (symbol, bucket, volume) as runs, with runs of 0 for missing buckets."""
+    after = F.lead("bucket").over(Window.partitionBy("symbol").orderBy("bucket"))
+    run = lambda lo, hi, v: F.struct(lo.alias("lo"), hi.alias("hi"), v.cast("double").alias("volume"))
+    gap = F.when(F.col("after") > F.col("bucket") + 1, run(F.col("bucket") + 1, F.col("after") - 1, F.lit(0.0)))
+    both = F.array_compact(F.array(run(F.col("bucket"), F.col("bucket"), F.col("volume")), gap))
+    return grid.withColumn("after", after).select("symbol", F.inline(both))
+
+
+def points(steps: DataFrame) -> DataFrame:
+    """A row for every bucket of the runs."""
+    rest = [c for c in steps.columns if c not in ("symbol", "lo", "hi")]
+    return steps.select("symbol", F.explode(F.sequence("lo", "hi")).alias("bucket"), *rest)
+
+
 def spread(parts: DataFrame, per_row: int = 1) -> DataFrame:
-    """(symbol, bucket, volume): segments expanded to ticks, `per_row` ticks a bucket."""
-    each = parts.select("symbol", F.explode(F.sequence("lo", "hi")).alias("tick"), (F.col("amount") / (F.col("hi") - F.col("lo") + 1)).alias("v"))
-    return each.groupBy("symbol", F.floor(F.col("tick") / per_row).alias("bucket")).agg(F.sum("v").alias("volume"))
+    """(symbol, bucket, volume) of the buckets with volume."""
+    return points(runs(parts, per_row).where("volume <> 0"))
 
 
 def volume_profile(bars: DataFrame, tick: float = TICK, **options) -> DataFrame:
@@ -63,18 +106,19 @@ def volume_profile(bars: DataFrame, tick: float = TICK, **options) -> DataFrame:
     return spread(segments(atr_wilder(bars, ATR_BARS), tick, **options))
 
 
+def profile_runs(bars: DataFrame, per_row: int, tick: float = TICK, sigma_ticks: float = SIGMA_TICKS, **options) -> DataFrame:
+    """Runs of buckets of `per_row` ticks with raw and smoothed volume; ATR over traded bars only."""
+    return smoothed_runs(runs(segments(atr_wilder(bars.where("volume > 0"), ATR_BARS), tick, **options), per_row), sigma_ticks / per_row)
+
+
 def volume_profile_rows(bars: DataFrame, per_row: int, tick: float = TICK, sigma_ticks: float = SIGMA_TICKS, **options) -> DataFrame:
-    """Buckets of `per_row` ticks, dense from the lowest to the highest, with raw and smoothed volume; ATR over traded bars only."""
-    raw = spread(segments(atr_wilder(bars.where("volume > 0"), ATR_BARS), tick, **options), per_row)
-    whole = dense(raw)
-    return whole.join(smoothed(whole, sigma_ticks / per_row).withColumnRenamed("volume", "smoothed"), ["symbol", "bucket"])
+    """The same with a row for every bucket from the lowest to the highest."""
+    return points(profile_runs(bars, per_row, tick, sigma_ticks, **options))
 
 
 def dense(profile: DataFrame) -> DataFrame:
     """Missing buckets between the lowest and the highest, with volume 0."""
-    ends = profile.groupBy("symbol").agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
-    grid = ends.select("symbol", F.explode(F.sequence("a", "b")).alias("bucket"))
-    return grid.join(profile, ["symbol", "bucket"], "left").select("symbol", "bucket", F.coalesce("volume", F.lit(0.0)).alias("volume"))
+    return points(runs_of(profile))
 
 
 def kernel(sigma: float) -> list[float]:
@@ -83,50 +127,67 @@ def kernel(sigma: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def smoothed(grid: DataFrame, sigma: float) -> DataFrame:
-    """A dense grid under a normalised Gaussian; positions beyond the edge read the edge bucket.
+def smoothed_runs(steps: DataFrame, sigma: float) -> DataFrame:
+    """Runs with `smoothed`, the volume under a normalised Gaussian; positions beyond the edge read the edge bucket.
 
-    Each bucket hands its volume to the buckets that read it: its neighbours, and for
-    an edge bucket all positions beyond the edge, so a sum is the only shuffle.
+    Inside a run nothing changes. A step of d at bucket b changes the buckets that
+    see it: t reads the share of the kernel at b - t and above of d, where it
+    would have read all of it (t from b on) or nothing. So each step hands
+    2 * half corrections out, and rows follow the steps, not the range of prices.
     """
     w = kernel(sigma)
     half = len(w) // 2
-    ends = grid.groupBy("symbol").agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
-    weights = F.array(*[F.lit(x) for x in w])
-    reads = F.sequence(F.col("bucket") - half, F.col("bucket") + half)
-    # bucket t reads position t + k, clamped to [a, b]; so s gives to t the weights of all k with clamp(t + k) = s
-    k = F.sequence(F.lit(-half), F.lit(half))
-    given = lambda t: F.aggregate(k, F.lit(0.0), lambda acc, j: acc + F.when(F.least(F.greatest(t + j, F.col("a")), F.col("b")) == F.col("bucket"), F.element_at(weights, (j + half + 1).cast("int"))).otherwise(0.0))
-    out = grid.join(ends, "symbol").select("symbol", "a", "b", "bucket", "volume", F.explode(reads).alias("t")).where("t between a and b")
-    return out.select("symbol", F.col("t").alias("to"), (F.col("volume") * given(F.col("t"))).alias("v")).groupBy("symbol", "to").agg(F.sum("v").alias("volume")).withColumnRenamed("to", "bucket")
+    share = [sum(w[j + half :]) - (1.0 if j <= 0 else 0.0) for j in range(1 - half, half + 1)]  # of the step, by j = b - t
+    order = Window.partitionBy("symbol").orderBy("lo")
+    ends = steps.groupBy("symbol").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
+    step = steps.select("symbol", "lo", (F.col("volume") - F.lag("volume").over(order)).alias("step")).where("step <> 0")
+    seen = F.array(*[F.struct((F.col("lo") - j).alias("at"), (F.col("step") * x).alias("change")) for j, x in zip(range(1 - half, half + 1), share)], F.struct((F.col("lo") + half).alias("at"), F.lit(0.0).alias("change")))
+    changes = step.select("symbol", F.inline(seen)).select("symbol", "at", "change", F.lit(None).cast("double").alias("level"))
+    levels = steps.select("symbol", F.col("lo").alias("at"), F.lit(0.0).alias("change"), F.col("volume").alias("level"))
+    rows = changes.union(levels).groupBy("symbol", "at").agg(F.sum("change").alias("change"), F.max("level").alias("level")).join(ends, "symbol").where("at between first and last")
+    by_place = Window.partitionBy("symbol").orderBy("at")
+    level = F.last("level", ignorenulls=True).over(by_place)
+    return rows.select("symbol", F.col("at").alias("lo"), F.coalesce(F.lead("at").over(by_place) - 1, F.col("last")).alias("hi"), level.alias("volume"), F.greatest(level + F.col("change"), F.lit(0.0)).alias("smoothed"))
+
+
+def smoothed(grid: DataFrame, sigma: float) -> DataFrame:
+    """(symbol, bucket, volume): a dense grid, smoothed."""
+    return points(smoothed_runs(runs_of(grid), sigma)).select("symbol", "bucket", F.col("smoothed").alias("volume"))
+
+
+def _as_runs(profile: DataFrame) -> DataFrame:
+    return runs_of(profile) if "bucket" in profile.columns else profile
 
 
 def point_of_control(profile: DataFrame) -> DataFrame:
-    """Bucket of the largest volume; the lowest on ties."""
-    return profile.groupBy("symbol").agg(F.max_by(F.struct("bucket", "volume"), F.struct("volume", -F.col("bucket"))).alias("p")).select("symbol", F.col("p.bucket").alias("poc"), F.col("p.volume").alias("poc_volume"))
+    """Bucket of the largest volume; the lowest on ties. Takes runs or a grid."""
+    best = _as_runs(profile).groupBy("symbol").agg(F.max_by(F.struct("lo", "volume"), F.struct("volume", -F.col("lo"))).alias("p"))
+    return best.select("symbol", F.col("p.lo").alias("poc"), F.col("p.volume").alias("poc_volume"))
 
 
-def value_area(grid: DataFrame, share: float = 0.7) -> DataFrame:
-    """Range around the point of control that holds `share` of the volume, grown to the larger neighbour, low on ties.
+def value_area(profile: DataFrame, share: float = 0.7) -> DataFrame:
+    """Range around the point of control that holds `share` of the volume, grown to the larger neighbour, low on ties. Takes runs or a grid.
 
-    A grid has one row per price bucket of a symbol, so its array is bounded by the price range.
+    Growing to the larger neighbour takes the buckets of both sides in the order of
+    the least volume from the point of control up to each: a bucket behind a
+    smaller one follows it at once. So the area is a prefix of that order, found
+    by a running minimum on each side and a running total; a run counts as many
+    equal buckets, of which the last one taken may be any. The windows of a symbol
+    hold its runs and spill; there is no array of prices.
     """
-    rows = grid.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("bucket", "volume"))).alias("g"), F.sum("volume").alias("total"))
-    v = F.transform("g", lambda x: x["volume"])
-    poc = F.array_position(v, F.array_max(v)).cast("int")
-    at = lambda i: F.get(F.col("v"), i - 1)
-    rows = rows.select("symbol", "g", "total", v.alias("v"), poc.alias("poc"))
-    n = F.size("v")
-    start = F.struct(F.col("poc").alias("lo"), F.col("poc").alias("hi"), at(F.col("poc")).alias("acc"))
-
-    def grow(s: Column, _: Column) -> Column:
-        low = F.when(s["lo"] > 1, at(s["lo"] - 1)).otherwise(-1.0)
-        high = F.when(s["hi"] < n, at(s["hi"] + 1)).otherwise(-1.0)
-        go = s["acc"] < F.col("total") * share
-        down = go & (low >= high) & (s["lo"] > 1)
-        up = go & ~down & (s["hi"] < n)
-        return F.struct(F.when(down, s["lo"] - 1).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"] + 1).otherwise(s["hi"]).alias("hi"), (s["acc"] + F.when(down, low).when(up, high).otherwise(0.0)).alias("acc"))
-
-    done = rows.withColumn("a", F.aggregate(F.sequence(F.lit(1), n), start, grow))
-    bucket = lambda i: F.get(F.col("g"), i - 1)["bucket"]
-    return done.select("symbol", bucket(F.col("a.lo")).alias("value_low"), bucket(F.col("poc")).alias("poc"), bucket(F.col("a.hi")).alias("value_high"))
+    steps = _as_runs(profile)
+    size = F.col("hi") - F.col("lo") + 1
+    top = point_of_control(steps).join(steps.groupBy("symbol").agg(F.sum(F.col("volume") * size).alias("total")), "symbol")
+    near = steps.join(top, "symbol").where("total > 0")
+    low = F.when(F.col("lo") == F.col("poc"), F.col("poc") + 1).otherwise(F.col("lo"))  # the rest of the run that the point of control begins
+    sides = near.withColumns({"lo": low, "up": F.col("lo") >= F.col("poc")}).withColumn("n", size)
+    outwards = F.when(F.col("up"), F.col("lo")).otherwise(-F.col("hi"))
+    least = F.min("volume").over(Window.partitionBy("symbol", "up").orderBy("away"))
+    ranked = sides.withColumn("away", outwards).where("n > 0").withColumn("least", least)
+    order = Window.partitionBy("symbol").orderBy(F.desc("least"), "up", "away")
+    before = F.col("poc_volume") + F.coalesce(F.sum(F.col("volume") * F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    missing = F.col("total") * share - F.col("before")
+    taken = F.when(missing <= 0, 0).when(F.col("volume") > 0, F.least(F.col("n"), F.ceil(missing / F.col("volume")))).otherwise(F.col("n"))
+    grown = ranked.withColumn("before", before).withColumn("taken", taken)
+    found = grown.groupBy("symbol").agg(F.sum(F.when(~F.col("up"), F.col("taken"))).alias("down"), F.sum(F.when(F.col("up"), F.col("taken"))).alias("rise"))
+    return top.where("total > 0").join(found, "symbol", "left").select("symbol", (F.col("poc") - F.coalesce("down", F.lit(0))).alias("value_low"), "poc", (F.col("poc") + F.coalesce("rise", F.lit(0))).alias("value_high"))

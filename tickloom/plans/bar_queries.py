@@ -23,16 +23,6 @@ def _agg_sql(view: str, bucket: str, *more: str) -> str:
 FROM {view} GROUP BY symbol, {bucket}"""
 
 
-@query("src_jdbc_bars", A.ctes("bars") + f" SELECT {OHLCV} FROM bars WHERE symbol = 'purchase' AND date >= TIMESTAMP '2024-01-10'")
-def _(spark, d):
-    return A.bars_1h(spark, d).where((F.col("symbol") == "purchase") & (F.col("date") >= F.lit("2024-01-10").cast("timestamp_ntz"))).select(*OHLCV.split(", "))
-
-
-@query("src_jdbc_between", A.ctes("bars") + f" SELECT {OHLCV} FROM bars WHERE date BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06 12:00:00'")
-def _(spark, d):
-    return A.bars_1h(spark, d).where(F.col("date").between(F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-06 12:00:00").cast("timestamp_ntz"))).select(*OHLCV.split(", "))
-
-
 @query("proj_bars", A.ctes("bars") + " SELECT date, open, high, low, close_price, volume FROM bars")
 def _(spark, d):
     return A.bars_1h(spark, d).select("date", *B.OHLC, "volume")
@@ -122,18 +112,6 @@ def _(spark, d):
     return B.upsert(t.where(F.col("timestamp") < half), t.where(F.col("timestamp") >= half), ("symbol",), "timestamp")
 
 
-@query("sink_upsert_bars", A.ctes("rewrites") + " SELECT symbol, date, interval_type, arg_max(open, fetched_at) AS open, arg_max(close_price, fetched_at) AS close_price, arg_max(volume, fetched_at) AS volume, max(fetched_at) AS fetched_at FROM rewrites GROUP BY symbol, date, interval_type")
-def _(spark, d):
-    r = A.rewrites(spark, d)
-    return B.upsert(r.where(F.minute("fetched_at") < 30), r.where(F.minute("fetched_at") >= 30))
-
-
-@query("stream_developing_bar", A.ctes("rewrites") + " SELECT symbol, date, arg_max(close_price, fetched_at) AS close_price FROM rewrites WHERE date >= TIMESTAMP '2024-01-29' GROUP BY symbol, date")
-def _(spark, d):
-    r = A.rewrites(spark, d).where(F.col("date") >= F.lit("2024-01-29").cast("timestamp_ntz"))
-    return B.latest(r, B.KEY, "fetched_at").select("symbol", "date", "close_price")
-
-
 @query("stream_late_rows", A.ctes("rewrites") + " SELECT symbol, date, count(*) AS versions, arg_max(volume, fetched_at) AS volume FROM rewrites GROUP BY symbol, date")
 def _(spark, d):
     return A.rewrites(spark, d).groupBy("symbol", "date").agg(F.count("*").alias("versions"), F.max_by("volume", "fetched_at").alias("volume"))
@@ -200,11 +178,15 @@ def _(spark, d):
     return A.bars_1h(spark, d).withColumn("open", F.when(F.col("volume") % 7 != 0, F.col("open"))).dropna(subset=list(B.OHLC)).select("symbol", "date", "close_price")
 
 
-@query("filter_valid_period", "SELECT i AS interval, unnest(p) AS period FROM (VALUES " + ", ".join(f"('{i}', [{', '.join(repr(p) for p in ps)}])" for i, ps in VALID_PERIODS.items()) + ") t(i, p)")
+@query("filter_valid_period", """SELECT event_id, interval, period FROM (SELECT event_id, ['1m', '5m', '15m', '30m', '1h', '4h', '1d', '1wk', '2h'][event_id % 9 + 1] AS interval, ['1d', '5d', '10d', '14d', '1mo', '3mo', '6mo', '1y', '2y', 'max'][event_id // 9 % 10 + 1] AS period FROM events)
+WHERE CASE interval WHEN '1m' THEN period IN ('1d', '5d') WHEN '5m' THEN period IN ('1d', '5d', '10d', '14d', '1mo', '3mo') WHEN '15m' THEN period IN ('1d', '5d', '10d', '14d', '1mo', '3mo') WHEN '30m' THEN period IN ('1d', '5d', '10d', '14d', '1mo', '3mo')
+WHEN '1h' THEN period <> 'max' WHEN '4h' THEN period <> 'max' WHEN '1d' THEN true WHEN '1wk' THEN period NOT IN ('1d', '5d', '10d', '14d') ELSE false END""")
 def _(spark, d):
-    pairs = spark.createDataFrame([(i, p) for i in VALID_PERIODS for p in VALID_PERIODS["1d"]], "interval string, period string")
-    allowed = spark.createDataFrame([(i, p) for i, ps in VALID_PERIODS.items() for p in ps], "interval string, period string")
-    return pairs.join(allowed, ["interval", "period"], "left_semi")
+    """Requests of an interval and a period, dealt out by id; 2h isn't served."""
+    dealt = lambda key, values: F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+    i = F.col("event_id")
+    asked = A.table(spark, d, "events").select("event_id", dealt(i, (*VALID_PERIODS, "2h")).alias("interval"), dealt(F.floor(i / 9), VALID_PERIODS["1d"]).alias("period"))
+    return asked.where(B.valid_period(F.col("interval"), F.col("period")))
 
 
 @query("filter_dynamic_groups", A.ctes("bars", "bars5") + " SELECT DISTINCT symbol, interval_type FROM (SELECT symbol, '1h' AS interval_type FROM bars UNION ALL SELECT symbol, '5m' FROM bars5) WHERE symbol <> 'view'")
@@ -234,28 +216,6 @@ def _(spark, d):
     return B.replace_from(A.bars_1h(spark, d).select("symbol", "date", "close_price"), live.select("symbol", "date", "close_price"))
 
 
-@query("stream_delta_since", A.ctes("rewrites") + " SELECT symbol, date, close_price, fetched_at FROM rewrites WHERE date >= TIMESTAMP '2024-01-25' AND (SELECT max(fetched_at) FROM rewrites) > TIMESTAMP '2024-01-20'")
-def _(spark, d):
-    return B.delta_since(A.rewrites(spark, d), F.lit("2024-01-25").cast("timestamp_ntz"), F.lit("2024-01-20").cast("timestamp_ntz")).select("symbol", "date", "close_price", "fetched_at")
-
-
-@query("stream_live_tick_merge", A.ctes("ticks", "tight") + """, l AS (SELECT symbol, max(date) AS date, arg_max(open, date) AS open, arg_max(high, date) AS high, arg_max(low, date) AS low, arg_max(close_price, date) AS c, arg_max(volume, date) AS volume FROM tight GROUP BY symbol),
-q AS (SELECT symbol, 100.0::DOUBLE + arg_max(price, ts) / 500 AS p FROM ticks GROUP BY symbol),
-j AS (SELECT l.*, p, p > 0 AND abs(p - c) <= 0.01::DOUBLE * c AS moved FROM l JOIN q ON l.symbol = q.symbol)
-SELECT symbol, date, open, CASE WHEN moved THEN greatest(high, p) ELSE high END AS high, CASE WHEN moved THEN least(low, p) ELSE low END AS low, CASE WHEN moved THEN p ELSE c END AS close_price, volume, moved FROM j""")
-def _(spark, d):
-    quotes = A.ticks(spark, d).groupBy("symbol").agg((F.lit(100.0) + F.max_by("price", "ts") / 500).alias("price"))
-    return B.live_tick(A.tight_bars(spark, d).drop("interval_type"), quotes)
-
-
-@query("stream_tumbling_ohlc", A.ctes("ticks") + """ SELECT symbol, time_bucket(INTERVAL 5 MINUTE, ts) AS date, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS close_price, sum(volume)::BIGINT AS volume
-FROM ticks GROUP BY symbol, time_bucket(INTERVAL 5 MINUTE, ts)""")
-def _(spark, d):
-    from tickloom.streaming.ohlc import tumbling_ohlc
-
-    return tumbling_ohlc(A.ticks(spark, d), "5 minutes")
-
-
 @query("limit_pages", A.ctes("bars") + f" SELECT {OHLCV} FROM bars ORDER BY symbol, date LIMIT 1000 OFFSET 1000")
 def _(spark, d):
     return A.bars_1h(spark, d).select(*OHLCV.split(", ")).orderBy("symbol", "date").offset(1000).limit(1000)

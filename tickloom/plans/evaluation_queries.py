@@ -55,11 +55,15 @@ def _(spark, d):
     return rows.select("oos_idx", *six(rows, "y_true"))
 
 
-@query("agg_bootstrap_ic")
+@query("agg_bootstrap_ic", OOS + f""", n AS (SELECT y_true, base_pred, row_number() OVER (ORDER BY oos_idx) - 1 AS row, count(*) OVER () AS total FROM oos), t AS (SELECT y_true, base_pred, row - total + 500 AS row FROM n WHERE row >= total - 500),
+d AS (SELECT s, b, ('0x' || substr(md5('42:' || s || ':' || b), 1, 13))::BIGINT % (500 - 73 + 1) AS start FROM (SELECT unnest(range(0, 1000)) AS s), (SELECT unnest(range(0, 7)) AS b)),
+p AS (SELECT s, start + k AS row FROM d, (SELECT unnest(range(0, 73)) AS k) WHERE b * 73 + k < 500), c AS (SELECT s, corr(y_true, base_pred) AS ic FROM p JOIN t ON p.row = t.row GROUP BY s)
+SELECT {r6('quantile_cont(ic, 0.025)')} AS ic_lower, {r6('avg(ic)')} AS ic_mean, {r6('quantile_cont(ic, 0.975)')} AS ic_upper FROM c""")
 def _(spark, d):
     """Interval of the correlation over the last 500 rows in order, as folds of 100 give them."""
     rows = E.folds(A.predictions(spark, d), ["oos_idx"]).where("part = 'test'").select("oos_idx", "y_true", F.col("base_pred").alias("pred"))
-    return E.bootstrap_ic(rows, ["oos_idx"])
+    out = E.bootstrap_ic(rows, ["oos_idx"])
+    return out.select(*six(out, *out.columns))
 
 
 @query("agg_describe", OOS + f""" SELECT count(y_true) AS n, {r6('avg(y_true)')} AS mean, {r6('stddev_samp(y_true)')} AS std, {r6('min(y_true)')} AS min, {r6('quantile_cont(y_true, 0.25)')} AS q25, {r6('quantile_cont(y_true, 0.5)')} AS q50, {r6('quantile_cont(y_true, 0.75)')} AS q75, {r6('max(y_true)')} AS max,
@@ -85,12 +89,16 @@ def _(spark, d):
     return rows.select("feature", *six(rows, "r")).orderBy(F.abs("r").desc()).limit(2)
 
 
-PAIRS = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]
+RELATED_COLUMNS = [*FEATURES, "net", "taxed", "saved"]
+RELATED = [(a, b) for i, a in enumerate(RELATED_COLUMNS) for b in RELATED_COLUMNS[i + 1 :]]
 
 
-@query("agg_corr_matrix", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {r6(f'corr({a}::DOUBLE, {b}::DOUBLE)')} AS r FROM lineitem" for a, b in PAIRS) + ") WHERE abs(r) > 0.5")
+@query("agg_corr_matrix", "WITH related AS (SELECT *, l_extendedprice::DOUBLE * (1 - l_discount::DOUBLE) AS net, l_extendedprice::DOUBLE * (1 - l_discount::DOUBLE) * (1 + l_tax::DOUBLE) AS taxed, l_extendedprice::DOUBLE * l_discount::DOUBLE AS saved FROM lineitem) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {r6(f'corr({a}::DOUBLE, {b}::DOUBLE)')} AS r FROM related" for a, b in RELATED) + ") WHERE abs(r) > 0.5")
 def _(spark, d):
-    rows = E.correlation_pairs(_lines(spark, d), FEATURES, above=0.5)
+    """Pairs of related columns: the net and the taxed price go with the price, and a discount's amount with both."""
+    price, off = F.col("l_extendedprice"), F.col("l_discount")
+    rows = _lines(spark, d).withColumns({"net": price * (1 - off), "taxed": price * (1 - off) * (1 + F.col("l_tax")), "saved": price * off})
+    rows = E.correlation_pairs(rows, RELATED_COLUMNS, above=0.5)
     return rows.select("a", "b", *six(rows, "r"))
 
 
@@ -129,12 +137,15 @@ def _samples(spark, d):
     return A.predictions(spark, d).withColumns({"x1": F.col("base_pred"), "x2": F.col("gex_pred"), "target_return": F.col("y_true") / 1000})
 
 
+MODELS = {"base": ["x1"], "gex": ["x1", "x2"]}
+
+
 @query("ml_rf")
 def _(spark, d):
     """Forest on one feature and on two, walk-forward; metrics by model."""
     out = None
-    for name, features in (("base", ["x1"]), ("gex", ["x1", "x2"])):
-        rows = E.walk_forward(_samples(spark, d), features, E.random_forest(trees=10, depth=5), ["oos_idx"])
+    for name, features in MODELS.items():
+        rows = E.walk_forward(_samples(spark, d), features, E.random_forest(), ["oos_idx"])
         one = E.metrics(rows).select(F.lit(name).alias("model"), "*")
         out = one if out is None else out.unionByName(one)
     return out
@@ -143,7 +154,7 @@ def _(spark, d):
 @query("ml_walk_forward")
 def _(spark, d):
     """Out-of-sample rows of all folds, from a model factory."""
-    return E.walk_forward(_samples(spark, d), ["x1"], E.random_forest(trees=5, depth=4), ["oos_idx"])
+    return E.walk_forward(_samples(spark, d), ["x1"], E.random_forest(), ["oos_idx"])
 
 
 @query("udf_model_factory")
@@ -151,16 +162,47 @@ def _(spark, d):
     """A factory of another estimator in the same harness."""
     from pyspark.ml.regression import LinearRegression
 
-    return E.walk_forward(_samples(spark, d), ["x1", "x2"], lambda: LinearRegression(featuresCol="_x"), ["oos_idx"], n_folds=2)
+    return E.walk_forward(_samples(spark, d), ["x1", "x2"], lambda: LinearRegression(featuresCol="_x"), ["oos_idx"])
+
+
+def _attributed(spark, d):
+    """Held-out rows of the chronological split, attributed by a forest of the rows before them."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from tickloom.operators import trees
+
+    parts = E.chrono_split(_samples(spark, d).select("oos_idx", "x1", "x2", "target_return"), ["oos_idx"])
+    assembler = VectorAssembler(inputCols=MODELS["gex"], outputCol="_x")
+    model = E.random_forest()().setLabelCol("target_return").setPredictionCol("pred").fit(assembler.transform(parts.where("part = 'train'")))
+    held_out = model.transform(assembler.transform(parts.where("part = 'test'"))).select("oos_idx", *MODELS["gex"], "pred")
+    return trees.attributions(model, held_out, MODELS["gex"])
 
 
 @query("ml_shap")
 def _(spark, d):
-    """Permutation importance; exact tree attributions have no Spark form."""
+    """Exact attributions of every held-out row; base and attributions add up to the prediction."""
+    rows = _attributed(spark, d)
+    return rows.select("oos_idx", "pred", "base", *[F.get("shap", F.lit(k)).alias(f"shap_{f}") for k, f in enumerate(MODELS["gex"])])
+
+
+@query("shap_importance")
+def _(spark, d):
+    """Features by mean absolute attribution."""
+    from pyspark.sql import Window
+
+    from tickloom.operators import trees
+
+    rows = trees.importance(_attributed(spark, d), MODELS["gex"])  # one row a feature
+    return rows.select("feature", X.rounded("importance", 9).alias("importance"), F.row_number().over(Window.orderBy(F.desc("importance"), "feature")).cast("long").alias("place"))
+
+
+@query("ml_permutation_importance")
+def _(spark, d):
+    """Rise of the error on held-out rows when one feature is dealt out anew."""
     from pyspark.ml.feature import VectorAssembler
 
     parts = E.chrono_split(_samples(spark, d).select("oos_idx", "x1", "x2", "target_return"), ["oos_idx"])
-    train = VectorAssembler(inputCols=["x1", "x2"], outputCol="_x").transform(parts.where("part = 'train'"))
-    model = E.random_forest(trees=5, depth=4)().setLabelCol("target_return").setPredictionCol("pred").fit(train)
-    rows = E.permutation_importance(model, parts.where("part = 'test'").drop("row", "part"), ["x1", "x2"], "target_return")
+    train = VectorAssembler(inputCols=MODELS["gex"], outputCol="_x").transform(parts.where("part = 'train'"))
+    model = E.random_forest()().setLabelCol("target_return").setPredictionCol("pred").fit(train)
+    rows = E.permutation_importance(model, parts.where("part = 'test'").drop("row", "part"), MODELS["gex"], "target_return")
     return rows.select("feature", X.rounded("importance", 6).alias("importance"))

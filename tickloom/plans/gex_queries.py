@@ -200,10 +200,12 @@ def _(spark, d):
     return joined.select("symbol", "etf_price", "futures_price", "label", "place", "strike_etf", "gex", "gex_0dte")
 
 
-@query("join_dim_lookup", "SELECT symbol, m.f AS futures FROM (VALUES ('QQQ'), ('SPY'), ('IWM'), ('DIA'), ('AAPL')) t(symbol) LEFT JOIN (VALUES ('QQQ', 'NQ=F'), ('SPY', 'ES=F'), ('IWM', 'RTY=F'), ('DIA', 'YM=F')) m(e, f) ON t.symbol = m.e")
+@query("join_dim_lookup", "SELECT e.event_id, e.symbol, m.f AS futures FROM (SELECT event_id, ['QQQ', 'SPY', 'IWM', 'DIA', 'AAPL'][event_id % 5 + 1] AS symbol FROM events) e LEFT JOIN (VALUES ('QQQ', 'NQ=F'), ('SPY', 'ES=F'), ('IWM', 'RTY=F'), ('DIA', 'YM=F')) m(e, f) ON e.symbol = m.e")
 def _(spark, d):
+    """The futures of each event's fund; one (AAPL) has none."""
     pairs = F.create_map(*[F.lit(x) for kv in FUTURES_OF.items() for x in kv])
-    return spark.createDataFrame([(x,) for x in (*FUTURES_OF, "AAPL")], "symbol string").select("symbol", F.try_element_at(pairs, F.col("symbol")).alias("futures"))
+    symbol = F.element_at(F.array(*map(F.lit, (*FUTURES_OF, "AAPL"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return A.table(spark, d, "events").select("event_id", symbol.alias("symbol")).withColumn("futures", F.try_element_at(pairs, F.col("symbol")))
 
 
 @query("proj_gex_price", A.ctes("levels") + """ SELECT id, etf_price, fut_price, label FROM (SELECT id, strike_etf AS etf_price, coalesce(CASE WHEN id % 3 = 0 THEN NULL ELSE strike_futures END, strike_etf * 41.2::DOUBLE) AS fut_price,

@@ -115,6 +115,11 @@ def _profile(spark, d):
     return P.volume_profile(A.tight_bars(spark, d).drop("interval_type"), TICK)
 
 
+def _runs(spark, d):
+    """The profile in buckets of `PER_ROW` ticks, ATR over all bars."""
+    return P.runs(P.segments(I.atr_wilder(A.tight_bars(spark, d).drop("interval_type")), TICK), PER_ROW)
+
+
 @query("agg_volume_profile", SEGMENTS + f" SELECT symbol, bucket, {r6('volume')} AS volume FROM prof")
 def _(spark, d):
     rows = _profile(spark, d)
@@ -129,13 +134,13 @@ def _(spark, d):
 
 @query("win_gaussian_smooth", GRID + _smooth_sql(1.5) + f" SELECT symbol, bucket, {r6('volume')} AS volume FROM smooth WHERE volume > 0")
 def _(spark, d):
-    rows = P.smoothed(P.dense(P.spread(P.segments(I.atr_wilder(A.tight_bars(spark, d).drop("interval_type")), TICK), PER_ROW)), 1.5).where("volume > 0")
+    rows = P.points(P.smoothed_runs(_runs(spark, d), 1.5).where("smoothed > 0").select("symbol", "lo", "hi", F.col("smoothed").alias("volume")))
     return rows.select("symbol", "bucket", *six(rows, "volume"))
 
 
 @query("agg_poc", GRID + f" SELECT symbol, bucket AS poc, {r6('volume')} AS poc_volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY volume DESC, bucket) AS r FROM grid) WHERE r = 1")
 def _(spark, d):
-    rows = P.point_of_control(P.dense(P.spread(P.segments(I.atr_wilder(A.tight_bars(spark, d).drop("interval_type")), TICK), PER_ROW)))
+    rows = P.point_of_control(_runs(spark, d))
     return rows.select("symbol", "poc", *six(rows, "poc_volume"))
 
 
@@ -146,7 +151,7 @@ UNION ALL SELECT symbol, v, bk, total, poc, CASE WHEN down THEN lo - 1 ELSE lo E
 FROM (SELECT *, lv >= hv AND lo > 1 AS down FROM (SELECT *, CASE WHEN lo > 1 THEN v[lo - 1] ELSE -1 END AS lv, CASE WHEN hi < len(v) THEN v[hi + 1] ELSE -1 END AS hv FROM walk)) WHERE acc < total * 0.7::DOUBLE AND (down OR hi < len(v)))
 SELECT symbol, bk[lo] AS value_low, bk[poc] AS poc, bk[hi] AS value_high FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY step DESC) AS r FROM walk) WHERE r = 1""")
 def _(spark, d):
-    return P.value_area(P.dense(P.spread(P.segments(I.atr_wilder(A.tight_bars(spark, d).drop("interval_type")), TICK), PER_ROW)))
+    return P.value_area(_runs(spark, d))
 
 
 @query("profile_conserves_volume", A.ctes("bars") + " SELECT symbol, sum(volume)::BIGINT AS volume FROM bars GROUP BY symbol")
@@ -154,7 +159,9 @@ def _(spark, d):
     return _profile(spark, d).groupBy("symbol").agg(F.floor(F.sum("volume") + 0.5).cast("long").alias("volume"))
 
 
-@query("udf_indicator_registry")
+@query("udf_indicator_registry", A.ctes("bars") + """, c AS (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol)
+SELECT id, label, sum(greatest(n - warm + 1, 0))::BIGINT AS n FROM c, (VALUES ('sma20', 'SMA 20', 20), ('sma50', 'SMA 50', 50), ('sma200', 'SMA 200', 200), ('ema12', 'EMA 12', 12), ('ema21', 'EMA 21', 21), ('ema26', 'EMA 26', 26), ('ema200', 'EMA 200', 200),
+('bb20', 'Bollinger Bands', 20), ('vwap', 'VWAP', 1), ('volume', 'Volume', 1), ('trend-logic', 'EMA Trend Friend Pro', 200)) i(id, label, warm) GROUP BY id, label""")
 def _(spark, d):
     """Every registered indicator, as one row per id: how many bars it has warmed up on."""
     out = None

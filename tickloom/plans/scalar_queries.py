@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import expr as X
 from tickloom.operators.bars import stored_interval
+from tickloom.operators.profile import REQUIRED
 from tickloom.plans import adapters as A
 from tickloom.plans.feature_queries import r6
 from tickloom.plans.registry import query
@@ -24,12 +25,6 @@ for _name, (_gate, _sql) in GATES.items():
     query(_name, f"SELECT event_id, ts FROM {EVENTS} WHERE {_sql}")(lambda spark, d, gate=_gate: A.table(spark, d, "events").where(gate(F.col("ts"))).select("event_id", "ts"))
 
 
-@query("stream_ticker_cron", f"SELECT event_id, CASE WHEN isodow(ts) <= 5 AND hour(ts) BETWEEN 13 AND 20 THEN 'regular' WHEN isodow(ts) = 7 AND hour(ts) IN (22, 23) THEN 'globex' END AS timer, time_bucket(INTERVAL 5 MINUTE, ts) AS fires_at FROM events")
-def _(spark, d):
-    ts = F.col("ts")
-    return A.table(spark, d, "events").select("event_id", X.ingestion_timer(ts).alias("timer"), X.floor_minutes(ts, 5).alias("fires_at"))
-
-
 @query("stream_gex_cron", f"SELECT event_id, CASE WHEN {GATES['filter_premarket'][1]} THEN 'premarket' WHEN {GATES['filter_market_open'][1]} THEN 'regular' WHEN {GATES['filter_postclose'][1]} THEN 'postclose' ELSE 'closed' END AS session FROM {EVENTS}")
 def _(spark, d):
     ts = F.col("ts")
@@ -39,39 +34,48 @@ def _(spark, d):
 
 SYMBOLS = ("ES=F", "NQ=F", "SPY", "QQQ", "BTC-USD", "^VIX")
 LIST = "(VALUES " + ", ".join(f"('{s}')" for s in SYMBOLS) + ") t(symbol)"
+#: Each event's symbol, dealt out by its id.
+WATCHED = "(SELECT event_id, ['ES=F', 'NQ=F', 'SPY', 'QQQ', 'BTC-USD', '^VIX'][event_id % 6 + 1] AS symbol FROM events)"
 
 
-def _symbols(spark):
-    return spark.createDataFrame([(s,) for s in SYMBOLS], "symbol string")
+def _dealt(key, values):
+    return F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
 
 
-@query("filter_session_symbols", f"SELECT e.event_id, t.symbol FROM {EVENTS} e, {LIST} WHERE e.event_id % 50 = 0 AND (ends_with(t.symbol, '=F') OR ({GATES['filter_intraday_gate'][1]}))")
+def _watched(spark, d):
+    return A.table(spark, d, "events").select("event_id", _dealt(F.col("event_id"), SYMBOLS).alias("symbol"))
+
+
+@query("filter_session_symbols", f"SELECT e.event_id, t.symbol FROM {EVENTS} e, {LIST} WHERE ends_with(t.symbol, '=F') OR ({GATES['filter_intraday_gate'][1]})")
 def _(spark, d):
-    e = A.table(spark, d, "events").where("event_id % 50 = 0").select("event_id", "ts")
+    e = A.table(spark, d, "events").select("event_id", "ts")
     each = e.withColumn("symbol", F.explode(F.array(*map(F.lit, SYMBOLS))))
     return each.where(F.col("symbol").endswith("=F") | X.intraday_gate(F.col("ts"))).select("event_id", "symbol")
 
 
-@query("filter_ticker_groups", f"SELECT symbol, CASE WHEN symbol IN ('BTC-USD', 'ETH-USD') THEN 'crypto' ELSE 'other' END AS kind FROM {LIST}")
+@query("filter_ticker_groups", f"SELECT event_id, symbol, CASE WHEN symbol IN ('BTC-USD', 'ETH-USD') THEN 'crypto' ELSE 'other' END AS kind FROM {WATCHED}")
 def _(spark, d):
-    return _symbols(spark).select("symbol", F.when(F.col("symbol").isin("BTC-USD", "ETH-USD"), "crypto").otherwise("other").alias("kind"))
+    return _watched(spark, d).withColumn("kind", F.when(F.col("symbol").isin("BTC-USD", "ETH-USD"), "crypto").otherwise("other"))
 
 
-@query("proj_display_name", f"SELECT symbol, CASE symbol WHEN 'ES=F' THEN '/ES' WHEN 'NQ=F' THEN '/NQ' WHEN '^VIX' THEN 'VIX' ELSE regexp_replace(symbol, '-USD$', '') END AS name FROM {LIST}")
+@query("proj_display_name", f"SELECT event_id, CASE symbol WHEN 'ES=F' THEN '/ES' WHEN 'NQ=F' THEN '/NQ' WHEN '^VIX' THEN 'VIX' ELSE regexp_replace(symbol, '-USD$', '') END AS name FROM {WATCHED}")
 def _(spark, d):
     names = F.create_map(*[F.lit(x) for kv in {"ES=F": "/ES", "NQ=F": "/NQ", "^VIX": "VIX"}.items() for x in kv])
-    return _symbols(spark).select("symbol", F.coalesce(F.try_element_at(names, F.col("symbol")), F.regexp_replace("symbol", "-USD$", "")).alias("name"))
+    return _watched(spark, d).select("event_id", F.coalesce(F.try_element_at(names, F.col("symbol")), F.regexp_replace("symbol", "-USD$", "")).alias("name"))
 
 
-@query("proj_stored_interval", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in {**STORED_INTERVAL, "7m": "1m"}.items()) + ") t(interval, stored)")
+@query("proj_stored_interval", """SELECT event_id, interval, CASE WHEN interval IN ('15m', '30m', '5m') THEN '5m' WHEN interval IN ('1h', '4h') THEN '1h' WHEN interval IN ('1d', '1wk') THEN '1d' ELSE '1m' END AS stored
+FROM (SELECT event_id, ['1m', '5m', '15m', '30m', '1h', '4h', '1d', '1wk', '7m'][event_id % 9 + 1] AS interval FROM events)""")
 def _(spark, d):
-    return spark.createDataFrame([(i, stored_interval(i)) for i in (*STORED_INTERVAL, "7m")], "interval string, stored string")
+    """The interval that each request reads; an unknown one (7m) reads minutes."""
+    rows = A.table(spark, d, "events").select("event_id", _dealt(F.col("event_id"), (*STORED_INTERVAL, "7m")).alias("interval"))
+    return rows.withColumn("stored", stored_interval(F.col("interval")))
 
 
-@query("proj_ticker_list", "SELECT unnest(list_filter(list_transform(string_split(' spy, qqq ,,es=f ', ','), lambda x: upper(trim(x))), lambda x: x <> '')) AS symbol")
+@query("proj_ticker_list", "SELECT event_id, unnest(list_filter(list_transform(string_split(' ' || event_type || ', spy ,,' || event_id || '=f ', ','), lambda x: upper(trim(x))), lambda x: x <> '')) AS symbol FROM events")
 def _(spark, d):
-    parts = F.filter(F.transform(F.split(F.lit(" spy, qqq ,,es=f "), ","), lambda x: F.upper(F.trim(x))), lambda x: x != "")
-    return spark.range(1).select(F.explode(parts).alias("symbol"))
+    setting = F.concat(F.lit(" "), F.col("event_type"), F.lit(", spy ,,"), F.col("event_id").cast("string"), F.lit("=f "))
+    return A.table(spark, d, "events").select("event_id", F.explode(X.ticker_list(setting)).alias("symbol"))
 
 
 @query("proj_numeric_coerce", "SELECT event_id, TRY_CAST(CASE WHEN event_id % 3 = 0 THEN 'x' || value ELSE value::VARCHAR END AS DOUBLE) AS value FROM events")
@@ -97,7 +101,12 @@ def _(spark, d):
 
 @query("fn_median_mean", f"SELECT event_type, {r6('quantile_cont(value, 0.5)')} AS median, {r6('coalesce(avg(value), 0)')} AS mean FROM events GROUP BY event_type")
 def _(spark, d):
-    return A.table(spark, d, "events").groupBy("event_type").agg(X.rounded(F.percentile("value", F.lit(0.5)), 6).alias("median"), X.rounded(F.coalesce(F.avg("value"), F.lit(0.0)), 6).alias("mean"))
+    from tickloom.operators.quantiles import quantiles
+
+    e = A.table(spark, d, "events").select("event_type", "value")
+    means = e.groupBy("event_type").agg(X.rounded(F.coalesce(F.avg("value"), F.lit(0.0)), 6).alias("mean"))
+    medians = quantiles(e, "value", {"median": 0.5}, ["event_type"]).select(F.col("event_type").alias("_type"), X.rounded("median", 6).alias("median"))
+    return means.join(medians, F.col("event_type").eqNullSafe(F.col("_type"))).select("event_type", "median", "mean")
 
 
 @query("fn_date", """SELECT event_id, hour(ts) AS hour, minute(ts) AS minute, isodow(ts) - 1 AS weekday, ts::DATE AS day, hour(et) AS et_hour, (ts - INTERVAL 3 MONTH) AS minus_3mo, (ts - INTERVAL 5 DAY) AS minus_5d, date_trunc('week', ts)::TIMESTAMP AS monday,
@@ -113,12 +122,13 @@ def _(spark, d):
     )
 
 
-@query("fn_date_parse", "SELECT * FROM (VALUES ('2024-01-05 10:20:30', TIMESTAMP '2024-01-05 10:20:30'), ('2024-01-05', TIMESTAMP '2024-01-05'), ('2024-01-05 10:20:30+00:00', TIMESTAMP '2024-01-05 10:20:30'), ('soon', NULL)) t(text, parsed)")
+@query("fn_date_parse", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('day', ts)::TIMESTAMP WHEN 2 THEN date_trunc('second', ts) - INTERVAL 2 HOUR END AS parsed FROM events""")
 def _(spark, d):
-    from tickloom.sources.readers import LOG_DATES
-
-    rows = spark.createDataFrame([(x,) for x in ("2024-01-05 10:20:30", "2024-01-05", "2024-01-05 10:20:30+00:00", "soon")], "text string")
-    return rows.select("text", F.coalesce(*[F.try_to_timestamp("text", F.lit(f)) for f in LOG_DATES]).cast("timestamp_ntz").alias("parsed"))
+    """Times in three formats, one of them two hours east of Greenwich, and texts that are no time."""
+    ts, k = F.col("ts"), F.col("event_id") % 4
+    second = F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    text = F.when(k == 0, second).when(k == 1, F.date_format(ts, "yyyy-MM-dd")).when(k == 2, F.concat(second, F.lit("+02:00"))).otherwise("soon")
+    return A.table(spark, d, "events").select("event_id", X.parsed_time(text).alias("parsed"))
 
 
 @query("fn_string", """SELECT event_id, upper(event_type) AS up, string_split(upper(event_type) || ',' || event_id, ',')[1] AS head, ends_with(event_type, 'n') AS ends, regexp_extract(props, '(\\d+)', 1) AS digits, regexp_replace(event_type, 'i.*$', '') AS cut, regexp_matches(props, '^\\{.*\\}$') AS braces,
@@ -154,6 +164,9 @@ def _(spark, d):
     return A.table(spark, d, "events").select("event_id", F.coalesce(F.when(F.col("event_id") % 3 != 0, F.col("value")), F.lit(0.0)).alias("filled"), X.ratio(F.col("value"), (F.col("event_id") % 4).cast("double")).alias("guarded"))
 
 
-@query("set_diff_required", "SELECT unnest(['close', 'volume']) AS missing")
+@query("set_diff_required", """SELECT event_id, list_filter([CASE WHEN event_id % 2 = 0 THEN 'open' END, CASE WHEN event_id // 2 % 2 = 0 THEN 'high' END, CASE WHEN event_id // 4 % 2 = 0 THEN 'low' END, CASE WHEN event_id // 8 % 2 = 0 THEN 'close' END, CASE WHEN event_id // 16 % 2 = 0 THEN 'volume' END], lambda x: x IS NOT NULL).array_to_string(',') AS missing FROM events""")
 def _(spark, d):
-    return spark.range(1).select(F.explode(F.array_except(F.array(*map(F.lit, ("open", "high", "low", "close", "volume"))), F.array(*map(F.lit, ("open", "high", "low"))))).alias("missing"))
+    """The required columns that a frame lacks; each event stands for a frame that has those of its id's bits."""
+    required = F.array(*map(F.lit, REQUIRED))
+    given = F.array_compact(F.array(*[F.when(F.floor(F.col("event_id") / 2**k) % 2 == 1, name) for k, name in enumerate(REQUIRED)]))
+    return A.table(spark, d, "events").select("event_id", F.array_join(F.array_except(required, given), ",").alias("missing"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tickloom.plans import adapters as A
 from tickloom.plans.feature_queries import r6, six
 from tickloom.plans.registry import query
+from tickloom.session import fresh_path
+from tickloom.sources import paged
 from tickloom.sources import readers as R
 
 TWO = "floor({0} * 100 + 0.5) / 100"
@@ -100,14 +104,14 @@ def _(spark, d):
 
 def log_lines(spark, d):
     """A repair log in text, from hourly bars: every third line has a bare date, every fifth is a heading."""
-    b = A.bars_1h(spark, d).where("volume % 4 = 0")
+    b = A.bars_1h(spark, d)
     at = F.when(F.col("volume") % 3 == 0, F.date_format("date", "yyyy-MM-dd")).otherwise(F.date_format("date", "yyyy-MM-dd HH:mm:ss"))
     text = F.concat(F.lit("  "), F.col("symbol"), F.lit(" 1h "), at, F.lit(": open "), F.floor("open").cast("string"), F.lit("->1.0, low "), F.floor("low").cast("string"), F.lit("->0.5"))
     return b.select(F.when(F.col("volume") % 5 == 0, F.lit("== 1h ==")).otherwise(text).alias("value"), F.unix_timestamp(F.col("date").cast("timestamp")).alias("position"))
 
 
 LOG = A.ctes("bars") + """, e AS (SELECT symbol, '1h' AS interval_type, CASE WHEN volume % 3 = 0 THEN date_trunc('day', date)::TIMESTAMP ELSE date END AS date, f AS field, CASE WHEN f = 'open' THEN floor(open) ELSE floor(low) END AS old, epoch(date)::BIGINT * 8 + k AS position
-FROM bars, (VALUES ('open', 0), ('low', 1)) x(f, k) WHERE volume % 4 = 0 AND volume % 5 <> 0)"""
+FROM bars, (VALUES ('open', 0), ('low', 1)) x(f, k) WHERE volume % 5 <> 0)"""
 
 
 @query("src_repair_log", LOG + " SELECT * FROM e")
@@ -120,9 +124,58 @@ def _(spark, d):
     return R.repair_log(log_lines(spark, d)).groupBy("symbol", "interval_type").agg(F.count("*").alias("n")).orderBy("symbol", "interval_type")
 
 
-@query("src_parquet", "SELECT o_orderkey, o_custkey, o_totalprice::DOUBLE AS o_totalprice FROM orders WHERE o_orderkey % 3 = 0")
+@query("src_parquet", "SELECT o_orderkey, o_custkey, o_totalprice::DOUBLE AS o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderstatus = 'O'")
+def _(spark, d):
+    """A range and an equality, both pushed down to the scan, and three columns."""
+    recent = (F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz")) & (F.col("o_orderstatus") == "O")
+    return A.table(spark, d, "orders").where(recent).select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+
+
+BARS = "symbol, date, open, high, low, close_price, volume"
+
+
+def _database(spark, d):
+    """The hourly bars, written to a database and read again in four ranges of dates."""
+    from tickloom.sources.sinks import write_jdbc_bars
+
+    url, rows = R.jdbc_url(spark), A.bars_1h(spark, d).withColumn("date", F.col("date").cast("timestamp"))
+    first, last = rows.agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
+    name = f"bars_{uuid.uuid4().hex}"
+    write_jdbc_bars(rows, url, name)
+    return R.read_jdbc_bars(spark, url, name, 4, first, last) if first is not None else rows
+
+
+def _bars(rows):
+    return rows.select(*BARS.split(", ")).withColumn("date", F.col("date").cast("timestamp_ntz"))
+
+
+@query("src_jdbc_bars", A.ctes("bars") + f" SELECT {BARS} FROM bars WHERE symbol = 'purchase' AND date >= TIMESTAMP '2024-01-10'")
+def _(spark, d):
+    return _bars(_database(spark, d).where((F.col("symbol") == "purchase") & (F.col("date") >= F.lit("2024-01-10").cast("timestamp"))))
+
+
+@query("src_jdbc_between", A.ctes("bars") + f" SELECT {BARS} FROM bars WHERE date BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06 12:00:00'")
+def _(spark, d):
+    return _bars(_database(spark, d).where(F.col("date").between(F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-06 12:00:00").cast("timestamp"))))
+
+
+PAGE = "event_id bigint, event_type string, value double"
+
+
+@query("src_rest_paged", "SELECT event_id, event_type, value FROM events")
+def _(spark, d):
+    """All events in pages, read until one is short."""
+    path = fresh_path(spark)
+    paged.write_pages(A.table(spark, d, "events").select("event_id", "event_type", "value"), path, ["event_id"])
+    return paged.read_pages(spark, path, PAGE)
+
+
+@query("src_rest_filtered", "SELECT event_id, value FROM events WHERE event_type = 'click' AND value >= 50")
 def _(spark, d):
-    return A.table(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    """One type's pages: the equality goes into the request, the range stays with Spark."""
+    path = fresh_path(spark)
+    paged.write_pages(A.table(spark, d, "events").select("event_id", "event_type", "value"), path, ["event_id"], by="event_type")
+    return paged.read_pages(spark, path, PAGE, columns="event_type").where("event_type = 'click' and value >= 50").select("event_id", "value")
 
 
 @query("src_csv", A.ctes("bars") + f" SELECT symbol, date, {r6('open')} AS open, {r6('close_price')} AS close_price, volume FROM bars")
@@ -160,14 +213,14 @@ def _(spark, d):
     return stored.groupBy("symbol", "interval_type").agg(F.count("*").alias("n"), F.max("date").alias("last_date"), F.sum("volume").alias("volume"))
 
 
-@query("sink_ddl", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value END AS price, NULL::BIGINT AS pcr, event_type FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, value, event_id, event_type FROM events WHERE event_id % 3 = 1")
+@query("sink_ddl", "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN value END AS price, NULL::BIGINT AS pcr, event_type FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, value, event_id, event_type FROM events WHERE event_id % 2 = 1")
 def _(spark, d):
     """Rows of an older schema (a legacy price, no pcr) and a newer one in one table: columns added, a legacy one copied and dropped."""
     from tickloom.sources.sinks import add_columns, copy_column, fresh_path, write_rows
 
     path, e = fresh_path(spark), A.table(spark, d, "events")
-    write_rows(e.where("event_id % 3 = 0").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("spot"), "event_type"), f"{path}/v=1")
-    write_rows(e.where("event_id % 3 = 1").select("event_id", F.col("value").alias("price"), F.col("event_id").alias("pcr"), "event_type"), f"{path}/v=2")
+    write_rows(e.where("event_id % 2 = 0").select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("spot"), "event_type"), f"{path}/v=1")
+    write_rows(e.where("event_id % 2 = 1").select("event_id", F.col("value").alias("price"), F.col("event_id").alias("pcr"), "event_type"), f"{path}/v=2")
     both = spark.read.option("mergeSchema", True).parquet(path)
     return copy_column(add_columns(both, {"pcr": "bigint", "price": "double"}), "spot", "price").select("event_id", "price", "pcr", "event_type")
 
@@ -180,8 +233,10 @@ def _(spark, d):
     return normalized_columns(rows).select("symbol", "open", "high", "low", "close", "volume")
 
 
-@query("join_arrays_positional", "SELECT x AS pos, CASE WHEN x < 3 THEN x + 1 END AS a, CASE WHEN x < 2 THEN x * 10 END AS b, x * 100 AS c FROM (SELECT unnest(range(0, 4))::INT AS x)")
+@query("join_arrays_positional", """SELECT event_id, x AS pos, CASE WHEN x < event_id % 4 THEN event_id + x END AS a, CASE WHEN x < event_id % 3 + 1 THEN event_type || x END AS b FROM (SELECT event_id, event_type, unnest(range(0, greatest(event_id % 4, event_id % 3 + 1)))::INT AS x FROM events)""")
 def _(spark, d):
-    """Arrays of unequal length by position; the shorter ones give nulls."""
-    one = spark.range(1).select(F.array(*map(F.lit, (1, 2, 3))).alias("a"), F.array(*map(F.lit, (0, 10))).alias("b"), F.array(*map(F.lit, (0, 100, 200, 300))).alias("c"))
-    return one.select(F.posexplode(F.arrays_zip("a", "b", "c")).alias("pos", "r")).select("pos", "r.*")
+    """Each event's two arrays, of unequal length, by position; the shorter one gives nulls."""
+    i = F.col("event_id")
+    upto = lambda n, f: F.transform(F.slice(F.sequence(F.lit(0), F.lit(3)), F.lit(1), n.cast("int")), f)
+    arrays = A.table(spark, d, "events").select("event_id", upto(i % 4, lambda x: i + x).alias("a"), upto(i % 3 + 1, lambda x: F.concat("event_type", x.cast("string"))).alias("b"))
+    return arrays.select("event_id", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "r")).select("event_id", "pos", "r.*")

@@ -17,7 +17,6 @@ from tickloom.schemas import BARS, CHART_JSON, OPTION_JSON
 #: The log's line and its edits.
 LOG_LINE = r"^\s+(\S+)\s+(\S+)\s+(.+?):\s+(.+)$"
 LOG_EDIT = r"(open|high|low)\s+([-\d.]+)->([-\d.]+)"
-LOG_DATES = ("yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ssXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
 
 
 def _chart(doc: Column) -> Column:
@@ -38,14 +37,25 @@ def chart_bars(docs: DataFrame, intraday: bool, doc: str = "json") -> DataFrame:
 
 
 def live_minutes(docs: DataFrame, doc: str = "json") -> DataFrame:
-    """1-minute bars of a live chart document: timestamps floored to the minute, equal minutes merged."""
-    from tickloom.operators.bars import ohlcv
+    """1-minute bars of live chart documents: rows without all prices dropped, timestamps floored to the minute, neighbours of one minute merged.
 
+    A minute that returns after another one is a bar of its own, as in the
+    document. Neighbours are found inside the document's arrays, which a vendor bounds: no shuffle.
+    """
     c = docs.select("symbol", _chart(F.col(doc)).alias("c"))
     quote = F.get(F.col("c.indicators.quote"), 0)
-    rows = c.select("symbol", F.explode(F.arrays_zip(F.col("c.timestamp").alias("t"), *[quote[k].alias(k) for k in ("open", "high", "low", "close", "volume")])).alias("r")).select("symbol", "r.*").dropna(subset=["t", "open", "high", "low", "close"])
-    minute = F.timestamp_seconds(F.col("t") - F.col("t") % 60).cast("timestamp_ntz")
-    return rows.withColumnRenamed("close", "close_price").groupBy("symbol", minute.alias("date")).agg(*ohlcv("t"))
+    zipped = F.arrays_zip(F.col("c.timestamp").alias("t"), *[quote[k].alias(k) for k in ("open", "high", "low", "close", "volume")])
+    complete = F.filter(zipped, lambda x: x["t"].isNotNull() & x["open"].isNotNull() & x["high"].isNotNull() & x["low"].isNotNull() & x["close"].isNotNull())
+    minute = lambda i: F.floor(F.get("r", i)["t"] / 60) * 60
+    firsts = F.filter(F.sequence(F.lit(0), F.size("r") - 1), lambda i: (i == 0) | (minute(i) != minute(i - 1)))
+    found = c.select("symbol", complete.alias("r")).where("size(r) > 0").withColumn("firsts", firsts)
+    stretch = F.posexplode("firsts").alias("k", "first")
+    rows = found.select("symbol", "r", "firsts", stretch).select("symbol", minute(F.col("first")).alias("t"), F.slice("r", F.col("first") + 1, F.coalesce(F.get("firsts", F.col("k") + 1), F.size("r")) - F.col("first")).alias("b"))
+    each = lambda k: F.transform("b", lambda x: x[k])
+    volume = F.aggregate(each("volume"), F.lit(0).cast("long"), lambda total, v: total + F.coalesce(v, F.lit(0)))
+    return rows.select(
+        "symbol", F.timestamp_seconds("t").cast("timestamp_ntz").alias("date"), F.get("b", F.lit(0))["open"].alias("open"), F.array_max(each("high")).alias("high"), F.array_min(each("low")).alias("low"), F.element_at("b", -1)["close"].alias("close_price"), volume.alias("volume")
+    )
 
 
 def last_ticks(docs: DataFrame, doc: str = "json") -> DataFrame:
@@ -92,7 +102,7 @@ def repair_log(lines: DataFrame, exclude: tuple[str, ...] = (), line: str = "val
     got = lines.select("position", *[F.regexp_extract(line, LOG_LINE, k).alias(n) for k, n in ((1, "symbol"), (2, "interval_type"), (3, "at"), (4, "edits"))]).where("symbol <> ''")
     if exclude:
         got = got.where(~F.col("interval_type").isin(*exclude))
-    date = F.coalesce(*[F.try_to_timestamp("at", F.lit(f)) for f in LOG_DATES]).cast("timestamp_ntz")
+    date = X.parsed_time(F.col("at"))
     pairs = F.posexplode(F.arrays_zip(F.regexp_extract_all("edits", F.lit(LOG_EDIT), F.lit(1)).alias("field"), F.regexp_extract_all("edits", F.lit(LOG_EDIT), F.lit(2)).alias("old")))
     rows = got.withColumn("date", date).where("date is not null").select("symbol", "interval_type", "date", "position", pairs.alias("k", "e"))
     return rows.select("symbol", "interval_type", "date", F.col("e.field").alias("field"), F.col("e.old").try_cast("double").alias("old"), (F.col("position") * 8 + F.col("k")).alias("position"))
@@ -107,8 +117,17 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_jdbc_bars(spark: SparkSession, url: str, table: str, parts: int, lower: str, upper: str, **options: str) -> DataFrame:
-    """Bars of a database, read in `parts` ranges of `date`; filters and columns are pushed down by the source."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn="date", lowerBound=lower, upperBound=upper, numPartitions=str(parts), **options).load()
+    """Bars of a database, read in `parts` ranges of `date` (a timestamp: ranges need one); filters and columns are pushed down by the source."""
+    given = {"partitionColumn": "date", "lowerBound": lower, "upperBound": upper, "numPartitions": str(parts)} | options
+    return spark.read.format("jdbc").options(url=url, dbtable=table, **given).load()
+
+
+def jdbc_url(spark: SparkSession) -> str:
+    """The database of spark.tickloom.jdbc.url; where that is unset, one in the memory of this process, which works in local mode only."""
+    url = spark.conf.get("spark.tickloom.jdbc.url", None)
+    if url is None and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.tickloom.jdbc.url to a database that the executors reach")
+    return url or "jdbc:derby:memory:tickloom;create=true"
 
 
 def tickers(setting: str) -> list[str]:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators import gex as G
-from tickloom.session import shared_folder
+from tickloom.session import fresh_path  # noqa: F401
 
 
 def gex_rows(strikes: DataFrame, spot: float, futures: float, computed_at: str) -> tuple[DataFrame, DataFrame]:
@@ -20,11 +18,6 @@ def gex_rows(strikes: DataFrame, spot: float, futures: float, computed_at: str)
     return parents, children
 
 
-def fresh_path(spark: SparkSession) -> str:
-    """A folder that isn't there yet, where driver and executors can write."""
-    return f"{shared_folder(spark.sparkContext)}/written-{uuid.uuid4().hex}"
-
-
 def write_gex(parents: DataFrame, children: DataFrame, path: str) -> None:
     parents.write.mode("append").parquet(f"{path}/gamma_exposure")
     children.write.mode("append").parquet(f"{path}/gamma_levels")
@@ -35,6 +28,12 @@ def write_bars(bars: DataFrame, path: str) -> None:
     bars.write.mode("append").partitionBy("interval_type").parquet(path)
 
 
+def write_jdbc_bars(bars: DataFrame, url: str, table: str, **options: str) -> None:
+    """Bars as a database table, in place of what was there; names are short texts, so that the database can compare them."""
+    types = ", ".join(f"{c} VARCHAR(64)" for c in ("symbol", "interval_type") if c in bars.columns)
+    bars.write.format("jdbc").options(url=url, dbtable=table, createTableColumnTypes=types, **options).mode("overwrite").save()
+
+
 def write_rows(rows: DataFrame, path: str) -> None:
     """Feature rows or predictions as Parquet, in place of what was there."""
     rows.write.mode("overwrite").parquet(path)
