@@ -166,3 +166,23 @@ def test_long_spans_hash_like_short_ones():
     h = tx.span_hash(flat, np.array([1, 15002]), np.array([15001, 30002]), 3)
     assert h[0] == h[1]
     assert window_dedup.line_units(np.frombuffer(b"a\n\nb", np.uint8), np.array([0, 0, 4]))[2].tolist() == [1, 1, 1]
+
+
+def test_many_repeated_rows(spark):
+    """2,000 rows of one text, with one id, none, or ids of their own: what is shuffled doesn't follow their number."""
+    r = np.random.default_rng(4)
+    text = "\n".join(" ".join(f"w{k}" for k in r.integers(0, 500, 12)) for _ in range(7))
+    other = text.split("\n", 3)[3] + "\nand more\n" + "x " * 30
+    for ids in ([None] * 2000, [7] * 2000, list(range(2000))):
+        rows = [(i, text) for i in ids] + [(5000, other)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        few = list(dict.fromkeys(rows))
+        for got, want in (
+            (op05_substring.digest(df), digest(brute(few, WORD.findall, 20), b" ")),
+            (op09_lines.digest(df), digest(brute(few, lines, 3), b"\n")),
+            (op03_suffix.digest(df), byte_digest(few)),
+        ):
+            assert set(collected(got)) == set(want) and got.count() == 2001
+        for unit, size in (("word", 20), ("line", 3)):
+            emitted = window_dedup.keyed(df).select("id", "key", "bytes", "text").mapInArrow(window_dedup._emit(unit, size), window_dedup.ROWS)
+            assert emitted.where("hashes is not null").count() < 200

@@ -6,7 +6,8 @@ smaller id, or earlier in the same document. Windows are judged on the input.
 
 Plan: one map pass hashes windows (96 bits). Within an Arrow batch only the
 first occurrence of a window goes on; the others are known repeats and travel as
-merged runs, so a window that fills a third of the corpus adds one row a batch.
+merged runs, so a window that fills a third of the corpus adds one row a batch;
+of rows of equal id and equal text only the first is looked at.
 A window's bucket is the least hash of its 8-word substrings (of the whole
 window, for lines): equal windows have equal buckets, and neighbours mostly
 share theirs, so a run of neighbours travels as one row with its hashes in a
@@ -101,6 +102,15 @@ def _later(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, pos: np.ndarray) ->
     return out
 
 
+def repeated_rows(ids: np.ndarray, keys: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which rows are the same document (id, key, bytes) as an earlier one; what is found in that one holds for them."""
+    order = np.lexsort((lengths, keys, ids))
+    out = np.zeros(len(order), bool)
+    i, k, n = ids[order], keys[order], lengths[order]
+    out[order[1:]] = (i[1:] == i[:-1]) & (k[1:] == k[:-1]) & (n[1:] == n[:-1])
+    return out
+
+
 def _emit(unit: str, size: int, sketch=None):
     """Runs of first occurrences in the batch, and merged runs of units that known repeats cover."""
 
@@ -110,9 +120,12 @@ def _emit(unit: str, size: int, sketch=None):
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             lengths = batch.column("bytes").to_numpy(zero_copy_only=False)
+            copied = repeated_rows(ids, keys, lengths)
             parts = []
             for a, b in tx.chunks(offsets):
                 found = _windows(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], unit, size)
+                if copied.any():
+                    found = [x[~copied[found[3] + a]] for x in found]
                 if sketch is not None:
                     keep = sketching.hits(sketch, found[0])
                     found = [x[keep] for x in found]
@@ -194,7 +207,7 @@ def repeats(docs: DataFrame, unit: str, size: int, prefilter: bool) -> DataFrame
     sketch = sketching.repeated_in_text(source, lambda flat, offsets: _windows(flat, offsets, unit, size, whole=False)[0], 6) if prefilter else None
     rows = source.mapInArrow(_emit(unit, size, sketch), ROWS)
     late = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle(size), "id long, key long, bytes long, span long")
-    return late.groupBy("id", "key", F.col("bytes").cast("int").alias("bytes")).agg(F.collect_list("span").alias("spans"))
+    return late.groupBy("id", "key", F.col("bytes").cast("int").alias("bytes")).agg(F.collect_set("span").alias("spans"))  # repeated rows of several batches find the same
 
 
 def _cut(unit: str, joiner: bytes):
