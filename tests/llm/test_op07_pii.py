@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -10,6 +11,8 @@ import pytest
 from tickloom.llm import op07_pii as P
 from tickloom.llm import tagger
 
+from . import spellings
+
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
@@ -133,3 +136,38 @@ def test_a_value_across_windows_is_found_once():
     text = "word " * 48 + "(017) 555-7713 " + "word " * 100
     spans = [s for at in range(30) for s in [P.all_spans(["x" * at + " " + text], tagger.trained())[0][1]]]
     assert all(len(s) == 1 for s in spans)
+
+
+def test_a_text_of_very_many_values_is_read_in_linear_time():
+    found = [(k * 20, k % 4, k * 20 + 12) for k in range(300_000)]
+    began = time.perf_counter()
+    assert P.apart([(s + 5, k, e + 2) for s, k, e in found], found) == [] and P.apart([(s + 13, k, e + 4) for s, k, e in found], found) == [(s + 13, k, e + 4) for s, k, e in found]
+    assert time.perf_counter() - began < 5
+    names, hosts = ("anna", "max", "k.lee", "noor.a"), ("mail", "example", "north")
+    text = "".join(f"{names[k % 4]} (at) {hosts[k % 3]} (dot) org, a{k}@b.cd and " for k in range(20_000))
+    began = time.perf_counter()
+    base, more = P.all_spans([text], tagger.trained())[0]
+    assert len(base) == 20_000 and len(more) > 15_000 and time.perf_counter() - began < 60
+    spans = sorted(base + more)
+    assert all(a[2] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_apart_against_all_pairs():
+    r = random.Random(6)
+    for _ in range(200):
+        base = sorted((s, 0, s + r.randrange(1, 9)) for s in r.sample(range(60), 8))
+        spans = [(s, 1, s + r.randrange(1, 6)) for s in r.sample(range(60), 12)]
+        assert P.apart(spans, base) == [(s, k, e) for s, k, e in spans if all(e <= x or s >= z for x, _, z in base)]
+
+
+def test_spellings_written_by_hand(spark):
+    """Figures of the README: exact values, and how many texts without any get one."""
+    right = touched = 0
+    for number, (kind, value) in enumerate(spellings.VALUES):
+        sentence = spellings.SENTENCES[number % len(spellings.SENTENCES)]
+        at = sentence.index("{}")
+        base, more = P.all_spans([sentence.replace("{}", value)], tagger.trained())[0]
+        right += (at, tagger.KINDS.index(kind), at + len(value)) in base + more
+        touched += any(tagger.KINDS[k] == kind and s < at + len(value) and e > at for s, k, e in base + more)
+    assert len(spellings.VALUES) >= 100 and right >= 0.55 * len(spellings.VALUES) and touched >= 0.6 * len(spellings.VALUES)
+    assert sum(any(x) for x in P.all_spans(spellings.OTHERS, tagger.trained())) <= 3

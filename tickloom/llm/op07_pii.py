@@ -16,7 +16,9 @@ pass through in `row`; positions are code points, ends exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -90,20 +92,31 @@ def tagged(texts: list[str], model: Tagger, batch: int = 512) -> list[list[tuple
             found[i].append((cut, s - e, a + s, what - 1, a + e))
     out = []
     for spans in found:
-        taken: list[tuple[int, int, int]] = []
+        taken: list[tuple[int, int, int]] = []  # by start, disjoint: the neighbours tell whether there is room
         for _, _, s, kind, e in sorted(spans):
-            if all(e <= x or s >= z for x, _, z in taken):
-                taken.append((s, kind, e))
-        out.append(sorted(taken))
+            at = bisect_left(taken, (s,))
+            if (at == 0 or taken[at - 1][2] <= s) and (at == len(taken) or e <= taken[at][0]):
+                taken.insert(at, (s, kind, e))
+        out.append(taken)
     return out
 
 
+def apart(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that touch none of `base`, which is sorted by start."""
+    starts = [s for s, _, _ in base]
+    reach = [0, *accumulate((e for _, _, e in base), max)]  # the furthest end of the first so many
+    return [x for x in spans if reach[bisect_left(starts, x[2])] <= x[0]]
+
+
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
-    """Without signs at the ends that no value begins or ends with."""
+    """Without signs at the ends that no value begins or ends with, and without a first bracket that nothing closes."""
     while start < end and not (text[start].isalnum() or text[start] in "+(" and end - start > 1):
         start += 1
     while start < end and not text[end - 1].isalnum():
         end -= 1
+    value = text[start:end]
+    if value.startswith("(") and value.count("(") > value.count(")"):
+        return trimmed(text, start + 1, end)
     return start, end
 
 
@@ -127,7 +140,7 @@ def all_spans(texts: list[str], model: Tagger) -> list[tuple[list, list]]:
     for text, more in zip(texts, tagged(texts, model)):
         base = base_spans(text)
         spans = [(s, k, e) for (s, e), k in ((trimmed(text, s, e), k) for s, k, e in more) if s < e]
-        out.append((base, [(s, k, e) for s, k, e in spans if all(e <= x or s >= z for x, _, z in base) and passes(KINDS[k], text[s:e])]))
+        out.append((base, [(s, k, e) for s, k, e in apart(spans, base) if passes(KINDS[k], text[s:e])]))
     return out
 
 

@@ -48,6 +48,7 @@ _SMALL = ("at", "dot", "the", "of", "to", "in", "on", "a", "und", "le", "no", "i
 _NAMES = ("jo", "anna", "max", "k.lee", "info", "lu.mi", "sam_t", "o.neil", "support", "dr-x", "pat", "noor.a", "wei")
 _HOSTS = ("mail", "example", "uni-x", "acme", "post.box", "web-shop", "north", "lab3")
 _TOPS = ("com", "org", "net", "de", "io", "co.uk", "fr", "edu")
+_AROUND = (("(", ")"), ("(", ")"), ("[", "]"), ('"', '"'), (":", ""), ("<", ">"))
 
 
 def _word(r: random.Random) -> str:
@@ -99,6 +100,9 @@ def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             kind = r.randrange(len(KINDS)) if u < 0.16 else -1
             piece = _entity(r, KINDS[kind]) if kind >= 0 else _decoy(r) if u < 0.3 else _word(r)
             behind = r.choice([" ", " ", " ", ". ", ", ", "\n"]) if kind >= 0 else r.choice([" ", " ", " ", " ", "\n"])
+            if kind >= 0 and r.random() < 0.15:
+                before, after = r.choice(_AROUND)
+                text, tags, behind = text + before, tags + [0] * len(before), after + behind
             text += piece + behind
             tags += ([1 + 2 * kind] + [2 + 2 * kind] * (len(piece) - 1) if kind >= 0 else [0] * len(piece)) + [0] * len(behind)
         at = r.randrange(LENGTH)
@@ -331,8 +335,8 @@ class Tagger:
 
 
 @lru_cache(maxsize=1)
-def trained(n: int = 2600, epochs: int = 8) -> Tagger:
-    """The model of the queries. Over 400 made-up texts of other seeds, of 560 values that the base patterns miss it gives 94 % exactly; 96 % of what it gives is exact."""
+def trained(n: int = 5200, epochs: int = 8) -> Tagger:
+    """The model of the queries. Sizes were chosen on made-up texts of other seeds: of 210 values that the base patterns miss it gives 199 exactly, and 2 spans besides."""
     model = Tagger(dtype=np.float32)
-    model.train(*labelled(n, 11), epochs=epochs, batch=48, rate=0.02)
+    model.train(*labelled(n, 11), epochs=epochs, batch=96, rate=0.03)
     return model
