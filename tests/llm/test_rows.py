@@ -302,3 +302,44 @@ def test_flat_trees_equal_a_walk():
                 node = t.left[node] if row[t.feature[node]] <= t.threshold[node] else t.right[node]
             total += t.value[node]
         assert t.margins(row[None])[0] == pytest.approx(total)
+
+
+def test_closed_details_show_their_first_summary():
+    body = "<p>body</p><details open><summary>T</summary>inner</details><summary>second</summary>"
+    assert L.render(f"<details>before <summary>S <b>one</b></summary>{body}</details>after") == "S one\nafter"
+    assert L.render(f"<details open><summary>S</summary>{body}</details>").split() == ["S", "body", "T", "inner", "second"]
+    assert L.render("<details>no summary<p>body</details>after") == "after"
+    assert L.render("<details><summary>S</summary><details open><summary>T</summary>x</details></details>") == "S"
+
+
+def zipf_prose(r, vocabulary, n):
+    return " ".join(r.choices(vocabulary, [1 / (k + 2) for k in range(len(vocabulary))], k=n))
+
+
+def test_the_lower_band_rejects_a_text_of_the_commonest_words(spark):
+    """Words that the language uses most, in ever new order: no rule of repeats sees it, but it is far too predictable. Noise is above."""
+    r = random.Random(12)
+    vocabulary = list(dict.fromkeys("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 11))) for _ in range(4000)))
+    rows = [(k, zipf_prose(r, vocabulary, r.randrange(150, 400)), "en") for k in range(400)]
+    common = [w for w in vocabulary[:80] if len(w) >= 8][:20]
+    rows += [(1000, " ".join(r.choices(common, k=600)), "en"), (1001, "".join(r.choice("QWXZ#0123456789 ") for _ in range(3000)), "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {x.doc_id: x for x in Q.digest(df).collect()}
+    low, high = got[1000], got[1001]
+    assert not low.base_failed and not low.kept and not high.base_failed and not high.kept
+    middle = sorted(x.byte_bits for x in got.values())[200]
+    assert low.byte_bits < middle
+    assert sum(x.kept for x in got.values()) >= 395
+    scores = Q.scored(df)
+    assert {x.row.doc_id for x in Q.judged(scores, Q.bands(scores, below=1e9)).where("not kept").collect()} == {x for x in got if not got[x].kept} - {1000}  # it is the lower band
+
+
+def test_exact_quartiles_of_the_bands(spark):
+    r = np.random.default_rng(3)
+    rows = [("en" if k % 3 else None, k, 60 + int(k % 40), float(r.normal(5, 1)), float(r.normal(3, 0.2))) for k in range(90)]
+    limits = {x._lang: x for x in Q.bands(spark.createDataFrame(rows * 2, "lang string, key long, n_words long, word_bits double, byte_bits double")).collect()}
+    for lang in ("en", None):
+        mine = [x for x in rows if x[0] == lang]
+        q = np.quantile([x[3] for x in mine], [0.25, 0.5, 0.75])
+        assert limits[lang].word_bits_middle == pytest.approx(q[1]) and limits[lang].word_bits_up == pytest.approx(Q.ABOVE * (q[2] - q[0]) / 1.349)
+        assert limits[lang].typical_words == np.median([x[2] for x in mine])

@@ -12,11 +12,13 @@ item is embedded from up to `BLOCKS` runs of `STRIDE` words, spread over all of
 it, so one of each run is in line with any copy. Window lengths follow the item's size in classes (`SIZES`); a walk is
 shared by all classes, since a shorter window reads a prefix of it.
 
-Target: `RECALL` of the stretches at the least similarity that is allowed.
+Target: `RECALL` of the stretches at the least similarity that is allowed. The
+number of repetitions follows from it and from `MISSED`, what one repetition misses.
 
-Items under `PIECED` words are found without chance: with k edits allowed, one of
-k + 1 pieces of the item stands unchanged in any match, so pieces are looked up
-at every word.
+Short items have few windows. Under `PIECED` words they are embedded too, and
+besides looked up without chance: with k edits allowed, one of k + 1 pieces of
+the item stands unchanged in any match, so pieces are looked up at every word.
+Items under `SIZES[0]` words have no window, and pieces only.
 
 Candidates pass a bound that loses none (a match within k edits has m - k of the
 item's words nearby), then the exact edit distance of the item to the best
@@ -33,6 +35,7 @@ of one to four words must occur as they are; repeated rows each have their own;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +46,18 @@ from pyspark.sql import types as T
 from tickloom.llm import text as tx
 from tickloom.llm.tables import keyed
 
-SIMILARITY, STRIDE, SAMPLED, REPETITIONS = 0.8, 8, 3, 8
+SIMILARITY, STRIDE, SAMPLED = 0.8, 8, 3
 SIZES = (8, 12, 18, 27, 40)
 PIECED, BLOCKS, SLICE_ITEMS = 25, 8, 5000
-RECALL = 0.99
+#: What is aimed at, and the share of copies that one repetition more leaves unfound: at 25 words with 20 % edits, the worst size without pieces, 1, 2, 4, 6 and 8 repetitions missed 82, 33, 12, 4 and 3 of 300 copies.
+RECALL, MISSED = 0.99, 0.55
+
+
+def repetitions_for(recall: float) -> int:
+    return max(1, ceil(log(1 - recall) / log(MISSED)))
+
+
+REPETITIONS = repetitions_for(RECALL)
 _BASE = 0xD6E8FEB86659FD93
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -129,18 +140,18 @@ class Items:
         self.pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         found: dict[int, list[tuple[int, int, int]]] = {}
         for k, (ids, most) in enumerate(zip(self.words, self.most)):
-            if len(ids) < PIECED:
+            if len(ids) < PIECED:  # beside the walks, which may miss a short item
                 for off, n in pieces_of(len(ids), most):
                     found.setdefault(n, []).append((int(tx.rolling(ids[off : off + n], n, _BASE)[0]), k, off))
         for n, rows in found.items():
             rows.sort()
             self.pieces[n] = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows], np.int32)
-        if all(len(w) < PIECED for w in self.words):
+        if all(len(w) < SIZES[0] for w in self.words):
             return
         size = np.array([len(w) for w in self.words])
         begin = np.cumsum(size) - size
         ids = np.append(np.concatenate(self.words), np.uint64(0))
-        each = [offsets_of(n) if n >= PIECED else np.zeros(0, np.int64) for n in size.tolist()]
+        each = [offsets_of(n) if n >= SIZES[0] else np.zeros(0, np.int64) for n in size.tolist()]
         who, off = np.repeat(np.arange(len(size)), [len(x) for x in each]), np.concatenate(each)
         cls = np.searchsorted(SIZES, size[who] - off, "right") - 1
         # the sentinel behind the last word of all stands in for every item's end
@@ -169,7 +180,10 @@ def best_stretch(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
 
 
 def find(items: Items, flat: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(row, item, edits, end word) of the best stretch of each run of candidates within an item's length, in a chunk of texts."""
+    """(row, item, edits, end word) of the best stretch of each run of candidates within an item's length, in a chunk of texts.
+
+    Copies that follow one another within an item's length are one run, so one hit: hits count runs, not copies.
+    """
     ids, owner = word_ids(flat, offsets)
     if not len(ids) or not items.words:
         return []
@@ -278,6 +292,6 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and item found in it: doc_id, item_id, n_hits, least edits."""
+    """One row per document and item found in it: doc_id, item_id, n_hits (runs of adjacent copies count once), least edits."""
     found = search(docs, benchmark, carry=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), F.explode("hits").alias("h"))
     return found.groupBy("doc_id", F.col("h.item_id").alias("item_id")).agg(F.count("*").alias("n_hits"), F.min("h.edits").alias("edits"))

@@ -14,7 +14,7 @@ model is sliced. At 12 bytes an entry, one slice is 72 MB.
 
 Verdict. Bits per word and bits per byte of each text are held against bands of
 its language: the median of all distinct texts of `MIN_WORDS` words or more, less
-`BELOW` or plus `ABOVE` robust deviations (quartile distance / 1.349, `LEAST` at
+`BELOW` or plus `ABOVE` robust deviations (exact quartile distance / 1.349, `LEAST` at
 least), more for shorter texts. Above or below is rejected. Copies count once in the
 bands, but each in the model, where they make their own text predictable: a text
 that is there twice or more and holds a hundredth of its language's words
@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 
 from tickloom.llm import text as tx
 from tickloom.llm.tables import checkpointed, stored
+from tickloom.operators.quantiles import quantiles
 
 ORDER, MIN_WORDS, MAX_REPEAT_PERCENT = 4, 50, 50
 #: Of the labelled texts at sf0.1 that pass the base rule, 5 above rejects 215 of 291 junk ones and 15 of 3,243 clean ones (8: 148 and 6; 4: 245 and 22). Below, either 5 or 8 rejects none.
@@ -274,13 +275,16 @@ def bands(scores: DataFrame, above: float = ABOVE, below: float = BELOW) -> Data
     """Per language: the middle and the reach up and down of word_bits and byte_bits over its distinct texts, the words of a typical text, and the keys of the texts `copied` most."""
     columns = ("word_bits", "byte_bits", "n_words")
     texts = checkpointed(scores.where(F.col("n_words") >= MIN_WORDS).groupBy("lang", "key").agg(*[F.min(c).alias(c) for c in columns], F.count("*").alias("n")))
-    found = texts.groupBy("lang").agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 10000).alias(c) for c in columns], F.sum(F.col("n") * F.col("n_words")).alias("all_words"))
+    each = texts.select("lang", F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])))
+    quarters = quantiles(each, "x", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, ["lang", "name"]).groupBy(F.col("lang").alias("_of")).agg(*[F.max(F.when(F.col("name") == c, F.array("q1", "q2", "q3"))).alias(c) for c in columns])
+    words = texts.groupBy("lang").agg(F.sum(F.col("n") * F.col("n_words")).alias("all_words"))
+    found = words.join(quarters, words["lang"].eqNullSafe(quarters["_of"]))
     limits = [F.col("lang").alias("_lang"), F.col("n_words")[1].alias("typical_words"), "all_words"]
     for c in ("word_bits", "byte_bits"):
         q = [F.col(c)[k] for k in range(3)]
         deviation = F.greatest((q[2] - q[0]) / 1.349, F.lit(LEAST[c]))
         limits += [q[1].alias(f"{c}_middle"), (above * deviation).alias(f"{c}_up"), (below * deviation).alias(f"{c}_down")]
-    found = found.select(*limits)
+    found = checkpointed(found.select(*limits))  # a row a language
     often = texts.where("n > 1").join(F.broadcast(found), texts["lang"].eqNullSafe(found["_lang"])).where(F.col("n") * F.col("n_words") >= COPIED * F.col("all_words"))
     often = often.groupBy(F.col("lang").alias("_of")).agg(F.collect_list("key").alias("copied"))
     return found.join(often, found["_lang"].eqNullSafe(often["_of"]), "left").drop("_of", "all_words")

@@ -8,7 +8,8 @@ everything open at the end is closed. Attributes are read into names and values,
 as browsers read them.
 
 Invisible: head and its contents, script, style, template, noscript, embedded
-media with their fallbacks, closed dialogs, comments; elements with `hidden` (if
+media with their fallbacks, closed dialogs, all but the first summary of closed
+details, comments; elements with `hidden` (if
 their style doesn't set another display) or a style of display: none, with all
 that is inside; text under visibility: hidden or collapse, up to an element that
 is visible again. Of form controls the text that they show: textarea, values of
@@ -413,6 +414,8 @@ def _open(node: Node, page: Page, tables: list[Table], work: list[tuple], keep:
     inner = node.children
     if tag == "select":
         inner = [x for o in _shown_options(node) for x in (" ", *o.children, " ")]
+    elif tag == "details" and "open" not in node.attributes:
+        inner = [x for x in inner if isinstance(x, Node) and x.tag == "summary"][:1]
     nested = tag in ("ul", "ol", "menu") and page.indent
     gap = 1 if nested else 2 if tag in SPACED else 1 if tag in BLOCK else 0
     if gap:
