@@ -46,16 +46,19 @@ def live_minutes(docs: DataFrame, doc: str = "json") -> DataFrame:
     quote = F.get(F.col("c.indicators.quote"), 0)
     zipped = F.arrays_zip(F.col("c.timestamp").alias("t"), *[quote[k].alias(k) for k in ("open", "high", "low", "close", "volume")])
     complete = F.filter(zipped, lambda x: x["t"].isNotNull() & x["open"].isNotNull() & x["high"].isNotNull() & x["low"].isNotNull() & x["close"].isNotNull())
+    once = lambda x: F.explode(F.array(x))  # noqa: E731  (computed once a document, not once for each use)
     minute = lambda i: F.floor(F.get("r", i)["t"] / 60) * 60
     firsts = F.filter(F.sequence(F.lit(0), F.size("r") - 1), lambda i: (i == 0) | (minute(i) != minute(i - 1)))
-    found = c.select("symbol", complete.alias("r")).where("size(r) > 0").withColumn("firsts", firsts)
-    stretch = F.posexplode("firsts").alias("k", "first")
-    rows = found.select("symbol", "r", "firsts", stretch).select("symbol", minute(F.col("first")).alias("t"), F.slice("r", F.col("first") + 1, F.coalesce(F.get("firsts", F.col("k") + 1), F.size("r")) - F.col("first")).alias("b"))
-    each = lambda k: F.transform("b", lambda x: x[k])
-    volume = F.aggregate(each("volume"), F.lit(0).cast("long"), lambda total, v: total + F.coalesce(v, F.lit(0)))
-    return rows.select(
-        "symbol", F.timestamp_seconds("t").cast("timestamp_ntz").alias("date"), F.get("b", F.lit(0))["open"].alias("open"), F.array_max(each("high")).alias("high"), F.array_min(each("low")).alias("low"), F.element_at("b", -1)["close"].alias("close_price"), volume.alias("volume")
-    )
+    found = c.select("symbol", once(complete).alias("r")).where("size(r) > 0").select("symbol", "r", once(firsts).alias("firsts"))
+
+    def bar(k: Column) -> Column:
+        first, until = F.get("firsts", k), F.coalesce(F.get("firsts", k + 1), F.size("r"))
+        part = F.slice("r", first + 1, until - first)
+        volume = F.aggregate(part, F.lit(0).cast("long"), lambda total, x: total + F.coalesce(x["volume"], F.lit(0)))
+        high, low = F.array_max(F.transform(part, lambda x: x["high"])), F.array_min(F.transform(part, lambda x: x["low"]))
+        return F.struct(F.timestamp_seconds(minute(first)).cast("timestamp_ntz").alias("date"), F.get("r", first)["open"].alias("open"), high.alias("high"), low.alias("low"), F.get("r", until - 1)["close"].alias("close_price"), volume.alias("volume"))
+
+    return found.select("symbol", F.inline(F.transform(F.sequence(F.lit(0), F.size("firsts") - 1), bar)))
 
 
 def last_ticks(docs: DataFrame, doc: str = "json") -> DataFrame:
