@@ -343,3 +343,92 @@ def test_exact_quartiles_of_the_bands(spark):
         q = np.quantile([x[3] for x in mine], [0.25, 0.5, 0.75])
         assert limits[lang].word_bits_middle == pytest.approx(q[1]) and limits[lang].word_bits_up == pytest.approx(Q.ABOVE * (q[2] - q[0]) / 1.349)
         assert limits[lang].typical_words == np.median([x[2] for x in mine])
+
+
+def plain_features(text):
+    """FEATURES by the words and bytes of one text."""
+    data = text.encode()
+    words = [w.encode() for w in WORD.findall(text)]
+    n, size, lines = max(1, len(words)), max(1, len(data)), text.count("\n") + 1
+    length = [len(w) for w in words]
+    counts = collections.Counter(words)
+    _, _, _, dup, repeat = statistics(text)
+    share = lambda test: sum(map(test, data)) / size
+    return [
+        len(words), len(data), sum(length) / n, float(np.std(length)) if words else 0.0, max(length, default=0), sum(x == 1 for x in length) / n, len(counts) / n, max(counts.values(), default=0) / n, repeat / n, dup / lines, lines, len(words) / lines,
+        share(lambda c: 65 <= c <= 90), share(lambda c: 97 <= c <= 122), share(lambda c: 48 <= c <= 57), share(lambda c: c >= 128), share(lambda c: c in b".!?"), share(lambda c: c in b",;:"), share(lambda c: c == 33), share(lambda c: c == 124), share(lambda c: c in b"#*$%&<>=_~^@\\/{}[]+"), share(lambda c: c in b" \t\n\r\x0b\x0c"),
+    ]
+
+
+def test_features_of_the_classifier(rows):
+    texts = [t or "" for _, t in rows] + ["A!? b,c;\n\nA!? b,c;\n| x | x |", "É\té #1 {a} 42 42 42"]
+    data = [t.encode() for t in texts]
+    got = C.features(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    assert got.shape == (len(texts), len(C.FEATURES))
+    for t, row in zip(texts, got):
+        assert row == pytest.approx(plain_features(t), rel=1e-9, abs=1e-7)
+
+
+def blocks(r, depth, inside=False):
+    """Random blocks as (html, what they lay out): gaps (numbers) and lines, by the rules of the module's docstring."""
+    html_out, out = "", []
+    for _ in range(r.randrange(1, 4)):
+        word = f"w{r.randrange(1000)}"
+        kind = r.choice(["p", "div", "pre", "list", "hidden", "invisible", "heading", "details"] if depth else ["p", "hidden", "heading"])
+        if kind == "p":
+            html_out += f"<p> {word} \n <b>{word}</b>"
+            out += [2, f"{word} {word}", 2]
+        elif kind == "heading":
+            html_out += f"<h{depth + 1}>{word}</h{depth + 1}>"
+            out += [2, word, 2]
+        elif kind == "div":
+            inner, lines = blocks(r, depth - 1)
+            html_out += f"<div>{inner}</div>"
+            out += [1, *lines, 1]
+        elif kind == "pre":
+            html_out += f"<pre>\n  {word}\n\n {word}  x</pre>"
+            out += [2, f"  {word}", 1, "", 1, f" {word}  x", 2]
+        elif kind == "list":
+            inner, lines = items(r, depth - 1, nested=False)
+            html_out += inner
+            out += lines
+        elif kind == "details":
+            inner, _ = blocks(r, depth - 1)
+            html_out += f"<details><summary>{word}</summary>{inner}</details>"
+            out += [1, word, 1]
+        else:
+            inner, _ = blocks(r, max(0, depth - 1))
+            html_out += f"<div {r.choice(['hidden', 'style=display:none'])}>{inner}</div>" if kind == "hidden" else f"<div style='visibility: hidden'><i>{word}</i></div>"
+            out += [] if kind == "hidden" else [1]
+    return html_out, out
+
+
+def items(r, depth, nested):
+    ordered, start = r.random() < 0.5, r.randrange(1, 12)
+    html_out, out = f"<ol start={start}>" if ordered else "<ul>", [1 if nested else 2]
+    for k in range(r.randrange(1, 4)):
+        word = f"i{r.randrange(1000)}"
+        marker = f"{start + k}. " if ordered else "- "
+        html_out += f"<li>{word}"
+        out += [1, marker + word]
+        if depth and r.random() < 0.5:
+            inner, lines = items(r, depth - 1, nested=True)
+            html_out += inner
+            out += [" " * len(marker) + x if isinstance(x, str) else x for x in lines]
+        out += [1]
+        html_out += r.choice(["", "</li>"])
+    return html_out + ("</ol>" if ordered else "</ul>"), [*out, 1 if nested else 2]
+
+
+def test_random_blocks_and_lists():
+    r = random.Random(21)
+    for _ in range(400):
+        source, layout = blocks(r, 3)
+        lines, gap = [], 0
+        for x in layout:
+            if isinstance(x, int):
+                gap = max(gap, x)
+                continue
+            lines += [""] * (gap - 1) * bool(lines) + [x]
+            gap = 0
+        assert L.render(source).split("\n") == "\n".join(x.rstrip() for x in lines).strip("\n").split("\n"), source
