@@ -20,8 +20,9 @@ besides looked up without chance: with k edits allowed, one of k + 1 pieces of
 the item stands unchanged in any match, so pieces are looked up at every word.
 Items under `SIZES[0]` words have no window, and pieces only.
 
-Candidates pass a bound that loses none (a match within k edits has m - k of the
-item's words nearby), then the exact edit distance of the item to the best
+Candidates pass bounds that lose none (a match within k edits has m - k of the
+item's words nearby; counted for all candidates at once by a few bits of each
+word, then exactly for those that are left), then the exact edit distance of the item to the best
 stretch of text around the window decides.
 
 Items travel to the tasks as key tables, in slices of at most `SLICE_ITEMS`, so
@@ -35,6 +36,7 @@ of one to four words must occur as they are; repeated rows each have their own;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from math import ceil, log
 
 import numpy as np
@@ -48,7 +50,7 @@ from tickloom.llm.tables import keyed
 
 SIMILARITY, STRIDE, SAMPLED = 0.8, 8, 3
 SIZES = (8, 12, 18, 27, 40)
-PIECED, BLOCKS, SLICE_ITEMS = 25, 8, 5000
+PIECED, BLOCKS, SLICE_ITEMS, MEMBERS = 25, 8, 5000, 4096
 #: What is aimed at, and the share of copies that one repetition more leaves unfound: at 25 words with 20 % edits, the worst size without pieces, 1, 2, 4, 6 and 8 repetitions missed 82, 33, 12, 4 and 3 of 300 copies.
 RECALL, MISSED = 0.99, 0.55
 
@@ -135,6 +137,7 @@ class Items:
                 self.item_ids.append(i)
                 self.counts.append(np.unique(ids, return_counts=True))
                 self.most.append(int(np.floor(len(ids) * (1 - similarity) + 1e-9)))
+        self.size, self.edits = np.array([len(w) for w in self.words], np.int64), np.array(self.most, np.int64)
         self.steps = plan(repetitions)
         self.tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
         self.pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -148,7 +151,7 @@ class Items:
             self.pieces[n] = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows], np.int32)
         if all(len(w) < SIZES[0] for w in self.words):
             return
-        size = np.array([len(w) for w in self.words])
+        size = self.size
         begin = np.cumsum(size) - size
         ids = np.append(np.concatenate(self.words), np.uint64(0))
         each = [offsets_of(n) if n >= SIZES[0] else np.zeros(0, np.int64) for n in size.tolist()]
@@ -165,6 +168,15 @@ class Items:
             self.tables.append(row)
 
 
+    @cached_property
+    def members(self) -> np.ndarray:
+        """By item, whether one of its words ends in these bits; made where it is used, not sent."""
+        out = np.zeros((len(self.words), MEMBERS), bool)
+        for k, ids in enumerate(self.words):
+            out[k, (ids & np.uint64(MEMBERS - 1)).astype(np.int64)] = True
+        return out
+
+
 def best_stretch(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     """Least word edits of `item` to any stretch of `region`, and where that stretch ends (exact, free ends)."""
     n = len(region)
@@ -193,12 +205,12 @@ def find(items: Items, flat: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
     place = np.arange(len(owner)) - first[owner]
     at = np.flatnonzero((place % STRIDE == 0) & (first[owner + 1] - np.arange(len(owner)) >= SIZES[0]))
     stop = first[owner[at] + 1]
-    found = set()
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for n, (table, who, off) in items.pieces.items():
         start, pick = paired(table, tx.rolling(ids[:-1], n, _BASE))
         inside = owner[start] == owner[start + n - 1]
         start, pick = start[inside], pick[inside]
-        found.update(zip(owner[start].tolist(), who[pick].tolist(), (start - off[pick]).tolist()))
+        found.append((owner[start], who[pick], start - off[pick]))
     for r, tables in enumerate(items.tables if len(at) else ()):
         for c, key in enumerate(keys(ids, at, stop, r, items.steps[r])):
             table, who, off = tables[c]
@@ -206,26 +218,38 @@ def find(items: Items, flat: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
                 continue
             hit, pick = paired(table, key)
             start = at[hit]
-            found.update(zip(owner[start].tolist(), who[pick].tolist(), (start - off[pick]).tolist()))
+            found.append((owner[start], who[pick], start - off[pick]))
+    row, item, begin = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    order = np.lexsort((begin, item, row))
+    row, item, begin = row[order], item[order], begin[order]
+    new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0) | (np.diff(begin, prepend=0) > items.size[item]))
+    until = begin[np.append(new[1:], len(begin)) - 1] if len(new) else begin
+    row, item, begin = row[new], item[new], begin[new]  # runs of candidates, from `begin` to `until`
+    most = items.edits[item]
+    lo = np.maximum(begin - most, first[row])
+    hi = np.minimum(until + items.size[item] + most, first[row + 1])
     hits = []
-    last: tuple[int, int, int] | None = None  # row, item and latest begin of the open run of candidates
-    for row, k, begin in [*sorted(found), (n_rows, -1, 0)]:
-        if last is not None and (row, k) == last[:2] and begin - last[2] <= len(items.words[k]):
-            last = (row, k, begin)
-            continue
-        if last is not None:
-            r, i, until = last
-            item, most = items.words[i], items.most[i]
-            lo = max(since - most, int(first[r]))
-            region = ids[lo : min(until + len(item) + most, int(first[r + 1]))]
-            if shared_words(region, items.counts[i]) >= len(item) - most:
-                edits, end = best_stretch(item, region)
-                if edits <= most:
-                    hits.append((r, i, edits, lo + end - int(first[r])))
-        last, since = (row, k, begin), begin
+    for q in likely(items, ids, lo, hi, item).tolist():
+        k, region = int(item[q]), ids[lo[q] : hi[q]]
+        if shared_words(region, items.counts[k]) >= len(items.words[k]) - items.most[k]:
+            edits, end = best_stretch(items.words[k], region)
+            if edits <= items.most[k]:
+                hits.append((int(row[q]), k, edits, int(lo[q] + end - first[row[q]])))
     return hits
 
 
+def likely(items: Items, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
+    """The regions ids[lo:hi] that may share enough words with their item: words of theirs that are the item's, by `items.members`, repeats included, so never too few."""
+    out = []
+    for k in range(0, len(lo), at_once):
+        a, n, i = lo[k : k + at_once], np.maximum(hi[k : k + at_once] - lo[k : k + at_once], 0), item[k : k + at_once]
+        edge = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat(a - edge[:-1], n) + np.arange(edge[-1])
+        total = np.concatenate([[0], np.cumsum(items.members[np.repeat(i, n), (ids[place] & np.uint64(MEMBERS - 1)).astype(np.int64)])])
+        out.append(k + np.flatnonzero(total[edge[1:]] - total[edge[:-1]] >= items.size[i] - items.edits[i]))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def shared_words(region: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> int:
     """How many of the item's words the region has, each at most as often as the item: at least m - edits for a match."""
     words, often = counts
