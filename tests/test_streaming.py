@@ -43,7 +43,7 @@ def files_read(df):
 def test_table_of_batches(spark, tmp_path):
     """Replays change nothing, reads stay small, untouched parts aren't rewritten, old folders go."""
     rows = A.rewrites(spark, DATA)
-    path, n = str(tmp_path / "t"), 12
+    path, n = str(tmp_path / "t"), 5
     part = F.date_format("date", "yyyy-MM-dd")
     for k in range(n):
         batch = rows.where(F.minute("fetched_at") % n == k)

@@ -130,6 +130,9 @@ def jdbc_url(spark: SparkSession) -> str:
     url = spark.conf.get("spark.tickloom.jdbc.url", None)
     if url is None and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.tickloom.jdbc.url to a database that the executors reach")
+    if url is None:
+        system = spark._jvm.java.lang.System
+        system.setProperty("derby.stream.error.file", f"{system.getProperty('java.io.tmpdir')}/derby.log")  # not in the working folder
     return url or "jdbc:derby:memory:tickloom;create=true"
 
 
