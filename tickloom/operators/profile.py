@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import expr as X
 from tickloom.operators.indicators import atr_wilder
 from tickloom.schemas import ATR_BARS, BODY_WEIGHT, EXTREME_ATR, SIGMA_TICKS, TICK
+from tickloom.session import stored
 
 REQUIRED = ("open", "high", "low", "close", "volume")
 
@@ -175,7 +176,7 @@ def value_area(profile: DataFrame, share: float = 0.7) -> DataFrame:
     equal buckets, of which the last one taken may be any. The windows of a symbol
     hold its runs and spill; there is no array of prices.
     """
-    steps = _as_runs(profile)
+    steps = stored(_as_runs(profile))  # read three times
     size = F.col("hi") - F.col("lo") + 1
     top = point_of_control(steps).join(steps.groupBy("symbol").agg(F.sum(F.col("volume") * size).alias("total")), "symbol")
     near = steps.join(top, "symbol").where("total > 0")
