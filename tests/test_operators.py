@@ -6,6 +6,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.functions import expr as X
 from tickloom.operators import bars as B
 from tickloom.operators import gex as G
 from tickloom.operators import order, profile, series
@@ -138,6 +139,15 @@ def test_empty_inputs(spark):
     assert B.trim_period(none, "5d").count() == 0 and B.trim_period(none, "max") is none
 
 
+def test_logarithms_and_rounding_of_what_is_not_finite(spark):
+    inf, values = float("inf"), [0.0, -1.0, -2.0, 1.0, 3e18, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = df.select("i", X.rounded(X.ln(F.col("v")), 6).alias("ln"), X.rounded(X.log1p(F.col("v")), 6).alias("log1p"), X.rounded("v", 6).alias("v")).orderBy("i").collect()
+    assert [str(r.ln) for r in got] == [str(-inf), "nan", "nan", "0.0", "42.545144", str(inf), "nan", "None"]
+    assert [str(r.log1p) for r in got] == ["0.0", str(-inf), "nan", "0.693147", "42.545144", str(inf), "nan", "None"]
+    assert [str(r.v) for r in got] == ["0.0", "-1.0", "-2.0", "1.0", "3e+18", "inf", "nan", "None"]
+
+
 def test_everything_else_works_without_the_optional_parts():
     code = "import sys; sys.modules['tickloom.llm'] = None; sys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e; q = e.queries(); assert 'key_levels' in q and not any(x.startswith('op') for x in q) and 'pipeline' not in e.oracle_sql()"
     import os

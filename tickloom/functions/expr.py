@@ -13,10 +13,21 @@ LOG_DATES = ("yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ssXX", "yyyy-MM-dd HH:m
 
 
 def rounded(x: Column | str, places: int = 2) -> Column:
-    """Half up, by floor: the same on every engine, unlike round() on doubles."""
+    """Half up, by floor: the same on every engine, unlike round() on doubles. What is too large to have a fraction, infinite or no number stays (floor() gives a long)."""
     x = F.col(x) if isinstance(x, str) else x
     scale = F.lit(float(10**places))
-    return F.floor(x * scale + F.lit(0.5)).cast("double") / scale
+    up = (x * scale + F.lit(0.5)).cast("double")
+    return F.when(F.abs(up) < F.lit(2.0**53), F.floor(up).cast("double")).otherwise(up) / scale
+
+
+def ln(x: Column) -> Column:
+    """Natural logarithm: -Infinity at 0 and NaN below, where the built-in gives null."""
+    return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.ln(x))
+
+
+def log1p(x: Column) -> Column:
+    """ln(1 + x), accurate near 0; -Infinity at -1 and NaN below."""
+    return F.when(x == -1, F.lit(float("-inf"))).when(x < -1, F.lit(float("nan"))).otherwise(F.log1p(x))
 
 
 def ratio(a: Column, b: Column) -> Column:

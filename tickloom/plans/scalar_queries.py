@@ -96,7 +96,7 @@ def _(spark, d):
 def _(spark, d):
     v = F.col("value")
     six = lambda c, n: X.rounded(c, 6).alias(n)
-    return A.table(spark, d, "events").select("event_id", six(X.norm_pdf(v / 100), "pdf"), X.rounded(v).alias("round2"), X.rounded(v, 4).alias("round4"), F.least(F.greatest(v, F.lit(10.0)), F.lit(400.0)).alias("clipped"), six(F.ln(v), "ln"), six(F.log1p(v), "log1p"), six(F.sin(v), "sin"), six(F.sqrt(v), "sqrt"), F.signum(v - 200).alias("sign"), six(F.pow(v / 100, F.lit(3)), "cube"))
+    return A.table(spark, d, "events").select("event_id", six(X.norm_pdf(v / 100), "pdf"), X.rounded(v).alias("round2"), X.rounded(v, 4).alias("round4"), F.least(F.greatest(v, F.lit(10.0)), F.lit(400.0)).alias("clipped"), six(X.ln(v), "ln"), six(X.log1p(v), "log1p"), six(F.sin(v), "sin"), six(F.sqrt(v), "sqrt"), F.signum(v - 200).alias("sign"), six(F.pow(v / 100, F.lit(3)), "cube"))
 
 
 @query("fn_median_mean", f"SELECT event_type, {r6('quantile_cont(value, 0.5)')} AS median, {r6('coalesce(avg(value), 0)')} AS mean FROM events GROUP BY event_type")
