@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tickloom.plans import adapters as A
 from tickloom.plans import catalog
-from tickloom.sources import paged
+from tickloom.sources import database_files, paged
+from tickloom.sources import readers as R
 from tickloom.sources.readers import live_minutes
 
 DATA = "/root/testdata/sf0.001"
@@ -72,6 +73,29 @@ def test_database_reads_push_filters_and_split(spark):
     assert df.rdd.getNumPartitions() == 4 and df.count() > 0
 
 
+def test_a_cluster_without_a_server_reads_database_files(spark, monkeypatch):
+    names = ("src_jdbc_bars", "src_jdbc_between")
+    want = {n: sorted(map(tuple, catalog.QUERIES[n](spark, DATA).collect())) for n in names}
+    monkeypatch.setattr(R, "jdbc_url", lambda spark: None)
+    for n in names:
+        df = catalog.QUERIES[n](spark, DATA)
+        assert sorted(map(tuple, df.collect())) == want[n] and want[n]
+        assert df.rdd.getNumPartitions() <= 3  # files out of the range aren't opened
+
+
+def test_database_files_keep_values_and_filter(spark, tmp_path):
+    values = [(1, "a'b", 1.5, 7), (2, None, float("nan"), 3), (3, "B", float("inf"), None), (None, "b", None, 2)]
+    rows = spark.createDataFrame(values, 'id long, `sym"bol` string, x double, s long').withColumn("at", F.timestamp_seconds("s"))
+    files = database_files.write_files(rows, str(tmp_path / "db"), "at", 3)
+    got = database_files.read_files(spark, str(tmp_path / "db"), rows.schema, "at", files)
+    text = lambda df: sorted(map(str, df.collect()))
+    assert text(got) == text(rows)
+    for condition in ("at >= timestamp_seconds(3)", "at < timestamp_seconds(3)", "at is null", "`sym\"bol` = 'B'", "`sym\"bol` > 'a'", "id <= 2 and x > 1", "x = 'NaN'"):
+        assert text(got.where(condition)) == text(rows.where(condition)), condition
+    assert database_files.write_files(rows.where("false"), str(tmp_path / "none"), "at", 3) == []
+    assert database_files.read_files(spark, str(tmp_path / "none"), rows.schema, "at", []).count() == 0
+
+
 def test_parquet_reads_push_a_range(spark):
     text = plan(catalog.QUERIES["src_parquet"](spark, DATA))
     assert "GreaterThanOrEqual(o_orderdate" in text and "EqualTo(o_orderstatus,O)" in text

@@ -10,7 +10,7 @@ from tickloom.plans import adapters as A
 from tickloom.plans.feature_queries import r6, six
 from tickloom.plans.registry import query
 from tickloom.session import fresh_path
-from tickloom.sources import paged
+from tickloom.sources import database_files, paged
 from tickloom.sources import readers as R
 
 TWO = "floor({0} * 100 + 0.5) / 100"
@@ -139,6 +139,9 @@ def _database(spark, d):
     from tickloom.sources.sinks import write_jdbc_bars
 
     url, rows = R.jdbc_url(spark), A.bars_1h(spark, d).withColumn("date", F.col("date").cast("timestamp"))
+    if url is None:
+        path = fresh_path(spark)
+        return database_files.read_files(spark, path, rows.schema, "date", database_files.write_files(rows, path, "date", 4))
     first, last = rows.agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
     name = f"bars_{uuid.uuid4().hex}"
     write_jdbc_bars(rows, url, name)
