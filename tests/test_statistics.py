@@ -98,6 +98,29 @@ def test_quantiles_against_numpy(spark, monkeypatch, few):
     assert len(none) == 1 and none[0].mid is None and Q.quantiles(df.where("false"), "x", shares, ["g"]).count() == 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_correlations_of_pairs_against_numpy(spark):
+    r, inf = np.random.default_rng(5), float("inf")
+    a = r.normal(1e9, 1, 400)
+    table = np.column_stack([a, a * 2 + r.normal(0, 1, 400), -a + 3, r.normal(0, 1, 400), np.full(400, 0.1)])
+    data = [[None if (i * 7 + k * 3) % 11 == 0 else float(v) for k, v in enumerate(row)] + [float(i) if i < 200 else None, None if i < 200 else 1.0, inf if i == 5 else float(i)] for i, row in enumerate(table)]
+    names = list("abcdefgh")
+    df = spark.createDataFrame(data, ", ".join(f"{c} double" for c in names)).repartition(5)
+    got = {(x.a, x.b): x.r for x in E.correlation_pairs(df, names).collect()}
+    want = {}
+    for i, j in itertools.combinations(range(7), 2):
+        both = [(x[i], x[j]) for x in data if x[i] is not None and x[j] is not None]
+        if both and np.std([x for x, _ in both]) > 1e-9 and np.std([y for _, y in both]) > 1e-9:
+            want[names[i], names[j]] = np.corrcoef(np.array(both).T)[0, 1]
+    assert {k for k in got if k[1] != "h"} == set(want) and all(got[k] == pytest.approx(v, abs=1e-7) for k, v in want.items())
+    assert {k[0]: math.isnan(v) for k, v in got.items() if k[1] == "h"} == {"a": True, "b": True, "c": True, "d": False, "f": True}  # d is null where h is infinite
+    assert {(x.a, x.b) for x in E.correlation_pairs(df, names[:4], above=0.5).collect()} == {k for k, v in want.items() if abs(v) > 0.5 and k[1] < "e"}
+    assert plan_of(E.correlation_pairs(df, names)).count("corr(") == 0  # no aggregate for each pair
+
+
 def test_describe_of_a_column(spark):
     one = E.describe(spark.range(101).select(F.col("id").cast("double").alias("x")), "x").first()
     assert (one.n, one["mean"], one.q25, one.q50, one.q75, one["max"]) == (101, 50.0, 25.0, 50.0, 75.0, 100.0)
