@@ -98,6 +98,24 @@ def test_quantiles_against_numpy(spark, monkeypatch, few):
     assert len(none) == 1 and none[0].mid is None and Q.quantiles(df.where("false"), "x", shares, ["g"]).count() == 0
 
 
+def test_rows_between_the_same_thresholds_are_attributed_once(forest, monkeypatch):
+    model, _, _ = forest
+    n = trees.nodes(model)
+    r = np.random.default_rng(3)
+    x = np.repeat(r.uniform(-1, 11, (40, 4)), 50, axis=0)
+    x[:200, 0] = r.choice(n.threshold[n.feature == 0], 200)  # a threshold belongs to the side below it
+    want = sum(trees.leaf_attributions(x, *trees.boxes(n, 4, t)) for t in trees.blocks_of_trees(n))
+    asked, plain = [], trees.leaf_attributions
+    monkeypatch.setattr(trees, "leaf_attributions", lambda rows, *a: asked.append(len(rows)) or plain(rows, *a))
+    done = {}
+    assert trees.cell_attributions(n, x, done) == pytest.approx(want, abs=1e-12)
+    assert sum(asked) == len(done) < 300
+    assert trees.cell_attributions(n, x[::-1], done) == pytest.approx(want[::-1], abs=1e-12) and sum(asked) == len(done)
+    monkeypatch.setattr(trees, "CELLS", 10)  # more cells than are remembered
+    assert trees.cell_attributions(n, x, done) == pytest.approx(want, abs=1e-12)
+    assert trees.cell_attributions(n, x[:0], done).shape == (0, 4)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().toString()
 
