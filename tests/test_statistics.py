@@ -120,6 +120,16 @@ def plan_of(df):
     return df._jdf.queryExecution().toString()
 
 
+def test_numbers_without_a_second_shuffle(spark):
+    from tickloom.operators.order import numbered
+
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v")).repartition(9)
+    got = numbered(rows, ["v"])
+    assert [(r.v, r.row) for r in got.orderBy("v").collect()] == [(i, i) for i in range(5000)]
+    assert "Window" not in plan_of(got) and "hashpartitioning(_part" not in plan_of(got)
+    assert numbered(rows.where("false"), ["v"]).count() == 0
+
+
 def test_correlations_of_pairs_against_numpy(spark):
     r, inf = np.random.default_rng(5), float("inf")
     a = r.normal(1e9, 1, 400)
