@@ -171,3 +171,19 @@ def test_spellings_written_by_hand(spark):
         touched += any(tagger.KINDS[k] == kind and s < at + len(value) and e > at for s, k, e in base + more)
     assert len(spellings.VALUES) >= 100 and right >= 0.55 * len(spellings.VALUES) and touched >= 0.6 * len(spellings.VALUES)
     assert sum(any(x) for x in P.all_spans(spellings.OTHERS, tagger.trained())) <= 3
+
+
+def test_windows_without_a_possible_value_are_left_out(monkeypatch):
+    from tickloom.llm import op07_pii as P
+
+    model, prose = P.trained(), "Das ist ein langer Satz, that says nothing at all. " * 60
+    texts = [prose, prose[:1500] + " write to jo.doe at mail dot example dot org soon " + prose[1500:], prose[:700] + "call +49 (30) 1234,5678 or 10 . 0 . 0 . 7 now" + prose[700:], "", "a", "at . ", prose + "4111-1111-1111-1111"]
+    read, plain = [], model.decode
+    monkeypatch.setattr(model, "decode", lambda x, size: read.append(len(x)) or plain(x, size))
+    got = P.all_spans(texts, model)
+    few = sum(read)
+    monkeypatch.setattr(P, "windows_to_read", P.windows)
+    assert P.all_spans(texts, model) == got and any(more for _, more in got)
+    assert few < 20 < sum(read) - few
+    for value in ("ab@cd.ef", "ab at cd dot ef", "AB AT cd . ef", "1.2.3.4"):
+        assert P.may_hold(value)

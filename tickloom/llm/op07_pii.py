@@ -1,8 +1,9 @@
 """Personal data in texts: base patterns, and spans that a character BiLSTM with a CRF adds.
 
 Every whole text is scanned where it is read. The base patterns are exact. The
-tagger reads every character, in windows of `WINDOW` that overlap by `OVERLAP`;
-windows of a batch run through the network together. Its spans are put into the
+tagger reads windows of `WINDOW` that overlap by `OVERLAP`; left out are those
+in which, and in whose neighbours, no value could pass the test below: they hold
+no digit, and not both an at and a dot. Windows of a batch run through the network together. Its spans are put into the
 coordinates of the document; of overlapping ones the span that no window edge
 cuts wins, then the longer, then the earlier. Spans are trimmed to what a value
 can begin and end with, and dropped if they fail what makes a value of the kind
@@ -39,6 +40,9 @@ NOT_DIGITS = re.compile(r"[^0-9]+")
 AT = re.compile(r"@|(?<![a-z])at(?![a-z])", re.I)
 DOT = re.compile(r"(?<=\S)\.(?=\S)|\s\.\s|(?<![a-z])dot(?![a-z])", re.I)
 LETTERS = re.compile(r"[^\W\d_]")
+#: What every e-mail that passes holds, wherever it is cut out.
+SOME_AT = re.compile("@|at", re.I)
+SOME_DOT = re.compile(r"\S\.\S|\s\.\s|dot", re.I)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -69,10 +73,24 @@ def windows(text: str) -> list[tuple[int, int]]:
     return [(at, min(at + WINDOW, len(text))) for at in range(0, max(len(text) - OVERLAP, min(len(text), 1)), WINDOW - OVERLAP)]
 
 
+def may_hold(text: str) -> bool:
+    """False only where no part of the text is a value that passes: one needs a digit, or (an e-mail) an at and a dot."""
+    return bool(DIGITS.search(text) or (SOME_AT.search(text) and SOME_DOT.search(text)))
+
+
+def windows_to_read(text: str) -> list[tuple[int, int]]:
+    """The windows that may hold a value, and their neighbours, whose spans compete with theirs; what the network finds in the others would be dropped."""
+    if not may_hold(text):
+        return []
+    every = windows(text)
+    live = [False, *(may_hold(text[a:b]) for a, b in every), False]
+    return [w for k, w in enumerate(every) if live[k] or live[k + 1] or live[k + 2]]
+
+
 def tagged(texts: list[str], model: Tagger, batch: int = 512) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) of what the tagger finds in each text, reconciled over its windows."""
     coded = [codes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)) for text in texts]
-    plan = sorted(((i, *w) for i, text in enumerate(texts) for w in windows(text)), key=lambda w: w[2] - w[1])  # of like lengths together
+    plan = sorted(((i, *w) for i, text in enumerate(texts) for w in windows_to_read(text)), key=lambda w: w[2] - w[1])  # of like lengths together
     found: list[list[tuple]] = [[] for _ in texts]
     for at in range(0, len(plan), batch):
         part = plan[at : at + batch]
