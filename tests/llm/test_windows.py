@@ -186,3 +186,23 @@ def test_many_repeated_rows(spark):
         for unit, size in (("word", 20), ("line", 3)):
             emitted = window_dedup.keyed(df).select("id", "key", "bytes", "text").mapInArrow(window_dedup._emit(unit, size), window_dedup.ROWS)
             assert emitted.where("hashes is not null").count() < 200
+
+
+def test_memory_of_sketching_and_ranking():
+    """Bytes at once of a task, by the hash: 50 and 66 before."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tickloom.llm import sketch, window_dedup
+
+    n = 3_000_000
+    h = np.random.default_rng(1).integers(0, 2**62, n).astype(np.uint64)
+    sketch.Sketch._open["earlier"] = np.zeros((2, 8), np.uint8)
+    tracemalloc.start()
+    list(sketch._fill(lambda batch: [h], 28)(iter([None])))
+    assert tracemalloc.get_traced_memory()[1] < 35 * n and not sketch.Sketch._open
+    tracemalloc.reset_peak()
+    late = window_dedup._later(h, h.astype(np.uint32), h.view(np.int64), h.astype(np.int32))
+    assert tracemalloc.get_traced_memory()[1] < 55 * n and not late.any()
+    tracemalloc.stop()
