@@ -116,6 +116,24 @@ def test_rows_between_the_same_thresholds_are_attributed_once(forest, monkeypatc
     assert trees.cell_attributions(n, x[:0], done).shape == (0, 4)
 
 
+def test_walk_forward_trains_on_the_rows_before(spark):
+    """Each fold's fit gets the rows before its test stretch, in parts of one shuffle."""
+    from pyspark.ml.regression import LinearRegression
+
+    fitted = []
+
+    class Watched(LinearRegression):
+        def fit(self, rows, params=None):
+            fitted.append((rows.count(), rows.agg(F.max("id")).first()[0], plan_of(rows).count("Generate")))
+            return super().fit(rows, params)
+
+    rows = spark.range(300).select("id", F.sin("id").alias("x"), (F.col("id") * 2.0).alias("target_return")).repartition(7)
+    out = E.walk_forward(rows, ["x"], lambda: Watched(featuresCol="_x"), ["id"], n_folds=3, test_rows=20)
+    assert fitted == [(240, 239, 0), (260, 259, 0), (280, 279, 0)]
+    got = sorted((r.fold, r.row, r.id, r.y_true) for r in out.collect())
+    assert got == [((i - 240) // 20, i, i, i * 2.0) for i in range(240, 300)]
+
+
 def plan_of(df):
     return df._jdf.queryExecution().toString()
 
