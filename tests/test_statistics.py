@@ -248,3 +248,82 @@ def test_bootstrap_draws_by_counter(spark):
     assert [round(x, 9) for x in a] == [round(x, 9) for x in b] and a.ic_lower < a.ic_mean < a.ic_upper
     with pytest.raises(ValueError):
         E.bootstrap_ic(rows.limit(20), ["id"])
+
+
+def by_brute_force(cells, n, s, depth, leaf):
+    """Value of each cell in one tree on one feature, split by trying every place."""
+    out = {}
+
+    def down(part, level):
+        whole = sum(s[c] for c in part) / sum(n[c] for c in part)
+        gains = [(sum(n[c] for c in half) and sum(s[c] for c in half) ** 2 / sum(n[c] for c in half)) for k in range(1, len(part)) for half in (part[:k], part[k:])]
+        fits = [k for k in range(1, len(part)) if min(sum(n[c] for c in half) for half in (part[:k], part[k:])) >= leaf]
+        best = max(fits, key=lambda k: (gains[2 * k - 2] + gains[2 * k - 1], -k), default=None)
+        if best is None or level == depth or gains[2 * best - 2] + gains[2 * best - 1] - whole**2 * sum(n[c] for c in part) < 1e-9:
+            return out.update(dict.fromkeys(part, whole))
+        down(part[:best], level + 1), down(part[best:], level + 1)
+
+    down(list(cells), 0)
+    return [out[c] for c in cells]
+
+
+def test_trees_grow_as_by_brute_force():
+    from tickloom.operators import forest as R
+
+    r = np.random.default_rng(3)
+    n = r.integers(0, 9, (6, R.BINS)).astype(float)
+    s = np.round(n * r.normal(0, 5, (6, R.BINS)), 2)
+    for depth, leaf in ((30, 10), (2, 1), (0, 1)):
+        nodes, values = R.grow(n, s, 20, 1, depth, leaf, 7)
+        assert values == pytest.approx(np.array([by_brute_force(range(R.BINS), n[k], s[k], depth, leaf) for k in range(6)]), abs=1e-9)
+        assert set(nodes["tree"]) == set(range(20, 26)) and nodes["rows"].min() >= leaf
+    one, two = R.grow(n, s, 20, 1, 30, 10, 7)[1], R.grow(n[3:], s[3:], 23, 1, 30, 10, 7)[1]
+    assert (one[3:] == two).all()  # whatever trees are grown beside it
+    drawn = R.draws(np.arange(4000), 50, 42)
+    assert abs(drawn.mean() - 1) < 0.01 and abs(drawn.var() - 1) < 0.02 and abs(np.corrcoef(drawn.T)[0, 1]) < 0.06
+    assert (R.draws(np.arange(4000)[::-1], 50, 42)[::-1] == drawn).all() and (R.draws(np.arange(4000), 50, 43) != drawn).any()
+
+
+def test_forest_of_two_features(spark):
+    """As near to the truth as Spark's own, the same whatever the partitions, and attributed exactly."""
+    assembler = VectorAssembler(inputCols=["a", "b"], outputCol="_x")
+    rows = spark.range(3000).select(F.col("id").alias("row"), (F.col("id") * 7919 % 3001 / 3001).alias("a"), (F.col("id") * 104729 % 2999 / 2999).alias("b"))
+    rows = assembler.transform(rows.withColumn("y", F.when(F.col("a") > 0.5, F.col("b") * 4).otherwise(F.sin(F.col("a") * 9)) + F.pmod(F.col("row") * 31, F.lit(17)) / 50))
+    ours = E.random_forest(trees=40)().setLabelCol("y").setPredictionCol("pred")
+    models = [ours.fit(rows.repartition(k)) for k in (1, 7)]
+    assert (models[0].values == models[1].values).all() and models[0].values.shape == (1024,)
+    error = lambda m: m.transform(rows).agg(F.avg(F.pow(F.col("y") - F.col("pred"), 2))).first()[0]
+    theirs = RandomForestRegressor(featuresCol="_x", labelCol="y", predictionCol="pred", numTrees=40, minInstancesPerNode=10, featureSubsetStrategy="sqrt", maxDepth=12, seed=5).fit(rows)
+    assert error(models[0]) < 1.3 * error(theirs) + 0.001
+    held_out = models[0].transform(rows).where("row % 100 = 0").select("row", "a", "b", "pred")
+    for r in trees.attributions(models[0], held_out, ["a", "b"]).collect():
+        assert r.base + sum(r.shap) == pytest.approx(r.pred, abs=1e-9)
+    ends = [2000, 2500]
+    first, second = ours.fit_before(rows, ends)
+    assert (first.values == ours.fit(rows.where("row < 2000")).values).all() and (second.values != first.values).any()  # nothing of the later rows
+
+
+def test_forest_of_odd_inputs(spark):
+    assembler = VectorAssembler(inputCols=["a"], outputCol="_x")
+    rows = assembler.transform(spark.range(400).select(F.col("id").alias("row"), (F.col("id") % 3).cast("double").alias("a"), F.when(F.col("id") % 3 == 1, 5.0).otherwise(1.0).alias("y")))
+    model = E.random_forest(trees=10)().setLabelCol("y").setPredictionCol("pred").fit(rows)
+    assert {(r.a, r.pred) for r in model.transform(rows).select("a", "pred").distinct().collect()} == {(0.0, 1.0), (1.0, 5.0), (2.0, 1.0)}
+    same = E.random_forest(trees=10)().setLabelCol("a").setPredictionCol("pred").fit(rows.where("a = 2"))
+    assert [r.pred for r in same.transform(rows.limit(1)).collect()] == [2.0] and len(same.nodes.tree) == 10
+    with pytest.raises(ValueError):
+        E.random_forest(trees=10)().setLabelCol("y").fit(rows.withColumn("y", F.lit(float("inf"))))
+    many = VectorAssembler(inputCols=["a", "y", "b"], outputCol="_x").transform(rows.drop("_x").withColumn("b", F.rand(1)))
+    spark_own = E.random_forest(trees=3)().setLabelCol("a").setPredictionCol("pred").fit(many)  # more features than cells allow
+    assert spark_own.getNumTrees == 3 and spark_own.getMaxDepth() == 30
+
+
+def test_registered_forests_are_whole(spark, monkeypatch):
+    """ml_rf and ml_walk_forward fit what the reference fits: 500 trees without a limit of depth."""
+    from tickloom.operators import forest as R
+    from tickloom.plans import catalog
+
+    fitted, fit = [], R.Forest.fit_before
+    monkeypatch.setattr(R.Forest, "fit_before", lambda self, rows, ends: fitted.append((self.trees, self.depth, self.leaf, len(ends))) or fit(self, rows, ends))
+    out = catalog.QUERIES["ml_walk_forward"](spark, "/root/testdata/sf0.001").collect()
+    assert len(out) == 500
+    assert fitted == [(500, 30, 10, 5)]
