@@ -317,6 +317,19 @@ def test_forest_of_odd_inputs(spark):
     assert spark_own.getNumTrees == 3 and spark_own.getMaxDepth() == 30
 
 
+def test_walk_forward_is_evaluated(spark):
+    rows = spark.range(200).select((F.col("id") / 50).cast("int").alias("fold"), F.col("id").alias("row"), F.sin("id").alias("y_true"), (F.sin("id") + F.cos(F.col("id") * 3)).alias("pred"))
+    got = E.evaluated(rows.repartition(3), ["row"]).orderBy("row").collect()
+    assert [r.row for r in got] == list(range(200))
+    y, p = (np.array([r[c] for r in got]) for c in ("y_true", "pred"))
+    low, mean, high = E.bootstrap_ic(rows, ["row"]).first()
+    for k, r in enumerate(got):
+        own = slice(k // 50 * 50, k // 50 * 50 + 50)
+        assert r.fold_ic_pearson == pytest.approx(np.corrcoef(y[own], p[own])[0, 1]) and r.fold_n_obs == 50 and r.n_obs == 200
+        assert r.fold_ic_spearman == pytest.approx(np.corrcoef(y[own].argsort().argsort(), p[own].argsort().argsort())[0, 1])
+        assert r.ic_pearson == pytest.approx(np.corrcoef(y, p)[0, 1]) and (r.ic_lower, r.ic_mean, r.ic_upper) == pytest.approx((low, mean, high))
+
+
 def test_registered_forests_are_whole(spark, monkeypatch):
     """ml_rf and ml_walk_forward fit what the reference fits: 500 trees without a limit of depth."""
     from tickloom.operators import forest as R
@@ -325,5 +338,5 @@ def test_registered_forests_are_whole(spark, monkeypatch):
     fitted, fit = [], R.Forest.fit_before
     monkeypatch.setattr(R.Forest, "fit_before", lambda self, rows, ends: fitted.append((self.trees, self.depth, self.leaf, len(ends))) or fit(self, rows, ends))
     out = catalog.QUERIES["ml_walk_forward"](spark, "/root/testdata/sf0.001").collect()
-    assert len(out) == 500
+    assert len(out) == 500 and {"fold_ic_pearson", "ic_pearson", "ic_lower", "ic_upper"} <= set(out[0].asDict())
     assert fitted == [(500, 30, 10, 5)]
