@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tickloom.llm import op01_decontam as D
 from tickloom.llm import op06_simhash as S
@@ -168,3 +169,14 @@ def test_slices_give_the_same(spark, monkeypatch, table):
     monkeypatch.setattr(D, "SLICE_ITEMS", 15)
     assert sorted(map(tuple, D.digest(table, bench).collect())) == whole
     assert D.clean_documents(table, bench).count() == table.count() - len({x[0] for x in whole})
+
+
+def test_links_are_never_sent_whole(spark):
+    """The grid has some 25 rows a fingerprint where the planner expects one: its join must not become a broadcast of them."""
+    fps = spark.range(4000).select(F.xxhash64("id").alias("fp"))
+    fps = fps.union(fps.limit(50).select(F.col("fp").bitwiseXOR(F.lit(5)).alias("fp"))).distinct().checkpoint()
+    found = S.links(fps)
+    pairs = {(r.u, r.v) for r in found.collect()}
+    assert len(pairs) == 50 and all(u < v and (u ^ v) == 5 for u, v in pairs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
