@@ -206,3 +206,14 @@ def test_memory_of_sketching_and_ranking():
     late = window_dedup._later(h, h.astype(np.uint32), h.view(np.int64), h.astype(np.int32))
     assert tracemalloc.get_traced_memory()[1] < 55 * n and not late.any()
     tracemalloc.stop()
+
+
+def test_hashes_of_anchors_are_spread():
+    """An anchor is the least of its neighbours; its hash must not be, or the sketch's first row holds them all in a small part."""
+    flat = np.random.default_rng(2).integers(97, 123, 400_000).astype(np.uint8)
+    offsets = np.arange(0, 400_001, 4000)
+    whole = op03_suffix.anchors(flat, offsets)
+    shares = np.bincount((whole[0] >> np.uint64(60)).astype(int), minlength=16) / len(whole[0])
+    assert len(whole[0]) > 5000 and shares.min() > 0.05 and shares.max() < 0.075
+    parts = [op03_suffix.anchors(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in tx.chunks(offsets, op03_suffix.CHUNK)]
+    assert len(parts) > 5 and (np.concatenate([p[0] for p in parts]) == whole[0]).all()  # however the text is cut into chunks
