@@ -217,3 +217,10 @@ def test_hashes_of_anchors_are_spread():
     assert len(whole[0]) > 5000 and shares.min() > 0.05 and shares.max() < 0.075
     parts = [op03_suffix.anchors(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in tx.chunks(offsets, op03_suffix.CHUNK)]
     assert len(parts) > 5 and (np.concatenate([p[0] for p in parts]) == whole[0]).all()  # however the text is cut into chunks
+
+
+def test_released_passes_batches_on():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"x": [k]}) for k in range(3)]
+    assert list(tx.released(lambda some: (b for b in some if b["x"][0].as_py() != 1))(iter(batches))) == [batches[0], batches[2]]
