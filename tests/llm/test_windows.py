@@ -224,3 +224,112 @@ def test_released_passes_batches_on():
 
     batches = [pa.RecordBatch.from_pydict({"x": [k]}) for k in range(3)]
     assert list(tx.released(lambda some: (b for b in some if b["x"][0].as_py() != 1))(iter(batches))) == [batches[0], batches[2]]
+
+
+def test_sketch_is_mapped_not_copied(spark, monkeypatch):
+    """Bytes that a worker needs to open a sketch of 16 MB: 48 million before."""
+    import tracemalloc
+
+    monkeypatch.setattr(sketch, "MIN_BITS", 26)
+    values = np.random.default_rng(3).integers(-(2**62), 2**62, 1000)
+    found = sketch.repeated_in_column(spark.createDataFrame([(int(v),) for v in np.concatenate([values, values[:300]])], "h long"))
+    tracemalloc.start()
+    kept = sketch.hits(found, values.view(np.uint64))
+    assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    tracemalloc.stop()
+    assert kept.tolist() == list(range(300))
+    monkeypatch.setattr(sketch.Sketch, "_mapped", lambda self: None)  # as where Spark encrypts the file
+    sketch.Sketch._open.clear()
+    assert (sketch.hits(found, values.view(np.uint64)) == kept).all()
+
+
+def test_memory_of_scanning_a_shared_anchor():
+    """2,000 contexts of one anchor: 126 MB at once before. What goes is checked string by string."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r, n = np.random.default_rng(1), 2000
+    core, contexts = r.integers(97, 123, 180).astype(np.uint8), []
+    for _ in range(n):
+        c = core.copy()
+        c[100 + r.integers(0, 80) :], c[: r.integers(0, 79)] = r.integers(97, 123, 2)
+        contexts.append(c.tobytes())
+    contexts = list(dict.fromkeys(contexts))
+    n = len(contexts)
+    again = np.flatnonzero(r.random(n) < 0.5)  # contexts that occur once more, later
+    ids = np.concatenate([r.permutation(n), 10_000 + again])
+    which = np.concatenate([np.arange(n), again])
+    zero, first = np.zeros(len(ids), int), np.arange(len(ids)) < n
+    columns = {"h": zero + 7, "h2": zero, "kind": (~first).astype(int), "c": which, "id": ids, "key": which, "bytes": zero + 180, "lo": zero, "n": zero + 180, "several": first & np.isin(which, again), "context": [contexts[k] if f else None for k, f in zip(which, first)]}
+    batch = pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns.values(), op03_suffix._PARTS)], schema=op03_suffix._PARTS)
+    tracemalloc.start()
+    out = list(op03_suffix._scan(100)(iter([batch])))
+    assert tracemalloc.get_traced_memory()[1] < 80_000_000
+    tracemalloc.stop()
+    got = {}
+    for b in out:
+        for i, s in zip(b["id"].to_pylist(), b["span"].to_pylist()):
+            got.setdefault(i, np.zeros(180, bool))[s & op03_suffix._LOW : (s & op03_suffix._LOW) + (s >> 32)] = True
+    seen = {}
+    for k in np.argsort(ids):
+        text, gone = contexts[which[k]], np.zeros(180, bool)
+        for at in range(81):
+            if seen.setdefault(text[at : at + 100], (ids[k], at)) != (ids[k], at):
+                gone[at : at + 100] = True
+        assert (got.get(ids[k], np.zeros(180, bool)) == gone).all()
+
+
+def test_tasks_give_back_rows_in_pieces(monkeypatch):
+    """A batch of texts isn't answered by one of all their contexts, which each side would hold whole."""
+    import pyarrow as pa
+
+    class Every:
+        def maps(self):
+            return np.full((2, 1 << 17), 255, np.uint8)
+
+        bits = 20
+
+    r = np.random.default_rng(5)
+    texts = [r.integers(97, 123, 4000).astype(np.uint8).tobytes().decode() for _ in range(60)]
+    ids = np.arange(len(texts))
+    docs = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(np.full(len(texts), 4000, np.int32)), pa.array(texts)], names=["id", "key", "bytes", "text"])
+    whole = pa.Table.from_batches(op03_suffix._contexts(Every(), 100, False)(iter([docs])))
+    monkeypatch.setattr(op03_suffix, "PIECE", 500)
+    rows = list(op03_suffix._contexts(Every(), 100, False)(iter([docs])))
+    assert len(whole) > 5000 and max(b.num_rows for b in rows) <= 500 and pa.Table.from_batches(rows).equals(whole.combine_chunks())
+    for hot in (False, True):
+        wanted = [[{"h": h, "c": c, "at": at, "several": False, "hot": hot} for h, c, i, at in zip(*(whole[x].to_pylist() for x in ("h", "c", "id", "at"))) if i == k] for k in ids.tolist()]
+        kind = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("at", pa.int64()), ("several", pa.bool_()), ("hot", pa.bool_())]))
+        parts = list(op03_suffix._gathered(100, False)(iter([docs.append_column("wanted", pa.array(wanted, kind))])))
+        assert max(b.num_rows for b in parts) <= 500
+        for i, lo, n, text in zip(*(pa.Table.from_batches(parts)[x].to_pylist() for x in ("id", "lo", "n", "context"))):
+            assert (text is None and n == 100) if hot else text.decode() == texts[i][lo : lo + n]
+        assert sum(b.num_rows for b in parts) == (sum(x["at"] >> 32 for w in wanted for x in w) - 99 * len(whole) if hot else len(whole))
+
+
+def test_merged_spans():
+    span = lambda *rows: tuple(np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
+    merged = lambda *rows: list(zip(*(x.tolist() for x in op03_suffix._merged(*span(*rows)))))
+    assert merged() == []
+    assert merged((1, 5, 9), (0, 7, 9), (0, 0, 4), (0, 1, 3), (0, 4, 6), (1, 9, 9)) == [(0, 0, 6), (0, 7, 9), (1, 5, 9)]
+
+
+def test_gathering_keeps_nothing():
+    """A worker process stays for later tasks: each 10,000 gathered contexts left 2 MB in it."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 10_000
+    wanted = [[{"h": 1, "c": k, "at": 120 << 32 | k, "several": False, "hot": False} for k in range(n)]]
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("at", pa.int64()), ("several", pa.bool_()), ("hot", pa.bool_())]))
+    text = "".join(map(str, range(n)))
+    one = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([len(text)], pa.int32()), pa.array([text]), pa.array(wanted, kind)], names=["id", "key", "bytes", "text", "wanted"])
+    tracemalloc.start()
+    kept = []
+    for _ in range(3):
+        assert sum(b.num_rows for b in op03_suffix._gathered(100, False)(iter([one]))) == n
+        kept.append(tracemalloc.get_traced_memory()[0])
+    tracemalloc.stop()
+    assert kept[2] - kept[1] < 100_000
