@@ -232,7 +232,7 @@ def test_sketch_is_mapped_not_copied(spark, monkeypatch):
 
     monkeypatch.setattr(sketch, "MIN_BITS", 26)
     values = np.random.default_rng(3).integers(-(2**62), 2**62, 1000)
-    found = sketch.repeated_in_column(spark.createDataFrame([(int(v),) for v in np.concatenate([values, values[:300]])], "h long"))
+    found = sketch.repeated_in_column(spark.createDataFrame([(int(v),) for v in np.concatenate([values, values[:300]])], "h long"), mapped=True)
     tracemalloc.start()
     kept = sketch.hits(found, values.view(np.uint64))
     assert tracemalloc.get_traced_memory()[1] < 1_000_000
